@@ -14,9 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlow.llm._io import written
 from marlow.llm._words import gram_hashes, leftmost_minima, pieces, text_digests, utf8, word_hashes, words
 
 WINDOW_BASE = 0xC2B2AE3D27D4EB4F
+# Rows of one anchor that one group holds; an anchor with more is dealt to several.
+GROUP_ROWS = 5_000
+
+
+def salts(rows: F.Column) -> F.Column:
+    return F.least(F.lit(4096), F.ceil(rows / GROUP_ROWS)).cast("int")
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -61,42 +68,102 @@ def anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, found: DataFrame, gram: int, window: int) -> DataFrame:
-    """(h, doc_id, digest, start, w): for each anchor in `found` the hashes of its windows, from `start` on.
+    """(h, doc_id, digest, start, w, salts): for each anchor in `found` the hashes of its windows, from `start` on.
 
-    found(doc_id, marks array<struct<digest, pos>>) holds the anchors to extend.
+    found(doc_id, marks array<struct<digest, pos, salts>>) holds the anchors to extend and the number
+    of groups that each one's rows are dealt to.
     """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, marks = b.column("doc_id").to_numpy(), b.column("marks")
             m_off = np.asarray(marks.offsets)
-            m_digest, m_pos = (marks.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            m_digest, m_pos, m_salts = (marks.values.field(k).to_numpy().astype(np.int64) for k in (0, 1, 2))
             for lo, hashes, first, digests in _texts(b):
                 p, s, e, text, h = anchors_of(hashes, first, gram, window)
-                keep = np.zeros(len(p), bool)
+                salts = np.zeros(len(p), np.int32)
                 edge = np.searchsorted(text, np.arange(len(first)))
                 for k in range(len(first) - 1):
                     own = slice(m_off[lo + k], m_off[lo + k + 1])
-                    pos = m_pos[own][m_digest[own] == digests[k].view(np.int64)]
-                    mine = slice(edge[k], edge[k + 1])
-                    keep[mine] = np.isin(p[mine] - first[k], pos)
-                p, s, e, text, h = (x[keep] for x in (p, s, e, text, h))
+                    same = m_digest[own] == digests[k].view(np.int64)
+                    order = np.argsort(m_pos[own][same])
+                    pos, n = m_pos[own][same][order], m_salts[own][same][order]
+                    at = p[edge[k] : edge[k + 1]] - first[k]
+                    near = np.minimum(np.searchsorted(pos, at), max(len(pos) - 1, 0))
+                    if len(pos):
+                        salts[edge[k] : edge[k + 1]] = np.where(pos[near] == at, n[near], 0)
+                p, s, e, text, h, salts = (x[salts > 0] for x in (p, s, e, text, h, salts))
                 full = gram_hashes(hashes, window, WINDOW_BASE).view(np.int64)
                 n = e - s + 1
                 off = np.concatenate([[0], np.cumsum(n)])
                 flat = full[np.repeat(s - off[:-1], n) + np.arange(off[-1])] if len(n) else full[:0]
-                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(ids[lo + text]), _signed(digests[text]), pa.array((s - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))], ["h", "doc_id", "digest", "start", "w"])
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(ids[lo + text]), _signed(digests[text]), pa.array((s - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)), pa.array(salts)], ["h", "doc_id", "digest", "start", "w", "salts"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id")
-    return rows.select("doc_id", "text", "marks").mapInArrow(extend, "h long, doc_id long, digest long, start int, w array<long>")
+    return rows.select("doc_id", "text", "marks").mapInArrow(extend, "h long, doc_id long, digest long, start int, w array<long>, salts int")
+
+
+def _least(h: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (h, w, d) the smallest d of the same h and w; and the first entry of each different pair."""
+    order = np.lexsort((d, w, h))
+    o_h, o_w = h[order], w[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (o_h[1:] != o_h[:-1]) | (o_w[1:] != o_w[:-1])
+    least = np.empty(len(order), np.int64)
+    least[order] = d[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else d
+    return least, order[new]
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of a batch its row, its place in the row, its hash."""
+    n = np.diff(np.asarray(b.column("w").offsets))
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), b.column("w").flatten().to_numpy()
+
+
+def _minima(rows: DataFrame) -> DataFrame:
+    """(h, salts, g, doc_id, w): the different windows of each group g with the smallest doc_id they stand in."""
+
+    def folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, salts, d, w = (np.concatenate(x) for x in zip(*parts))
+        least, first = _least(h, w, d)
+        order = first[np.lexsort((least[first], h[first]))]
+        k_h, k_d = h[order], least[order]
+        cut = np.flatnonzero(np.append(True, (k_h[1:] != k_h[:-1]) | (k_d[1:] != k_d[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(k_h[cut]), pa.array(salts[order][cut].astype(np.int32)), pa.array(k_d[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)).astype(np.int32)), pa.array(w[order]))], ["h", "salts", "doc_id", "w"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            row, _, w = _flat(b)
+            if not len(row):
+                continue
+            held.append((*(b.column(k).to_numpy().astype(np.int64)[row] for k in ("h", "salts", "doc_id")), w))
+            n += len(row)
+            if n > 1 << 19:
+                yield folded(held)
+                held, n = [], 0
+        if held:
+            yield folded(held)
+
+    return rows.select("h", "salts", "doc_id", "w").mapInArrow(fold, "h long, salts int, doc_id long, w array<long>")
 
 
 def seen_before(rows: DataFrame) -> DataFrame:
     """(doc_id, digest, s, e, source): runs of window starts s..e whose windows stand in a smaller doc_id too.
 
-    rows as windows() gives them. They are dealt by anchor and read in order of doc_id; a group may be
-    far larger than memory, as only its different windows are carried from batch to batch.
+    rows as windows() gives them. They are dealt by anchor and read in order of doc_id, and only the
+    different windows of a group are carried from batch to batch. An anchor with many rows is dealt
+    to `salts` groups; each of these also gets the group's different windows with their smallest
+    doc_id, folded in every task before they are shuffled.
     """
+    rows = written(rows, "windows")
+    hot = rows.where("salts > 1").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    folded = _minima(hot.select("h", "salts", "doc_id", "w", "salt").repartition("h", "salt").sortWithinPartitions("h", "doc_id"))
+    folded = _minima(folded.repartition("h").sortWithinPartitions("h", "doc_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    known = folded.select("h", "doc_id", F.lit(0).cast("long").alias("digest"), F.lit(-1).alias("start"), "w", "salt")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).select(known.columns).unionByName(known)
+    dealt = dealt.withColumn("h", F.when(F.col("salt") > 0, F.xxhash64("h", "salt")).otherwise(F.col("h"))).drop("salt")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c_h = c_w = c_d = np.zeros(0, np.int64)
@@ -104,21 +171,13 @@ def seen_before(rows: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             h, d, digest, start = (b.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "digest", "start"))
-            w = b.column("w")
-            n = np.diff(np.asarray(w.offsets))
-            row = np.repeat(np.arange(len(n)), n)
-            flat = w.flatten().to_numpy()
-            at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            row, place, flat = _flat(b)
+            at = start[row] + place
             k_h, k_w, k_d = (np.concatenate(x) for x in ((c_h, h[row]), (c_w, flat), (c_d, d[row])))
-            order = np.lexsort((k_d, k_w, k_h))
-            o_h, o_w = k_h[order], k_w[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (o_h[1:] != o_h[:-1]) | (o_w[1:] != o_w[:-1])
-            least = np.empty(len(order), np.int64)
-            least[order] = k_d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            open_ = order[new & (o_h == h[-1])]
+            least, first = _least(k_h, k_w, k_d)
+            open_ = first[k_h[first] == h[-1]]
             mine = least[len(c_h) :]
-            hit = np.flatnonzero(d[row] > mine)
+            hit = np.flatnonzero((d[row] > mine) & (start[row] >= 0))
             c_h, c_w, c_d = k_h[open_], k_w[open_], k_d[open_]
             if len(hit):
                 r, a, m = row[hit], at[hit], mine[hit]
@@ -126,7 +185,7 @@ def seen_before(rows: DataFrame) -> DataFrame:
                 end = np.append(cut[1:], len(hit)) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(d[r[cut]]), pa.array(digest[r[cut]]), pa.array(a[cut].astype(np.int32)), pa.array(a[end].astype(np.int32)), pa.array(m[cut])], ["doc_id", "digest", "s", "e", "source"])
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(compare, "doc_id long, digest long, s int, e int, source long")
+    return dealt.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(compare, "doc_id long, digest long, s int, e int, source long")
 
 
 def copies(level: DataFrame) -> DataFrame:

@@ -18,27 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm._io import broadcast_if, small_batches, written
-from marlow.llm._repeats import anchors, copies, covered, seen_before, whole, windows
+from marlow.llm._io import small_batches, written
+from marlow.llm._repeats import anchors, copies, covered, salts, seen_before, whole, windows
 from marlow.llm._words import text_digests, utf8, word_hashes, words
 
-BROADCAST_ROWS = 1_000_000
-
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, digest, s, e, source): runs of starts of windows that stand in a smaller doc_id too."""
     half = (window + 1) // 2
     small_batches(docs.sparkSession)
     level = written(anchors(docs, half, window), "level1")
-    # exact copies are folded by their digest, so a window must stand in two different texts to go on
+    # texts are told apart by their digest: exact copies alone do not make a window go on, they go as a whole
     same = written(copies(level), "copies")
-    left = level.join(broadcast_if(same.select("doc_id", "digest"), same.count(), BROADCAST_ROWS), ["doc_id", "digest"], "left_anti")
-    repeated = written(left.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "repeated")
-    left = left.join(broadcast_if(repeated, repeated.count(), BROADCAST_ROWS), "h")
-    found = written(left.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "pos")).alias("marks")), "found")
-    n = found.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
+    repeated = level.groupBy("h").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    repeated = written(repeated.select("h", salts(F.col("n")).alias("salts")), "repeated")
+    left = level.join(repeated, "h").join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+    found = left.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "pos", "salts")).alias("marks"))
     out = whole(same)
-    return out.unionByName(seen_before(windows(docs, broadcast_if(found, n, BROADCAST_ROWS), half, window))) if n else out
+    return out if repeated.isEmpty() else out.unionByName(seen_before(windows(docs, found, half, window)))
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame, window: int = 50) -> DataFrame:
@@ -47,11 +44,10 @@ def remove_repeats(docs: DataFrame, spans: DataFrame, window: int = 50) -> DataF
     spans(doc_id, digest, s, e) as repeated_windows() gives them; the digest keeps rows that share a
     doc_id apart.
     """
-    per = written(spans.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "s", "e")).alias("spans")), "spans")
-    n = per.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    per = spans.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set(F.struct("digest", "s", "e")).alias("spans"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = [f"_{i}" for i in range(len(rest))]
-    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(rest, inner)]).withColumn("_key", F.col("doc_id").cast("long")).join(broadcast_if(per.withColumnRenamed("doc_id", "_key"), n, BROADCAST_ROWS), "_key", "left").drop("_key")
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(rest, inner)]).withColumn("_key", F.col("doc_id").cast("long")).join(per, "_key", "left").drop("_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
