@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlow.llm._graph import components
-from marlow.llm._io import broadcast_if, small_batches, written
+from marlow.llm._io import small_batches, written
 from marlow.llm._words import gram_hashes, mix, pieces, text_digests, utf8, word_hashes, words
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 BLOCK = 128
-BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(0xBA9D)
 _SEED, _ODD = _rng.integers(0, 2**64, 4096, dtype=np.uint64), _rng.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 
@@ -189,7 +188,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 blobs = [np.unique(grams[first[k] : first[k + 1]]).tobytes() for k in own]
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(lo + own)) for c in names[:4]], pa.array(blobs, pa.binary())], names)
 
-    picked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(broadcast_if(near, near.count(), BROADCAST_ROWS), "doc_id")
+    picked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(near, "doc_id")
     full = picked.select("component", "node", "weight", "blocks", "text").mapInArrow(sets, "component long, node long, weight long, blocks int, grams binary")
     full = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = full.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "grams")
@@ -207,6 +206,9 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of linked ones, the smallest doc_id; rows with a null id or no words stay."""
-    gone = written(ngram_join(docs, n, threshold).where("not kept").select("doc_id"), "gone").distinct()
-    return docs.join(broadcast_if(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
+    """docs with one document of each group of linked ones, the smallest doc_id; rows with a null id or no words stay.
+
+    Rows that share a doc_id stay together if one of them stays.
+    """
+    gone = written(ngram_join(docs, n, threshold).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
