@@ -5,7 +5,9 @@ dealt out by a hash of their first PREFIX words and sorted, so that suffixes whi
 neighbours; a suffix whose neighbours all belong to the same text is dropped. The others are extended,
 word by word to the left and to the right of the shared prefix, to every passage of `least` words
 around it; sorted again, equal passages are neighbours, and each but the one of the smallest doc_id
-is a repeat. Overlapping repeats join to the longest passages.
+is a repeat. Overlapping repeats join to the longest passages. (Comparing neighbours in the order of
+the words on the right alone would lose a pair whenever a suffix with other words on the left sorts
+between its two, so each extension to the left is sorted and compared for itself.)
 
 Defined cases: null, empty and shorter texts have no passages; rows with a null doc_id are neither
 judged nor a source; rows that share a doc_id are judged each against smaller ids; of exact copies
@@ -14,9 +16,6 @@ all but the smallest doc_id are one passage, the whole text (if it has `least` w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +27,15 @@ LEAST, PREFIX = 50, 20
 
 
 def neighbours(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, digest, pos, salts) of the suffixes that have a neighbour with the same prefix in another text.
+    """(doc_id, digest, pos, salts) of the suffixes whose run of equal prefixes in sorted order has another text in it.
 
-    suffixes(h, doc_id, digest, pos). A prefix with many suffixes is sorted in several shards: a
-    first pass folds each prefix to its smallest and largest text before anything is shuffled, and
-    only suffixes whose prefix has two texts are sorted.
+    A run is known by its smallest and largest text, which every task folds before it shuffles, so a run
+    of any length is decided without being gathered; the suffixes then meet their runs in a sort-merge
+    join. salts: the number of groups that the run's suffixes are dealt to when they are extended.
     """
-    ends = suffixes.groupBy("h").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    shared = written(ends.select("h", "lo", "hi", salts(F.col("n")).alias("salts")), "prefixes")
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "digest", "pos", "salts"]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            # neighbours in the sorted shard; the ends of the whole run stand for those in other shards
-            g, lo, hi, h = (b.column(k).to_numpy() for k in ("digest", "lo", "hi", "h"))
-            other = (g != lo) | (g != hi)
-            yield b.filter(pa.array(other)).select(names)
-
-    rows = suffixes.select("h", "doc_id", "digest", "pos").join(shared, "h").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
-    return rows.repartition("h", "shard").sortWithinPartitions("h", "digest", "pos").select("h", "doc_id", "digest", "pos", "salts", "lo", "hi").mapInArrow(pick, "doc_id long, digest long, pos int, salts int")
+    runs = suffixes.groupBy("h").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = written(runs.select("h", salts(F.col("n")).alias("salts")), "runs")
+    return suffixes.select("h", "doc_id", "digest", "pos").join(shared.hint("merge"), "h").select("doc_id", "digest", "pos", "salts")
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
