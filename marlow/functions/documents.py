@@ -127,16 +127,3 @@ def literals(files: DataFrame, text: str, function: str = "tr") -> DataFrame:
 def modifiers(c: Column) -> Column:
     """Names in a list of modifiers; pieces of one character are left out."""
     return F.filter(F.split(c, r"[+\s]+"), lambda x: F.length(x) > 1)
-
-
-# What each dispatcher of a window manager does, in words.
-DISPATCHERS = {"resizewindow": "Resize window", "movewindow": "Move window", "pin": "Pin (show on all workspaces)", "killactive": "Close window", "togglefloating": "Float/unfloat window", "exec": "Execute", "workspace": "Focus workspace", "movetoworkspace": "Move to workspace", "togglespecialworkspace": "Toggle special workspace"}
-
-
-def dispatcher_comment(dispatcher: Column, params: Column) -> Column:
-    """A comment for a key binding that has none."""
-    out = None
-    for name, words in DISPATCHERS.items():
-        value = F.concat(F.lit(words + " "), params) if name in ("workspace", "movetoworkspace") else F.concat(F.lit(words + ": "), params) if name == "exec" else F.lit(words)
-        out = F.when(dispatcher == name, value) if out is None else out.when(dispatcher == name, value)
-    return out.otherwise("")

@@ -123,10 +123,10 @@ def framed_array(spark: SparkSession, d: str) -> DataFrame:
 WEATHER = Fixture("weather", "raw string", [('{"current_condition":[{"temp_C":"7","temp_F":"45","humidity":"80","windspeedKmph":"","windspeedMiles":"3"}],"nearest_area":[{"areaName":[{"value":"Paris"}]}],"weather":[{"astronomy":[{"sunrise":"06:01","sunset":"20:00"}]}]}',), ("{}",)])
 
 
-@query("SELECT * FROM (VALUES ('Paris', '7°C', '0 km/h', '06:01', '45°F'), ('--', '--°C', '0 km/h', '--', '--°F')) t(city, temp, wind, sunrise, temp_us)")
+@query("SELECT * FROM (VALUES ('Paris', '7°C', '0 km/h', '06:01', '80%', '113', '45°F'), ('City', '0°C', '0 km/h', '0.0', '0%', '113', '0°F')) t(city, temp, wind, sunrise, humidity, \"wCode\", temp_us)")
 def weather_rows(spark: SparkSession, d: str) -> DataFrame:
     w = WEATHER.df(spark).select(files.weather(_C("raw")).alias("w"))
-    return w.select(files.weather_row(_C("w"), False).alias("m"), files.weather_row(_C("w"), True)["temp"].alias("temp_us")).select("m.*", "temp_us")
+    return w.select(files.weather_row(_C("w"), False).alias("m"), files.weather_row(_C("w"), True)["temp"].alias("temp_us")).select("m.city", "m.temp", "m.wind", "m.sunrise", "m.humidity", "m.wCode", "temp_us")
 
 
 @query("SELECT 'http://x/1.png' AS url")

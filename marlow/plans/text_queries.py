@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlow.functions import color, documents, fuzzy, similarity, text, timefmt
+from marlow.functions import color, documents, fuzzy, rules, similarity, text, timefmt
 from marlow.plans.catalog import Fixture, query, table
 from marlow.sources import files
 
@@ -315,9 +315,34 @@ def key_bindings(spark: SparkSession, d: str) -> DataFrame:
     return files.bindings(BINDS.df(spark)).withColumn("mods", F.array_join("mods", ","))
 
 
-@query("SELECT 2 AS lineno, 'Close window' AS words UNION ALL SELECT 4, 'Move window' UNION ALL SELECT 5, 'Execute: copy'")
+@query("SELECT 2 AS lineno, 'Close window' AS words UNION ALL SELECT 4, 'Window: move in left direction' UNION ALL SELECT 5, 'Execute: copy'")
 def binding_comments(spark: SparkSession, d: str) -> DataFrame:
-    return files.bindings(BINDS.df(spark)).select("lineno", documents.dispatcher_comment(_S("dispatcher"), _S("params")).alias("words"))
+    return files.bindings(BINDS.df(spark)).select("lineno", rules.binding_comment(_S("dispatcher"), _S("params")).alias("words"))
+
+
+CODES = Fixture("codes", "code string", [("113",), ("308",), ("999",)])
+
+
+@query(f"WITH {CODES.sql()} SELECT code, CASE code WHEN '113' THEN 'clear_day' WHEN '308' THEN 'weather_hail' ELSE 'cloud' END AS symbol FROM codes")
+def weather_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return CODES.df(spark).select("code", rules.weather_symbol(_S("code")).alias("symbol"))
+
+
+APPS = Fixture("apps", "name string, want string", [("Code", "visual-studio-code"), ("steam_app_570", "steam_icon_570"), ("org.kde.Dolphin", "dolphin"), ("GIMP", "gimp"), ("My App", "my-app"), ("zzz", "zzz"), ("", "image-missing"), ("polkit-agent", "system-lock-screen")])
+
+
+@query(f"WITH {APPS.sql()} SELECT name, want AS icon FROM apps")
+def icons(spark: SparkSession, d: str) -> DataFrame:
+    known = F.array(*[F.lit(x) for x in ("dolphin", "gimp", "my-app")])
+    return APPS.df(spark).select("name", rules.icon_of(_S("name"), known).alias("icon"))
+
+
+BUSES = Fixture("buses", "bus string, url string", [("org.mpris.MediaPlayer2.firefox.i1", "https://www.youtube.com/feed"), ("org.mpris.MediaPlayer2.mpd", "https://youtu.be/x"), ("org.mpris.MediaPlayer2.x.mpd", "https://www.youtube.com/watch?v=1"), ("org.mpris.MediaPlayer2.vlc", "file:///a")])
+
+
+@query(f"WITH {BUSES.sql()} SELECT bus, bus LIKE '%2.mpd' OR bus LIKE '%vlc' AS real, contains(url, 'feed') AS preview FROM buses")
+def players(spark: SparkSession, d: str) -> DataFrame:
+    return BUSES.df(spark).select("bus", rules.is_real_player(_S("bus")).alias("real"), rules.is_video_preview(_S("url")).alias("preview"))
 
 
 @query("SELECT 2 AS lineno, unnest(['SUPER + SHIFT + Q', 'Close']) AS cell UNION ALL SELECT 4, unnest(['Super + Alt + Left', '']) UNION ALL SELECT 5, unnest(['Ctrl + C', 'Copy'])")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # ---- JSON
 
@@ -28,19 +29,26 @@ def json_files_stream(spark: SparkSession, path: str, schema: T.StructType) -> D
     return spark.readStream.schema(schema).option("multiLine", True).json(path)
 
 
+_CURRENT = ("uvIndex", "humidity", "winddir16Point", "weatherCode", "windspeedMiles", "windspeedKmph", "precipInches", "precipMM", "visibilityMiles", "visibility", "pressureInches", "pressure", "temp_F", "temp_C", "FeelsLikeF", "FeelsLikeC")
+
+
 def weather(raw: Column) -> Column:
     """current, location, astronomy of a weather answer in JSON as one struct."""
-    kind = "current_condition array<struct<temp_C:string,temp_F:string,humidity:string,windspeedKmph:string,windspeedMiles:string>>, nearest_area array<struct<areaName:array<struct<value:string>>>>, weather array<struct<astronomy:array<struct<sunrise:string,sunset:string>>>>"
+    kind = "current_condition array<struct<" + ",".join(f"{c}:string" for c in _CURRENT) + ">>, nearest_area array<struct<areaName:array<struct<value:string>>>>, weather array<struct<astronomy:array<struct<sunrise:string,sunset:string>>>>"
     w = F.from_json(raw, kind)
     return F.struct(F.get(w["current_condition"], F.lit(0)).alias("current"), F.get(F.get(w["nearest_area"], F.lit(0))["areaName"], F.lit(0))["value"].alias("location"), F.get(F.get(w["weather"], F.lit(0))["astronomy"], F.lit(0)).alias("astronomy"))
 
 
 def weather_row(w: Column, us: bool) -> Column:
-    """The values to show in one system of units, with "--" where absent; an empty or zero wind is 0."""
+    """The thirteen values to show, in one system of units; absent and empty ones have a default."""
     cur = w["current"]
-    temp, unit = (cur["temp_F"], "°F") if us else (cur["temp_C"], "°C")
-    wind, speed = (cur["windspeedMiles"], " mph") if us else (cur["windspeedKmph"], " km/h")
-    return F.struct(F.coalesce(w["location"], F.lit("--")).alias("city"), F.concat(F.coalesce(temp, F.lit("--")), F.lit(unit)).alias("temp"), F.concat(F.coalesce(F.nullif(wind, F.lit("")), F.lit("0")), F.lit(speed)).alias("wind"), F.coalesce(w["astronomy"]["sunrise"], F.lit("--")).alias("sunrise"))
+    or_ = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    unit = lambda c, u: F.concat(or_(cur[c], "0"), F.lit(u))
+    measured = {"wind": ("windspeedMiles", " mph"), "precip": ("precipInches", " in"), "visib": ("visibilityMiles", " m"), "press": ("pressureInches", " psi"), "temp": ("temp_F", "°F"), "tempFeelsLike": ("FeelsLikeF", "°F")}
+    if not us:
+        measured = {"wind": ("windspeedKmph", " km/h"), "precip": ("precipMM", " mm"), "visib": ("visibility", " km"), "press": ("pressure", " hPa"), "temp": ("temp_C", "°C"), "tempFeelsLike": ("FeelsLikeC", "°C")}
+    plain = {"uv": or_(cur["uvIndex"], "0"), "humidity": unit("humidity", "%"), "sunrise": or_(w["astronomy"]["sunrise"], "0.0"), "sunset": or_(w["astronomy"]["sunset"], "0.0"), "windDir": or_(cur["winddir16Point"], "N"), "wCode": or_(cur["weatherCode"], "113"), "city": or_(w["location"], "City")}
+    return F.struct(*[c.alias(n) for n, c in (plain | {n: unit(*x) for n, x in measured.items()}).items()])
 
 
 def first_url(raw: Column) -> Column:
@@ -203,6 +211,63 @@ def union_posts(*tables: DataFrame) -> DataFrame:
     return first
 
 
+class Staged(DataSource):
+    """A provider's answers as rows (url, status, body): spark.read.format("staged").option("urls", "a b").load().
+
+    A failed request is a row with status -1 and the message, so one provider's failure stops nothing. Each
+    URL is a partition.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "staged"
+
+    def schema(self) -> str:
+        return "url string, status int, body string"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _StagedReader(self.options)
+
+
+class _StagedReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.urls, self.agent = options.get("urls", "").split(), options.get("userAgent", "marlow")
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(u) for u in self.urls]
+
+    def read(self, partition: InputPartition):
+        import urllib.request
+
+        try:
+            with urllib.request.urlopen(urllib.request.Request(partition.value, headers={"User-Agent": self.agent}), timeout=30) as r:
+                yield partition.value, getattr(r, "status", None) or 200, r.read().decode("utf-8", "replace")
+        except (OSError, ValueError) as e:
+            yield partition.value, -1, str(e)
+
+
+def archived(files: DataFrame) -> DataFrame:
+    """path, name, text of the members of gzip tar files (path, content); files that are none have no rows."""
+
+    def run(batches):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(bytes(raw)), mode="r:gz") as tar:
+                        out += [(path, m.name, tar.extractfile(m).read().decode("utf-8", "replace")) for m in tar if m.isfile()]
+                except (tarfile.TarError, OSError):
+                    continue
+            yield pd.DataFrame(out, columns=["path", "name", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, text string")
+
+
 # ---- sinks
 
 

@@ -40,6 +40,26 @@ def test_images_from_files(spark, tmp_path):
     assert [(r.height, r.width, r.pixels) for r in rows] == [(2, 3, [1, 2, 3, 4, 5, 6]), (None, None, None)]
 
 
+def test_staged_answers(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1}]')
+    spark.dataSource.register(files.Staged)
+    rows = spark.read.format("staged").option("urls", f"file://{tmp_path}/a.json file://{tmp_path}/none.json nonsense").load().orderBy("url").collect()
+    assert [(r.status, r.body if r.status > 0 else "") for r in rows] == [(200, '[{"id": 1}]'), (-1, ""), (-1, "")]
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "p.tar.gz", "w:gz") as tar:
+        info = tarfile.TarInfo("pane-0")
+        info.size = 5
+        tar.addfile(info, io.BytesIO(b"hello"))
+    (tmp_path / "x.tar.gz").write_bytes(b"junk")
+    got = files.archived(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [(r.name, r.text) for r in got] == [("pane-0", "hello")]
+
+
 def test_sinks(spark, tmp_path):
     df, out, old = spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "out"), str(tmp_path / "old")
     assert files.write_if_changed(df, out, old) and not files.write_if_changed(df, out, old)
