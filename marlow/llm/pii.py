@@ -11,7 +11,7 @@ LEAST. A null text has no spans, as an empty one; each input row gives one row.
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,7 +134,3 @@ def redact(docs: DataFrame) -> DataFrame:
     clean = F.aggregate(F.col("_pii"), start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return with_spans(docs, "_pii").withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
 
-
-def any_kind(column: str) -> Column:
-    """Whether a text column holds a character that some kind needs: a cheap test before with_spans()."""
-    return reduce(lambda a, b: a | b, [F.col(column).contains(x) for x in "@+"], F.col(column).rlike("[0-9]"))
