@@ -56,21 +56,44 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_pii, op2_near_vectors, op3_bpe, op4_language, op5_suffix_dedup, op6_ngram_join, op7_license_scan, op8_mpeg, op9_packing, op10_substring_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 
-# Checksums, tokens, trained models and learned bounds are beyond SQL: their queries are compared with
-# brute force in tests/llm. So are op5, op6 and op10, which SQL can say but is too slow at on whole tables.
+# Checksums, tokens, trained models, learned bounds and spans of one chosen source are beyond SQL: their
+# queries are compared with brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op2_near_vectors": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
             WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
-        ), reach AS (SELECT a AS vec_id, b AS at FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.at = l.a),
-        low AS (SELECT vec_id, min(at) AS at FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
-        SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(x.vec_id, coalesce(low.at, x.vec_id)) AS component_id,
-            x.vec_id = least(x.vec_id, coalesce(low.at, x.vec_id)) AS kept
+        ), reach AS (SELECT a AS vec_id, b AS far FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.far = l.a),
+        low AS (SELECT vec_id, min(far) AS far FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(x.vec_id, coalesce(low.far, x.vec_id)) AS component_id,
+            x.vec_id = least(x.vec_id, coalesce(low.far, x.vec_id)) AS kept
         FROM embeddings x LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
     """,
+    "op6_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS s FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        links AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+            JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 5 * k >= 4 * (p.n + q.n - k)
+        ), reach AS (SELECT a AS doc_id, b AS far FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.far = l.a),
+        low AS (SELECT doc_id, min(far) AS far FROM reach GROUP BY doc_id), c AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a),
+        k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS copy_id FROM w WHERE len(w) > 0)
+        SELECT d.doc_id, least(d.doc_id, coalesce(low.far, d.doc_id)) AS class_id, coalesce(k.copy_id, d.doc_id) AS copy_id, coalesce(c.n, 0)::BIGINT AS n_links,
+            d.doc_id = least(d.doc_id, coalesce(low.far, d.doc_id)) AS kept
+        FROM documents d LEFT JOIN low USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+    "op10_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50)),
+        hit AS (SELECT doc_id, s FROM x QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+        gone AS (SELECT doc_id, list(DISTINCT i) AS i FROM (SELECT doc_id, unnest(range(s, s + 50)) AS i FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(i), 0)::BIGINT AS n_removed,
+            sha256(CASE WHEN i IS NULL THEN array_to_string(w, ' ') WHEN len(i) = len(w) THEN '' ELSE array_to_string(list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(i, j))), lambda j: w[j]), ' ') END) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)
+    """,
 }
