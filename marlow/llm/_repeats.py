@@ -54,17 +54,18 @@ def _texts(batch: pa.RecordBatch):
 
 
 def anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """(h, digest, doc_id, pos, head): every anchor of every text; digest tells texts apart, head marks a text's first anchor."""
+    """(h, digest, doc_id, pos, check): every anchor of every text; digest tells texts apart, check is a second digest at a text's first anchor, else null."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for lo, hashes, first, digests in _texts(b):
                 p, _, _, text, h = anchors_of(hashes, first, gram, window)
-                head = np.diff(text, prepend=-1) != 0
-                yield pa.RecordBatch.from_arrays([_signed(h), _signed(digests[text]), pa.array(ids[lo + text]), pa.array((p - first[text]).astype(np.int32)), pa.array(head)], ["h", "digest", "doc_id", "pos", "head"])
+                later = np.diff(text, prepend=-1) == 0
+                check = text_digests(hashes, first, WINDOW_BASE)[text].view(np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(digests[text]), pa.array(ids[lo + text]), pa.array((p - first[text]).astype(np.int32)), pa.array(check, mask=later)], ["h", "digest", "doc_id", "pos", "check"])
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "h long, digest long, doc_id long, pos int, head boolean")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "h long, digest long, doc_id long, pos int, check long")
 
 
 def windows(docs: DataFrame, found: DataFrame, gram: int, window: int) -> DataFrame:
@@ -99,7 +100,7 @@ def windows(docs: DataFrame, found: DataFrame, gram: int, window: int) -> DataFr
                 flat = full[np.repeat(s - off[:-1], n) + np.arange(off[-1])] if len(n) else full[:0]
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array(ids[lo + text]), _signed(digests[text]), pa.array((s - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)), pa.array(salts)], ["h", "doc_id", "digest", "start", "w", "salts"])
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id")
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found.hint("merge"), "doc_id")
     return rows.select("doc_id", "text", "marks").mapInArrow(extend, "h long, doc_id long, digest long, start int, w array<long>, salts int")
 
 
@@ -190,8 +191,8 @@ def seen_before(rows: DataFrame) -> DataFrame:
 
 def copies(level: DataFrame) -> DataFrame:
     """(doc_id, digest, first): texts of anchors() whose whole word sequence stands in a smaller doc_id, `first`."""
-    heads = level.where("head").select("doc_id", "digest")
-    return heads.join(heads.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "digest").where("first < doc_id").select("doc_id", "digest", "first")
+    heads = level.where("check is not null").select("doc_id", "digest", "check")
+    return heads.join(heads.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), ["digest", "check"]).where("first < doc_id").select("doc_id", "digest", "first")
 
 
 ALL = 2**31 - 2**16
