@@ -52,13 +52,27 @@ def from_hsl(h: Column, s: Column, light: Column) -> Column:
     return F.struct(part(0).alias("r"), part(8).alias("g"), part(4).alias("b"))
 
 
+def hsv(rgb: Column) -> Column:
+    """Hue, saturation, value, each 0 to 1."""
+    hi, lo = F.greatest(rgb["r"], rgb["g"], rgb["b"]), F.least(rgb["r"], rgb["g"], rgb["b"])
+    return F.struct(hsl(rgb)["h"].alias("h"), F.when(hi == 0, 0.0).otherwise((hi - lo) / hi).alias("s"), hi.alias("v"))
+
+
+def from_hsv(h: Column, s: Column, v: Column) -> Column:
+    def part(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + h * 6, F.lit(6.0))
+        return v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return F.struct(part(5).alias("r"), part(3).alias("g"), part(1).alias("b"))
+
+
 def with_hue_of(a: Column, b: Column) -> Column:
-    """a with b's hue."""
-    return from_hsl(hsl(b)["h"], hsl(a)["s"], hsl(a)["l"])
+    """a with b's hue, by hue, saturation and value."""
+    return from_hsv(hsv(b)["h"], hsv(a)["s"], hsv(a)["v"])
 
 
 def with_saturation_of(a: Column, b: Column) -> Column:
-    return from_hsl(hsl(a)["h"], hsl(b)["s"], hsl(a)["l"])
+    return from_hsv(hsv(a)["h"], hsv(b)["s"], hsv(a)["v"])
 
 
 def with_lightness(a: Column, light: float) -> Column:
@@ -86,6 +100,12 @@ def at_least_steps(c: Column, limits: list[tuple[float, str]], last: str) -> Col
     return reduce(lambda w, x: w.when(c >= x[0], x[1]), rest, F.when(c >= first[0], first[1])).otherwise(last)
 
 
+def above_steps(c: Column, limits: list[tuple[float, str]], last: str) -> Column:
+    """The label of the first limit that the value exceeds (descending limits), else the last label."""
+    first, *rest = limits
+    return reduce(lambda w, x: w.when(c > x[0], x[1]), rest, F.when(c > first[0], first[1])).otherwise(last)
+
+
 def size_class(width: Column, height: Column, classes: list[tuple[str, int]], largest: str) -> Column:
     """The first class (ascending) that both sides fit, else the largest."""
     first, *rest = classes
@@ -96,7 +116,7 @@ def size_class(width: Column, height: Column, classes: list[tuple[str, int]], la
 def same_area(width: Column, height: Column, side: int) -> Column:
     """Width and height scaled to the area of a square of that side; smaller pictures stay."""
     ratio = F.sqrt(F.lit(float(side * side)) / (width * height))
-    scaled = lambda x: F.when(ratio < 1, F.greatest(F.lit(1), F.round(x * ratio).cast("int"))).otherwise(x)
+    scaled = lambda x: F.when(ratio < 1, F.greatest(F.lit(1), F.bround(x * ratio).cast("int"))).otherwise(x)
     return F.struct(scaled(width).alias("width"), scaled(height).alias("height"))
 
 

@@ -110,9 +110,8 @@ def joined_blocks(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def formulas(c: Column) -> Column:
-    """LaTeX expressions between $$ $$, $ $, \\[ \\] and \\( \\), in order, without their marks."""
-    found = F.regexp_extract_all(c, F.lit(r"(?s)\$\$.+?\$\$|\$[^$\n]+?\$|\\\[.+?\\\]|\\\(.+?\\\)"), F.lit(0))
-    return F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"^(\$\$|\$|\\\[|\\\()|(\$\$|\$|\\\]|\\\))$", "")))
+    """LaTeX expressions between $$ $$, $ $, \\[ \\] and \\( \\), in order, with their marks."""
+    return F.regexp_extract_all(c, F.lit(r"(?s)\$\$.+?\$\$|\$[^$]+?\$|\\\[.+?\\\]|\\\(.+?\\\)"), F.lit(0))
 
 
 def literals(files: DataFrame, text: str, function: str = "tr") -> DataFrame:

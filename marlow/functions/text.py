@@ -94,21 +94,24 @@ def without_file_scheme(c: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(without_file_scheme(path), "/"), -1)
+    """What follows the last slash or backslash."""
+    return F.element_at(F.split(without_file_scheme(path), r"[\\/]"), -1)
 
 
 def folder_name(path: Column) -> Column:
-    """Last part of a path, a trailing slash aside."""
-    return file_name(F.regexp_replace(path, "/+$", ""))
+    """Last part of a path, one trailing slash aside."""
+    return file_name(F.regexp_replace(without_file_scheme(path), "/$", ""))
 
 
 def without_extension(path: Column) -> Column:
-    """The file name up to its last dot; a name that begins with its only dot stays."""
-    return F.regexp_replace(file_name(path), r"^(.+)\.[^.]*$", "$1")
+    """The path up to the last dot of its last part."""
+    return F.regexp_replace(without_file_scheme(path), r"\.[^./]*$", "")
 
 
 def parent_folder(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(without_file_scheme(path), "/+$", ""), "/[^/]*$", "")
+    """The path up to its last slash or backslash; empty without one."""
+    p = without_file_scheme(path)
+    return F.when(p.rlike(r"[\\/]"), F.array_join(F.slice(F.split(p, r"[\\/]"), F.lit(1), F.size(F.split(p, r"[\\/]")) - 1), "/")).otherwise("")
 
 
 def last_segment(reverse_domain: Column) -> Column:
@@ -126,15 +129,16 @@ def camel(snake: Column) -> Column:
 
 
 def safe_name(c: Column) -> Column:
-    """Characters that ids do not allow become underscores."""
-    return _regex(c, (r"[:.]", "_"), (r"[ /-]", "-"))
+    """A model's name as an id: colons become underscores, blanks and slashes hyphens."""
+    return _regex(c, (":", "_"), ("[ /]", "-"))
 
 
 def pretty_name(c: Column) -> Column:
-    """model-name:tag as "Model Name (tag)", each word's first letter in upper case; the tag latest is left out."""
-    name, tag = F.substring_index(c, ":", 1), F.when(c.contains(":"), F.substring_index(c, ":", -1)).otherwise("")
-    words = F.transform(F.split(F.regexp_replace(name, "[-_]", " "), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
-    return F.concat(F.array_join(words, " "), F.when((tag == "") | (F.lower(tag) == "latest"), "").otherwise(F.concat(F.lit(" ("), tag, F.lit(")"))))
+    """model-name:8b as "Model Name (8B)": words with capitals, the last in brackets; a last word "latest" is left out."""
+    words = F.split(F.regexp_replace(F.regexp_replace(c, "[-:]", " "), r"(\d+)b$", "$1B"), " ")
+    words = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+    last, rest = F.element_at(words, -1), F.slice(words, F.lit(1), F.size(words) - 1)
+    return F.array_join(F.when(last == "Latest", rest).otherwise(F.array_append(rest, F.concat(F.lit("("), last, F.lit(")")))), " ")
 
 
 def first_rule(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
@@ -147,10 +151,15 @@ def first_rule(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
     return out.otherwise(default)
 
 
-def message_body(body: Column, app: Column, apps: list[str]) -> Column:
-    """A notification's body; for some apps the first paragraph, a link to the site, is left out."""
+# Browsers whose notifications open with a link to the site.
+BROWSERS = ["brave", "chrome", "chromium", "vivaldi", "opera", "microsoft edge"]
+
+
+def message_body(body: Column, app: Column, apps: list[str] = BROWSERS) -> Column:
+    """A notification's body; for applications with one of these names in theirs, a first paragraph that is a link is left out."""
     parts = F.split(body, "\n\n")
-    drop = F.lower(app).isin(apps) & (F.size(parts) > 1) & F.get(parts, F.lit(0)).startswith("<a")
+    named = reduce(lambda a, b: a | b, [F.lower(app).contains(x) for x in apps])
+    drop = F.coalesce(named, F.lit(False)) & (F.size(parts) > 1) & F.get(parts, F.lit(0)).startswith("<a")
     return F.when(drop, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "\n\n")).otherwise(body)
 
 

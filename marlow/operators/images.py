@@ -20,7 +20,7 @@ def colourfulness(pixels: DataFrame, key: str = "img") -> DataFrame:
 
 def scheme(c: Column) -> Column:
     """A colour scheme's name by colourfulness."""
-    return F.when(c < 10, "scheme-monochrome").when(c < 20, "scheme-neutral").otherwise("scheme-tonal-spot")
+    return F.when(c < 20, "scheme-content").when(c < 50, "scheme-neutral").otherwise("scheme-tonal-spot")
 
 
 def integral(pixels: DataFrame) -> DataFrame:

@@ -300,7 +300,7 @@ def _colours(spark: SparkSession) -> DataFrame:
     return _pixels(spark).select("img", _C("val").alias("r"), (_C("val") * 3 % 256).alias("g"), ((_C("val") * 5 + 1) % 256).alias("b"))
 
 
-@query(f"WITH {_PIX}, c AS ({_RGB}), q AS (SELECT img, sqrt(var_pop(r - g) + var_pop((r + g) / 2.0 - b)) + 0.3 * sqrt(avg(r - g) ^ 2 + avg((r + g) / 2.0 - b) ^ 2) AS v FROM c GROUP BY img) SELECT img, round(v, 6) AS colourfulness, CASE WHEN v < 10 THEN 'scheme-monochrome' WHEN v < 20 THEN 'scheme-neutral' ELSE 'scheme-tonal-spot' END AS scheme FROM q")
+@query(f"WITH {_PIX}, c AS ({_RGB}), q AS (SELECT img, sqrt(var_pop(r - g) + var_pop((r + g) / 2.0 - b)) + 0.3 * sqrt(avg(r - g) ^ 2 + avg((r + g) / 2.0 - b) ^ 2) AS v FROM c GROUP BY img) SELECT img, round(v, 6) AS colourfulness, CASE WHEN v < 20 THEN 'scheme-content' WHEN v < 50 THEN 'scheme-neutral' ELSE 'scheme-tonal-spot' END AS scheme FROM q")
 def colourfulness(spark: SparkSession, d: str) -> DataFrame:
     c = images.colourfulness(_colours(spark))
     return c.select("img", F.round("colourfulness", 6).alias("colourfulness"), images.scheme(_C("colourfulness")).alias("scheme"))
@@ -361,7 +361,7 @@ def stream_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("delta", F.round(F.nanvl("delta", F.lit(None).cast("double")), 6))
 
 
-@query("WITH RECURSIVE e AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), r AS (SELECT user_id, ts, value, n, least(value, 80.0) AS accepted FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.ts, e.value, e.n, CASE WHEN e.value - r.accepted > 10 THEN r.accepted ELSE least(e.value, 80.0) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, ts, value, round(accepted, 6) AS accepted FROM r")
+@query("WITH RECURSIVE e AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), r AS (SELECT user_id, ts, value, n, value AS accepted FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.ts, e.value, e.n, CASE WHEN e.value - r.accepted > 10 THEN r.accepted WHEN e.value > 80 THEN least(r.accepted, 80.0) ELSE e.value END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, ts, value, round(accepted, 6) AS accepted FROM r")
 def stream_limited(spark: SparkSession, d: str) -> DataFrame:
     out = drained(stateful.limited(_stream(spark, d), "user_id", "ts", "value", 10.0, 80.0))
     return out.withColumn("accepted", F.round("accepted", 6))
@@ -382,7 +382,7 @@ def expiring_records(spark: SparkSession, d: str) -> DataFrame:
 TOKENS = Fixture("tokens", "k int, seq int, reasoning boolean, piece string", [(0, 0, True, "hm"), (0, 1, True, "m"), (0, 2, False, "Hi"), (1, 0, False, "A"), (1, 1, False, None), (2, 0, True, "x")])
 
 
-@query("SELECT * FROM (VALUES (0, chr(10) || chr(10) || '<think>' || chr(10) || chr(10) || 'hmm' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || 'Hi'), (1, 'A'), (2, chr(10) || chr(10) || '<think>' || chr(10) || chr(10) || 'x' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10))) t(k, text)")
+@query("SELECT * FROM (VALUES (0, chr(10) || chr(10) || '<think>' || chr(10) || chr(10) || 'hmm' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || 'Hi'), (1, 'A'), (2, chr(10) || chr(10) || '<think>' || chr(10) || chr(10) || 'x')) t(k, text)")
 def folded_tokens(spark: SparkSession, d: str) -> DataFrame:
     return stateful.fold_tokens(TOKENS.df(spark), "k", "seq")
 

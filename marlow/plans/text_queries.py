@@ -63,7 +63,7 @@ def word_parts(spark: SparkSession, d: str) -> DataFrame:
     return _strings(spark, head=text.first_word(_S("s")), rest=text.after_first_word(_S("s")), tail=text.trailing_number(_S("s")))
 
 
-@query(W + r"SELECT i, split_part(regexp_replace(s, '^file://', ''), '/', -1) AS file, split_part(regexp_replace(regexp_replace(s, '/+$', ''), '^file://', ''), '/', -1) AS folder, regexp_replace(split_part(regexp_replace(s, '^file://', ''), '/', -1), '^(.+)\.[^.]*$', '\1') AS stem, regexp_replace(regexp_replace(regexp_replace(s, '^file://', ''), '/+$', ''), '/[^/]*$', '') AS parent FROM strings WHERE i IN (8, 9, 10)")
+@query(W + r"SELECT i, split_part(regexp_replace(s, '^file://', ''), '/', -1) AS file, split_part(regexp_replace(regexp_replace(s, '^file://', ''), '/$', ''), '/', -1) AS folder, regexp_replace(regexp_replace(s, '^file://', ''), '\.[^./]*$', '') AS stem, CASE WHEN contains(s, '/') THEN regexp_replace(regexp_replace(s, '^file://', ''), '/[^/]*$', '') ELSE '' END AS parent FROM strings WHERE i IN (8, 9, 10)")
 def paths(spark: SparkSession, d: str) -> DataFrame:
     return _strings(spark, file=text.file_name(_S("s")), folder=text.folder_name(_S("s")), stem=text.without_extension(_S("s")), parent=text.parent_folder(_S("s"))).where("i in (8, 9, 10)")
 
@@ -79,7 +79,7 @@ def camel_case(spark: SparkSession, d: str) -> DataFrame:
     return _strings(spark, camel=text.camel(_S("s"))).where("i = 11")
 
 
-MODELS = Fixture("models", "m string, pretty string, safe string", [("llama-3:8b", "Llama 3 (8b)", "llama-3_8b"), ("mistral:latest", "Mistral", "mistral_latest"), ("gpt_oss", "Gpt Oss", "gpt_oss")])
+MODELS = Fixture("models", "m string, pretty string, safe string", [("llama-3:8b", "Llama 3 (8B)", "llama-3_8b"), ("mistral:latest", "Mistral", "mistral_latest"), ("a b/c", "A (B/c)", "a-b-c")])
 
 
 @query(f"WITH {MODELS.sql()} SELECT m, pretty, safe FROM models")
@@ -92,7 +92,7 @@ BODIES = Fixture("bodies", "app string, body string, want string", [("Chromium",
 
 @query("WITH b AS (SELECT * FROM (VALUES (0, 'Hello' || chr(10) || chr(10) || 'World'), (1, '<a>' || chr(10) || chr(10) || 'Hello'), (2, 'Hi')) t(i, body)) SELECT body FROM b")
 def message_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return BODIES.df(spark).select(text.message_body(_S("body"), _S("app"), ["chromium", "firefox"]).alias("body"))
+    return BODIES.df(spark).select(text.message_body(_S("body"), _S("app")).alias("body"))
 
 
 @query()
@@ -294,7 +294,7 @@ def markdown_joined(spark: SparkSession, d: str) -> DataFrame:
     return documents.joined_blocks(markdown_blocks(spark, d), "k")
 
 
-@query("SELECT 4 AS k, 'x+1|y|z' AS formulas")
+@query("SELECT 4 AS k, '$x+1$|$$y$$|\\(z\\)' AS formulas")
 def latex(spark: SparkSession, d: str) -> DataFrame:
     return MARKDOWN.df(spark).select("k", F.array_join(documents.formulas(_S("text")), "|").alias("formulas")).where("formulas <> ''")
 

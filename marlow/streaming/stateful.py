@@ -14,10 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def limit_step(value: float, last: float | None, step: float, most: float) -> float:
-    """The accepted value: a jump of more than `step` above the last one is refused, nothing exceeds `most`."""
-    if last is not None and value - last > step:
+    """The accepted value: after a jump of more than `step` the last one again, above `most` the last one or `most`; the first value counts as it is."""
+    if last is None:
+        return value
+    if value - last > step:
         return last
-    return min(value, most)
+    return min(last, most) if value > most else value
 
 
 def limited(df: DataFrame, key: str, time: str, value: str, step: float, most: float, delay: str = "0 seconds") -> DataFrame:
@@ -131,11 +133,14 @@ def expiring(df: DataFrame, key: str, time: str, timeout_ms: str, default_ms: in
 
 
 def fold_tokens(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """key, text: pieces of an answer in order; reasoning pieces stand between think tags. df: key, seq, reasoning boolean, piece."""
+    """key, text: pieces of an answer in order; reasoning opens a think tag, the next other piece closes it. df: key, seq, reasoning boolean, piece.
+
+    Empty pieces change nothing; a tag that nothing follows stays open.
+    """
     w = Window.partitionBy(key).orderBy(seq)
-    was, ends = F.coalesce(F.lag("reasoning").over(w), F.lit(False)), F.lead("reasoning").over(w).isNull()
-    part = F.concat(F.when(F.col("reasoning") & ~was, "\n\n<think>\n\n").when(~F.col("reasoning") & was, "\n\n</think>\n\n").otherwise(""), F.coalesce("piece", F.lit("")), F.when(F.col("reasoning") & ends, "\n\n</think>\n\n").otherwise(""))
-    rows = df.select(key, seq, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seq, "part"))).alias("p"))
+    was = F.coalesce(F.lag("reasoning").over(w), F.lit(False))
+    part = F.concat(F.when(F.col("reasoning") & ~was, "\n\n<think>\n\n").when(~F.col("reasoning") & was, "\n\n</think>\n\n").otherwise(""), F.col("piece"))
+    rows = df.where("piece <> ''").select(key, seq, part.alias("part")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seq, "part"))).alias("p"))
     return rows.select(key, F.array_join(F.transform("p", lambda x: x["part"]), "").alias("text"))
 
 

@@ -186,3 +186,15 @@ def test_best_access_point_ties(spark):
     df = spark.createDataFrame(rows, "ssid string, active boolean, strength int, pos int")
     got = {r.ssid: r.pos for r in records.best_access_point(df, "ssid", F.col("active"), F.col("strength"), "pos").collect()}
     assert got == {"a": 0, "b": 2, "c": 6}
+
+
+def test_rules_and_colours(spark):
+    from marlow.functions import color, rules
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(rules.artwork_page(F.lit("https://i.pximg.net/img/2020/123_p0.png"))) == "https://www.pixiv.net/en/artworks/123" and one(rules.artwork_page(F.lit("http://x/1_p0.png"))) == "http://x/1_p0.png"
+    assert one(rules.model_logo(F.lit("Phi3:mini"))) == "microsoft-symbolic" and one(rules.model_logo(F.lit("gemma2"))) == "google-gemini-symbolic"
+    rgb, red = color.from_hex(F.lit("#336699")), color.from_hex(F.lit("#CC3311"))
+    # value 0x99, saturation 2/3: the red hue 10.9 degrees of #CC3311 keeps both
+    assert one(color.to_hex(color.with_hue_of(rgb, red))) == "#994633" and one(color.to_hex(color.with_saturation_of(rgb, rgb))) == "#336699"
+    assert one(color.above_steps(F.lit(80), [(80, "full"), (60, "good")], "bad")) == "good" and one(text.parent_folder(F.lit("name"))) == "" and one(text.file_name(F.lit("a\\b"))) == "b"

@@ -96,7 +96,8 @@ def feed(spark, tmp_path):
 def test_limiter_keeps_state_between_batches(spark, feed):
     s = feed([[("a", at(0), 10.0), ("a", at(1), 90.0)], [("a", at(2), 15.0), ("b", at(2), 99.0), ("a", at(3), 26.0)]], "k string, t timestamp, v double")
     got = {(r.k, r.t.second): r.accepted for r in drained(stateful.limited(s, "k", "t", "v", 10.0, 80.0)).collect()}
-    assert got == {("a", 0): 10.0, ("a", 1): 10.0, ("a", 2): 15.0, ("a", 3): 15.0, ("b", 2): 80.0}
+    assert got == {("a", 0): 10.0, ("a", 1): 10.0, ("a", 2): 15.0, ("a", 3): 15.0, ("b", 2): 99.0}
+    assert stateful.limit_step(85.0, 79.0, 10.0, 80.0) == 79.0 and stateful.limit_step(95.0, 90.0, 10.0, 80.0) == 80.0
 
 
 def test_usage_and_deltas(spark, feed):
