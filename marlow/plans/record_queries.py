@@ -283,9 +283,9 @@ def clamped_average(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(series.clamped_average(F.col("value"), ["user_id"], ["ts", "event_id"]), 6).alias("smooth"))
 
 
-@query(f"WITH x AS (SELECT event_id, value - lag(value) OVER w AS i, event_id - lag(event_id) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id {EV})) SELECT event_id, round(CASE WHEN t IS NULL THEN NULL WHEN t > 0 THEN 1 - i / t ELSE 0 END, 6) AS usage FROM x")
+@query(f"WITH x AS (SELECT event_id, value - lag(value) OVER w AS i, event_id - lag(event_id) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id {EV})) SELECT event_id, CASE WHEN t IS NULL THEN NULL WHEN t > 0 THEN 1 - i / t ELSE 0 END AS usage FROM x")
 def sample_usage(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.round(series.usage(F.col("value"), F.col("event_id"), ["user_id"], ["ts", "event_id"]), 6).alias("usage"))
+    return table(spark, d, "events").select("event_id", series.usage(F.col("value"), F.col("event_id"), ["user_id"], ["ts", "event_id"]).alias("usage"))
 
 
 @query(f"SELECT event_id, round(value - coalesce(lag(value) OVER (PARTITION BY user_id {EV}), 0), 6) AS delta FROM events")
