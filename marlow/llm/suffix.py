@@ -16,7 +16,7 @@ all but the smallest doc_id are one passage, the whole text (if it has `least` w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlow.llm._io import small_batches, written
@@ -50,13 +50,23 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, start, end, source, whole: word ranges [start, end) that repeat words of the smaller doc_id `source`.
+    """doc_id, start, end, sources, whole: word ranges [start, end) that repeat passages of the smaller doc_ids `sources`.
 
-    One row per document and maximal run of windows with one source, end null for a whole copy.
+    One row per document and longest range that overlapping repeats cover; of a whole copy end is null.
     """
-    spans = repeated_passages(docs.select("doc_id", "text"), least)
-    copy = F.col("e") == ALL
-    return spans.select("doc_id", F.col("s").cast("long").alias("start"), F.when(~copy, F.col("e") + least).cast("long").alias("end"), "source", copy.alias("whole")).distinct()
+    runs = repeated_passages(docs.select("doc_id", "text"), least).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("s", "e", "source"))).alias("runs"))
+    none = F.array().cast("array<struct<start:int,end:int,sources:array<bigint>>>")
+
+    def join(done: Column, r: Column) -> Column:
+        last, end = F.try_element_at(done, F.lit(-1)), r["e"] + least
+        meets = (F.size(done) > 0) & (r["s"] <= last["end"])
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), F.array_union(last["sources"], F.array(r["source"])).alias("sources"))
+        alone = F.struct(r["s"].alias("start"), end.alias("end"), F.array(r["source"]).alias("sources"))
+        return F.when(meets, F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), longer)).otherwise(F.array_append(done, alone))
+
+    found = runs.select("doc_id", F.explode(F.aggregate("runs", none, join)).alias("p")).select("doc_id", "p.*")
+    whole_ = F.col("end") > ALL
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.when(~whole_, F.col("end")).cast("long").alias("end"), "sources", whole_.alias("whole")).distinct()
 
 
 def without_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:

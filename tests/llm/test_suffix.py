@@ -23,6 +23,6 @@ def test_query(spark, sf):
     words = {d: len(t.split()) for d, t in rows}
     gone = defaultdict(set)
     for r in queries.op5_suffix_dedup(spark, sf).collect():
-        assert r.source < r.doc_id
+        assert r.sources and all(x < r.doc_id for x in r.sources) and not gone[r.doc_id] & set(range(r.start, r.end or r.start))
         gone[r.doc_id] |= set(range(r.start, words[r.doc_id] if r.whole else r.end))
     assert {d: len(x) for d, x in gone.items()} == {d: k for d, _, k, _ in brute(rows, 50) if k}
