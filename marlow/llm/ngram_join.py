@@ -188,7 +188,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 blobs = [np.unique(grams[first[k] : first[k + 1]]).tobytes() for k in own]
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(lo + own)) for c in names[:4]], pa.array(blobs, pa.binary())], names)
 
-    picked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(near, "doc_id")
+    picked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(near.hint("merge"), "doc_id")
     full = picked.select("component", "node", "weight", "blocks", "text").mapInArrow(sets, "component long, node long, weight long, blocks int, grams binary")
     full = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = full.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "grams")
@@ -211,4 +211,4 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
     Rows that share a doc_id stay together if one of them stays.
     """
     gone = written(ngram_join(docs, n, threshold).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)

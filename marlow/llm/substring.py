@@ -47,7 +47,7 @@ def remove_repeats(docs: DataFrame, spans: DataFrame, window: int = 50) -> DataF
     per = spans.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set(F.struct("digest", "s", "e")).alias("spans"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = [f"_{i}" for i in range(len(rest))]
-    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(rest, inner)]).withColumn("_key", F.col("doc_id").cast("long")).join(per, "_key", "left").drop("_key")
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(rest, inner)]).withColumn("_key", F.col("doc_id").cast("long")).join(per.hint("merge"), "_key", "left").drop("_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
