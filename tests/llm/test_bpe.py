@@ -1,9 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from marlow.llm import bpe, queries
 
@@ -54,6 +58,23 @@ def test_append_prefixes_and_splice(e, tok):
     assert p.data == raw and p.ids() == tok._encode_single_piece(raw) and done < 700
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text("aBsé'stredmlv 1.!\n\t×ÿ²ªµ¿—漢\x1c\xa0\x85œ", max_size=14), min_size=1, max_size=5))
+def test_splits_are_those_of_the_pattern(texts):
+    raw = [t.encode() for t in texts]
+    at = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    if not len(data):
+        return
+    starts, good = bpe.splits(data, at)
+    find = regex.compile(P.PATTERN).findall
+    for k, t in enumerate(texts):
+        if good[k]:
+            own = [int(s) for s in starts if at[k] <= s < at[k + 1]] + [int(at[k + 1])]
+            assert [bytes(data[a:b]).decode() for a, b in zip(own, own[1:])] == find(t)
+        assert good[k] or set(t) & set("²ªµ—漢\xa0\x85")
+
+
 def test_columns(spark, e):
     df = spark.createDataFrame([(1, "a b", 5), (2, None, 6), (None, "", 7), (1, "a b", 5)], "doc_id long, text string, ids int")
     rows = bpe.encode(df, PATH, P.PATTERN)
@@ -62,6 +83,12 @@ def test_columns(spark, e):
     assert bpe.digests(df.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_digests_of_odd_texts(spark, tok):
+    rows = list(enumerate(texts()))
+    got = {r.doc_id: r.ids_sha256 for r in bpe.digests(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN).collect()}
+    assert got == {i: hashlib.sha256(" ".join(map(str, tok.encode_ordinary(t))).encode()).hexdigest() for i, t in rows}
+
+
 def test_query(spark, sf, tok):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = {}
