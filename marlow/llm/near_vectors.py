@@ -7,8 +7,10 @@ other's own bucket. Pairs that meet are verified by cosine in double precision.
 its codes of all tables, so a pair that meets in several buckets is counted in the first alone and
 link counts need no list of pairs. Buckets over BLOCK rows are dealt out as pairs of blocks.
 
-With 12 tables, 3 probes and width 2 a pair of cosine 0.9 in 64 dimensions is missed in about 1 of
-10,000 cases; nearer pairs less often.
+The width grows with the table and a longer code meets less often, so the number of tables follows
+from the width, the dimensions and the threshold: random pairs just at the threshold are hashed, and
+as many tables are taken as leave a miss of MISS (1 of 10,000); nearer pairs are missed less often.
+In 64 dimensions at cosine 0.9 with 3 probes these are 13 tables at width 2, 28 at 3 and 59 at 4.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths never link; equal vectors are one class and count as links of
@@ -29,6 +31,11 @@ from marlow.llm._io import broadcast_if, small_batches, written
 from marlow.llm.ngram_join import _groups, forest
 
 THRESHOLD, TABLES, PROBES, SEED, BLOCK = 0.9, 12, 3, 0xC05, 1024
+MISS = 1e-4
+# Below, signs and Hadamard transforms give too few different rotations; these are drawn whole.
+SMALL_DIMS = 16
+# The sample that tables_for() hashes.
+SAMPLE_PAIRS, SAMPLE_TABLES = 1500, 8
 BROADCAST_ROWS = 200_000
 
 
@@ -43,9 +50,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def padded(dims: int) -> int:
+    """The power of two, 2 at least, that vectors of so many components are filled up to."""
+    return 1 << max(1, int(dims - 1).bit_length())
+
+
 def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: int = 2, seed: int = SEED) -> np.ndarray:
     """(rows, tables, probes) bucket codes of unit vectors; the first probe is the own bucket, the others by rising loss."""
-    d = 1 << max(1, int(x.shape[1] - 1).bit_length())
+    d = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
     rng = np.random.default_rng([seed, d])
     near = min(3, d)
@@ -54,7 +66,9 @@ def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: int
         code, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
         for _ in range(width):
             y = x
-            for _ in range(3):
+            if d <= SMALL_DIMS:
+                y = y @ np.linalg.qr(rng.normal(size=(d, d)))[0]
+            for _ in range(3 if d > SMALL_DIMS else 0):
                 y = hadamard(y * rng.choice([-1.0, 1.0], d)) / np.sqrt(d)
             order = np.argsort(-np.abs(y), 1, kind="stable")[:, :near]
             v = np.take_along_axis(y, order, 1)
@@ -74,6 +88,21 @@ def width_for(rows: int, dims: int) -> int:
     return max(2, round(np.log(max(rows, 2)) / np.log(2 * max(dims, 2))))
 
 
+def tables_for(dims: int, width: int, probes: int = PROBES, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """Tables, TABLES at least, that leave `miss` of the pairs just at the threshold without a meeting, by the rate of one table on random pairs."""
+    rng = np.random.default_rng([SEED, dims, width])
+    a, b = rng.normal(size=(2, SAMPLE_PAIRS, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * b
+    p, q = (codes(v, SAMPLE_TABLES, probes, width) for v in (a, b))
+    met = ((p[:, :, :1] == q) | (q[:, :, :1] == p)).any(2).mean()
+    if met == 0:
+        raise ValueError(f"no pair at cosine {threshold} met in {SAMPLE_TABLES} tables of width {width}")
+    return TABLES if met == 1 else max(TABLES, int(np.ceil(np.log(miss) / np.log(1 - met))))
+
+
 def first_met(own: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, code: int) -> np.ndarray:
     """Whether each pair meets here first: in no earlier table, and in no smaller code of this one. own: (rows, tables, probes)."""
     a, b = own[i, : table + 1], own[j, : table + 1]
@@ -93,13 +122,21 @@ def _distinct(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")).withColumn("node", F.xxhash64("embedding"))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per input row of vec_id, embedding (array of float or double)."""
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, probes: int = PROBES) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per input row of vec_id, embedding (array of float or double).
+
+    Without a number of tables, as many as keep the recall at the width that the rows call for.
+    """
     small_batches(vectors.sparkSession)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     distinct = written(_distinct(vectors), "vectors")
-    n, dims = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(2))).first()
-    width = width_for(n, dims)
+    rows_of: dict[int, int] = {}
+    for size, n in distinct.groupBy(F.size("embedding")).count().collect():
+        rows_of[padded(size)] = rows_of.get(padded(size), 0) + n
+    shape = {}
+    for d, n in rows_of.items():
+        width = width_for(n, d)
+        shape[d] = (tables or tables_for(d, width, probes, threshold), width)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,7 +150,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
                 x = flat[first[at][:, None] + np.arange(d)]
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                c = codes(x, tables, probes, width)
+                count, width = shape[padded(int(d))]
+                c = codes(x, count, probes, width)
                 c = c * 4099 + d  # vectors of other lengths lie in other buckets
                 for k, r in enumerate(at):
                     blob[r], own[r] = x[k].tobytes(), c[k].tobytes()
@@ -142,7 +180,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
             i, j = np.nonzero(linked)
             if not len(i):
                 continue
-            own = np.stack([np.frombuffer(u.as_buffer(), np.int64) for g in group for u in g.column("own")]).reshape(len(node), tables, -1)
+            own = np.stack([np.frombuffer(u.as_buffer(), np.int64) for g in group for u in g.column("own")]).reshape(len(node), -1, probes)
             for lo in range(0, len(i), 1 << 16):
                 p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
                 linked[p, q] = first_met(own, p, q, t, code)

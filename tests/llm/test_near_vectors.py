@@ -54,6 +54,30 @@ def test_recall_at_the_threshold():
     assert met.mean() > 0.998
 
 
+def test_recall_at_every_width():
+    rng = np.random.default_rng(9)
+    for dims, width in ((64, 2), (64, 3), (64, 4), (2, 3), (4, 3), (8, 3), (256, 3)):
+        a, b = rng.normal(size=(2, 1500, dims))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        tables = near_vectors.tables_for(dims, width)
+        p, q = (near_vectors.codes(x, tables, width=width) for x in (a, b))
+        assert ((p[:, :, :1] == q) | (q[:, :, :1] == p)).any((1, 2)).mean() > 0.998, (dims, width, tables)
+
+
+def test_against_brute_force_at_width_four(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "width_for", lambda rows, dims: 4)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(200, 64))
+    near = rng.normal(size=(200, 64))
+    near -= (near * base).sum(1, keepdims=True) / (base * base).sum(1, keepdims=True) * base
+    near = 0.901 * base + np.sqrt(1 - 0.901**2) * near * (np.linalg.norm(base, axis=1) / np.linalg.norm(near, axis=1))[:, None]
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, near]))]
+    got = sorted(tuple(r) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == brute(rows) and sum(r[1] for r in got) == 400
+
+
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in queries.op2_near_vectors(spark, sf).collect()) == brute(rows)
