@@ -28,7 +28,7 @@ KINDS = {
     "us_ssn": ("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, "ssn|social security"),
 }
 BASE = ("email", "ip", "card", "phone")
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_PART = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)|0++)"
 _SPAN = "array<struct<start:int,kind_no:int,end:int,score:double>>"
 
 

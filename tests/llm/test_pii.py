@@ -47,6 +47,17 @@ def test_base_spans_against_plain_patterns(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["0.0.0.0", "at 10.0.0.1 now", "1.2.3.000", "127.0.0.1 192.168.0.10", "00.01.000.0255", "0.0.0.256", "0.0.0.0256 10.0.0.1000", "0" * 4000 + ".0.0.0", "0." * 9000 + "0", "100.200.0.250"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i].base == joined(brute(t)), (t[:50], got[i].base[:50])
+    assert [got[i].n_ip for i in range(8)] == [1, 1, 1, 2, 1, 0, 0, 1]
+    clean = pii.redact(spark.createDataFrame(rows[:4], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ["[IP]", "at [IP] now", "[IP]", "[IP] [IP]"]
+
+
 def test_added_kinds_and_context(spark):
     rows = [("IBAN: DE89 3704 0044 0532 0130 00.",), ("DE89370400440532013000",), ("DE88370400440532013000 bank",), ("her social security number is 219-09-9999",), ("part 219-09-9999",), ("mail me@x.org now",), ("see me@x.org",)]
     out = [r for r in pii.find_pii(spark.createDataFrame(rows, "text string").selectExpr("monotonically_increasing_id() as doc_id", "text")).orderBy("doc_id").collect()]
