@@ -162,6 +162,11 @@ def probe(data: bytes) -> dict:
     begin, end, tags = _skip_tags(data)
     raw = np.frombuffer(data, np.uint8)
     starts = _chain(raw, begin, end)
+    if tags[-1:] == ["ID3v1"]:
+        # bytes "TAG" inside a frame that ends with the file are that frame's
+        whole = _chain(raw, begin, len(data))
+        if len(whole) and whole[-1] < end and whole[-1] + int(frame(raw[whole[-1] : whole[-1] + 4][None])[0][0]) == len(data):
+            starts, end, tags = whole, len(data), tags[:-1]
     out = {"tags": tags, "frames": 0, "samples": 0, "rate": 0, "checked": 0, "damaged": 0, "table_frames": None, "skipped": int(end - begin), "seeks": np.zeros(0, np.int64), "body": np.zeros(0, np.int64)}
     if not len(starts):
         return out

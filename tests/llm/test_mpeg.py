@@ -57,6 +57,17 @@ def test_damage_and_junk():
         assert mpeg.probe(raw)["frames"] == 0 and mpeg.read(raw) == b""
 
 
+def test_tag_bytes_inside_the_last_frame():
+    for units in (1, 2, 5):
+        payload = mpeg.pad(b"x" * (576 * units - 71) + b"TAG" + b"y" * 68)
+        media = mpeg.write(payload)
+        assert media[-128:-125] == b"TAG"
+        f = mpeg.probe(media)
+        assert f["frames"] == units and f["skipped"] == 0 and f["tags"] == ["TSSE"] and mpeg.read(media, f) == payload
+        g = mpeg.probe(media + b"TAG" + bytes(125))
+        assert g["frames"] == units and g["skipped"] == 0 and g["tags"] == ["TSSE", "ID3v1"] and mpeg.read(media + b"TAG" + bytes(125), g) == payload
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "abc", 1), (2, None, 2), (3, "é" * 2000, 3), (3, "abc", 3)], "doc_id long, text string, media int")
     files = mpeg.store(df)
