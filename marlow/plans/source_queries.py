@@ -263,15 +263,20 @@ def overlap_ratio(spark: SparkSession, d: str) -> DataFrame:
     return r.crossJoin(F.broadcast(one)).select("k", F.round(geometry.iou(_C("rect"), _C("b")), 9).alias("iou"), m["x"].alias("x"), m["y"].alias("y"))  # one row
 
 
+def _screens(spark: SparkSession, d: str) -> DataFrame:
+    """Every rectangle, on screens of 400 neighbouring keys, so that no group grows with the table."""
+    return _rects(spark, d).withColumns({"g": F.expr("k div 400"), "pos": _C("k")})
+
+
 @query()
 def suppressed(spark: SparkSession, d: str) -> DataFrame:
-    r = _rects(spark, d).where("k <= 400").withColumns({"g": _C("k") % 4, "pos": _C("k")})
+    r = _screens(spark, d)
     return geometry.suppress(r, "g", 0.3).select("g", "k")
 
 
 @query()
 def kept_smaller(spark: SparkSession, d: str) -> DataFrame:
-    r = _rects(spark, d).where("k <= 400").withColumns({"g": _C("k") % 4, "pos": _C("k")})
+    r = _screens(spark, d)
     return geometry.keep_smaller(r, "g").select("g", "k")
 
 
