@@ -5,9 +5,12 @@ paragraphs of the corpus. Scanning is DataFrame functions alone: paragraphs with
 cut into words and word pairs, joined with the model's weights (a table whose size the statements
 fix), summed for each family and turned into calibrated probabilities. A predicted family is
 confirmed if one of its statements is covered by the paragraph; else the paragraph is unknown.
+Paragraphs that hold enough words of a statement are scored too: hints() has some of each one's words
+without which it can't be covered.
 
-Result: one row for each different (doc_id, paragraph number, paragraph text) with a cue word; a
-text without any, a null or empty one has no rows, repeated rows give one. A paragraph is a line.
+Result: one row for each different (doc_id, paragraph number, paragraph text) with a cue word or a
+confirmed family; a text without any, a null or empty one has no rows, repeated rows give one. A
+paragraph is a line; a statement that is wrapped over lines is judged line by line.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ UNKNOWN_STATEMENTS = [
     "see the license file for details", "his license was suspended by the court", "the shop holds a license to sell wine", "terms of use and privacy policy", "licensed premises open until midnight", "copyright law in general", "no permission was given to redistribute the minutes", "a public license for hunting and fishing", "the company released version 2 of the software under a new name",
 ]
 CUES = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|spdx|copyleft|public domain|unencumbered"
+# Words that hints() takes last.
+COMMON = frozenset("a and any as by except file for free in into is may not of or person published released software subject terms the this to under use with without you".split())
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 COVERED = 0.75
 # The bound of the training sample from the corpus.
@@ -64,6 +69,25 @@ def features_of(text: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
 
 
+def hints() -> list[str]:
+    """Words such that each text that covers a statement by COVERED has one of them or a cue word.
+
+    A statement of n words of which k must be there is not covered without any of n - k + 1 of them.
+    """
+    out = set()
+    for s in (s for x in STATEMENTS.values() for s in x):
+        own = sorted(set(words_of(s)), key=lambda w: (not re.search(CUES, w), w in COMMON, -len(w), w))
+        least = next(k for k in range(1, len(own) + 1) if k / len(own) >= COVERED)
+        out.update(w for w in own[: len(own) - least + 1] if not re.search(CUES, w))
+    return sorted(out)
+
+
+def _worth(text: Column) -> Column:
+    """Whether a text holds a cue word or a hint."""
+    words = "|".join(map(re.escape, hints()))
+    return text.rlike(CUES) | F.lower(text).rlike(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
+
+
 def fit(others: list[str]) -> Model:
     """Softmax regression on the statements, whole, shortened and among other words; classes weigh the same.
 
@@ -120,10 +144,10 @@ def _tokens(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, m: Model) -> DataFrame:
-    """doc_id, paragraph, family, probability, predicted, statement, covered, text: a row for each paragraph with a cue word."""
+    """doc_id, paragraph, family, probability, predicted, statement, covered, text: a row for each paragraph with a cue word or a confirmed family."""
     spark = docs.sparkSession
     table = spark.createDataFrame([(f, [float(x) for x in m.weights[i]]) for i, f in enumerate(m.features)], "feature string, w array<double>")
-    lines = docs.where(F.col("text").rlike(CUES)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(F.col("text").rlike(CUES))
+    lines = docs.where(_worth(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(_worth(F.col("text")))
     lines = lines.distinct().withColumn("words", _tokens(F.col("text")))
     pairs = F.zip_with(F.col("words"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     features = F.array_distinct(F.concat("words", F.filter(pairs, lambda p: p.contains(" "))))
@@ -141,4 +165,5 @@ def scan(docs: DataFrame, m: Model) -> DataFrame:
         best = F.when(F.col("k") == k, F.array_max(values)) if best is None else best.when(F.col("k") == k, F.array_max(values))
     scored = scored.withColumn("words", _tokens(F.col("text"))).withColumn("best", best)
     confirmed = F.coalesce(F.col("best.covered") >= COVERED, F.lit(False))
+    scored = scored.where(confirmed | F.col("text").rlike(CUES))
     return scored.select("doc_id", "paragraph", F.when(confirmed, predicted).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), predicted.alias("predicted"), F.col("best.statement").alias("statement"), F.round(F.coalesce("best.covered", F.lit(0.0)), 6).alias("covered"), "text")

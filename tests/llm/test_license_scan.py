@@ -1,3 +1,4 @@
+import random
 import re
 
 from marlow.llm import license_scan as ls
@@ -17,6 +18,24 @@ def test_families_unknown_and_defined_cases(spark):
     assert ls.scan(df.limit(0), m).count() == 0
 
 
+def test_covered_statements_without_cue_words(spark):
+    m = ls.fit(["some other words of a corpus", "more plain prose without any cue"] * 20)
+    texts = ["Text available under CC BY-SA 4.0.", "This work is under a Creative Commons Attribution 4.0 International deed", "under the sun by the sea", "a file for any person"]
+    rows = ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()
+    assert sorted((r.doc_id, r.family) for r in rows) == [(0, "cc"), (1, "cc")]
+
+
+def test_hints_keep_whatever_covers_a_statement(spark):
+    r, texts = random.Random(8), []
+    for s in (s for x in ls.STATEMENTS.values() for s in x):
+        own = sorted(set(ls.words_of(s)))
+        for _ in range(60):
+            least = next(k for k in range(1, len(own) + 1) if k / len(own) >= ls.COVERED)
+            texts.append(" ".join(r.sample(own, least)))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(~ls._worth(df.text)).count() == 0
+
+
 def test_scores_against_plain_python(spark):
     m = ls.fit(["plain prose"] * 10)
     text = "The software is released under the ISC License with permission, see below."
