@@ -1,13 +1,11 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by window hashes at minimisers.
 
-Of all suffixes of the texts only those at content-selected minimiser positions are kept. They are
-dealt out by a hash of their first PREFIX words and sorted, so that suffixes which begin alike are
-neighbours; a suffix whose neighbours all belong to the same text is dropped. The others are extended,
-word by word to the left and to the right of the shared prefix, to every passage of `least` words
-around it; sorted again, equal passages are neighbours, and each but the one of the smallest doc_id
-is a repeat. Overlapping repeats join to the longest passages. (Comparing neighbours in the order of
-the words on the right alone would lose a pair whenever a suffix with other words on the left sorts
-between its two, so each extension to the left is sorted and compared for itself.)
+Of all positions of the texts only content-selected minimisers are kept. They are grouped by a hash
+of their first PREFIX words; those whose group has one text alone are dropped. Around the others
+every window of `least` words is hashed; of equal hashes each but the one of the smallest doc_id is a
+repeat. Overlapping repeats join to the longest passages. No order of suffixes is built (neighbours in
+the order of the words on the right alone would lose a pair whenever a suffix with other words on the
+left sorts between its two), and a passage repeated inside one document alone is not reported.
 
 Defined cases: null, empty and shorter texts have no passages; rows with a null doc_id are neither
 judged nor a source; rows that share a doc_id are judged each against smaller ids; of exact copies
@@ -27,7 +25,7 @@ LEAST, PREFIX = 50, 20
 
 
 def neighbours(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, digest, pos, salts) of the suffixes whose run of equal prefixes in sorted order has another text in it.
+    """(doc_id, digest, pos, salts) of the suffixes whose run of equal prefixes has another text in it.
 
     A run is known by its smallest and largest text, which every task folds before it shuffles, so a run
     of any length is decided without being gathered; the suffixes then meet their runs in a sort-merge
