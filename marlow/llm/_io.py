@@ -43,6 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, dealt into buckets by `key`, so that joins by it, one after the other, don't shuffle df again."""
+    spark = df.sparkSession
+    called = f"marlow_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{called}").saveAsTable(called)
+    out = spark.table(called)
+    spark.sql(f"DROP TABLE {called}")  # the files stay, as with written()
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table that written() made and that nothing reads any more."""
     spark = df.sparkSession

@@ -3,30 +3,36 @@
 Anchors: in each window of `window` words the leftmost smallest hash among its grams of `gram`
 words. Which gram that is depends on the words alone, so equal windows have equal anchors, and
 about 2 / (window - gram + 2) of all positions are anchors. Each window belongs to one anchor.
+
+A group of rows with one anchor is compared in one task, up to GROUP_ROWS rows. Larger groups are
+dealt by the windows' own hashes and, within one window, by salts: whatever part of all rows a gram or
+a window holds, no task gets more than its share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlow.llm._io import written
 from marlow.llm._words import gram_hashes, leftmost_minima, pieces, text_digests, utf8, word_hashes, words
 
-WINDOW_BASE = 0xC2B2AE3D27D4EB4F
-# Rows of one anchor that one group holds; an anchor with more is dealt to several.
+WINDOW_KEY = 0xC2B2AE3D27D4EB4F
+# Rows of one anchor that one task compares; those of an anchor with more are dealt to several.
 GROUP_ROWS = 5_000
+BROADCAST_ROWS = 200_000
+# Windows that are compared at once.
+AT_ONCE = 1 << 19
 
 
 def salts(rows: F.Column) -> F.Column:
-    return F.least(F.lit(4096), F.ceil(rows / GROUP_ROWS)).cast("int")
+    return F.ceil(rows / GROUP_ROWS).cast("int")
 
 
-def _signed(x: np.ndarray) -> pa.Array:
+def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
@@ -43,156 +49,228 @@ def anchors_of(hashes: np.ndarray, first: np.ndarray, gram: int, window: int):
     return p, starts[runs], last, text[starts[runs]], grams[p]
 
 
-def _texts(batch: pa.RecordBatch):
-    """Word hashes and digests, a few texts at a time: (row of the first, hashes, first words, digests)."""
+def texts_of(batch: pa.RecordBatch):
+    """Word hashes and digests, a few texts at a time: (row of the first, hashes, first words, digests in two halves)."""
     data, offsets = utf8(batch.column("text"))
     for lo, hi in pieces(np.diff(offsets)):
         part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         starts, ends, first = words(part, own)
-        hashes = word_hashes(part, starts, ends)
-        yield lo, hashes, first, text_digests(hashes, first)
+        yield lo, word_hashes(part, starts, ends), first, text_digests(part, own)
+
+
+def with_text(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """(h, digest, doc_id, pos, check): every anchor of every text; digest tells texts apart, check is a second digest at a text's first anchor, else null."""
+    """(h, digest, doc_id, pos, check): every anchor of every text; digest tells texts apart, check is its other half at a text's first anchor, else null."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy()
-            for lo, hashes, first, digests in _texts(b):
+            for lo, hashes, first, (digests, checks) in texts_of(b):
                 p, _, _, text, h = anchors_of(hashes, first, gram, window)
                 later = np.diff(text, prepend=-1) == 0
-                check = text_digests(hashes, first, WINDOW_BASE)[text].view(np.int64)
-                yield pa.RecordBatch.from_arrays([_signed(h), _signed(digests[text]), pa.array(ids[lo + text]), pa.array((p - first[text]).astype(np.int32)), pa.array(check, mask=later)], ["h", "digest", "doc_id", "pos", "check"])
+                check = pa.array(checks[text].view(np.int64), mask=later)
+                yield pa.RecordBatch.from_arrays([signed(h), signed(digests[text]), pa.array(ids[lo + text]), pa.array((p - first[text]).astype(np.int32)), check], ["h", "digest", "doc_id", "pos", "check"])
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "h long, digest long, doc_id long, pos int, check long")
+    return with_text(docs).mapInArrow(find, "h long, digest long, doc_id long, pos int, check long")
 
 
-def windows(docs: DataFrame, found: DataFrame, gram: int, window: int) -> DataFrame:
-    """(h, doc_id, digest, start, w, salts): for each anchor in `found` the hashes of its windows, from `start` on.
+def shared(level: DataFrame) -> DataFrame:
+    """(h, salts): the grams of anchors() that stand in two different texts, with the number of groups their rows are dealt to.
 
-    found(doc_id, marks array<struct<digest, pos, salts>>) holds the anchors to extend and the number
-    of groups that each one's rows are dealt to.
+    A gram is known by its smallest and largest text, which every task folds before it shuffles, so one
+    of any number of rows is decided without being gathered.
+    """
+    runs = level.groupBy("h").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("n"))
+    return runs.where("low < high").select("h", salts(F.col("n")).alias("salts"))
+
+
+def marked(level: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, digest, pos, at, salts): the rows of anchors() whose gram is in shared().
+
+    Grams of many rows are few, at most rows / GROUP_ROWS. Where their counted number allows, they are
+    broadcast, so that their rows don't meet in one task.
+    """
+    rows = level.select("h", "doc_id", "digest", "pos")
+    hot = runs.where("salts > 1")
+    few = hot.count()
+    if few and few <= BROADCAST_ROWS:
+        split = rows.join(F.broadcast(hot), "h", "left")
+        found = split.where("salts is not null").unionByName(split.where("salts is null").drop("salts").join(runs.where("salts = 1").hint("merge"), "h"))
+    else:
+        found = rows.join(runs.hint("merge"), "h")
+    return found.select("doc_id", "digest", "pos", F.col("pos").alias("at"), "salts")
+
+
+def own_marks(b: pa.RecordBatch, lo: int, first: np.ndarray, digests: np.ndarray, most: int):
+    """Marks of a few texts of a batch with the words' own numbers: ascending keys (position * (most + 1) + distance back to `at`), and salts."""
+    marks = b.column("marks")
+    off = np.asarray(marks.offsets)[lo : lo + len(first)]
+    digest, pos, at, n = (marks.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64)[off[0] : off[-1]] for k in range(4))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(off))
+    good = digest == digests.view(np.int64)[text]  # rows that share a doc_id have other texts
+    key = ((first[text] + pos) * (most + 1) + pos - at)[good]
+    order = np.argsort(key, kind="stable")
+    return key[order], n[good][order]
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where it isn't one; keys ascend."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def place(p: np.ndarray, s: np.ndarray, gram: int, length: int, window: int) -> np.ndarray:
+    """Where the part of `length` words of the window from s on begins: around the anchor p, within the window; a longer part holds every shorter one."""
+    return np.clip(p - (length - gram) // 2, s, s + window - length)
+
+
+def windows(texts: DataFrame, marks: DataFrame, gram: int, before: int, length: int, window: int) -> DataFrame:
+    """(h, doc_id, digest, pos, salts, at, w): for each marked anchor where its windows' parts of `length` words begin, and their hashes.
+
+    marks(doc_id, marks array<struct<digest, pos, at, salts>>): anchors, and the beginnings of the parts
+    of `before` words that were repeated; a window whose part isn't among them is given up.
     """
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, marks = b.column("doc_id").to_numpy(), b.column("marks")
-            m_off = np.asarray(marks.offsets)
-            m_digest, m_pos, m_salts = (marks.values.field(k).to_numpy().astype(np.int64) for k in (0, 1, 2))
-            for lo, hashes, first, digests in _texts(b):
+            ids = b.column("doc_id").to_numpy()
+            for lo, hashes, first, (digests, _) in texts_of(b):
                 p, s, e, text, h = anchors_of(hashes, first, gram, window)
-                salts = np.zeros(len(p), np.int32)
-                edge = np.searchsorted(text, np.arange(len(first)))
-                for k in range(len(first) - 1):
-                    own = slice(m_off[lo + k], m_off[lo + k + 1])
-                    same = m_digest[own] == digests[k].view(np.int64)
-                    order = np.argsort(m_pos[own][same])
-                    pos, n = m_pos[own][same][order], m_salts[own][same][order]
-                    at = p[edge[k] : edge[k + 1]] - first[k]
-                    near = np.minimum(np.searchsorted(pos, at), max(len(pos) - 1, 0))
-                    if len(pos):
-                        salts[edge[k] : edge[k + 1]] = np.where(pos[near] == at, n[near], 0)
-                p, s, e, text, h, salts = (x[salts > 0] for x in (p, s, e, text, h, salts))
-                full = gram_hashes(hashes, window, WINDOW_BASE).view(np.int64)
-                n = e - s + 1
-                off = np.concatenate([[0], np.cumsum(n)])
-                flat = full[np.repeat(s - off[:-1], n) + np.arange(off[-1])] if len(n) else full[:0]
-                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(ids[lo + text]), _signed(digests[text]), pa.array((s - first[text]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)), pa.array(salts)], ["h", "doc_id", "digest", "start", "w", "salts"])
-
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found.hint("merge"), "doc_id")
-    return rows.select("doc_id", "text", "marks").mapInArrow(extend, "h long, doc_id long, digest long, start int, w array<long>, salts int")
-
-
-def _least(h: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each (h, w, d) the smallest d of the same h and w; and the first entry of each different pair."""
-    order = np.lexsort((d, w, h))
-    o_h, o_w = h[order], w[order]
+                keys, n = own_marks(b, lo, first, digests, window)
+                marked = np.isin(p, keys // (window + 1))
+                p, s, e, text, h = (x[marked] for x in (p, s, e, text, h))
+                count = e - s + 1
+                row = np.repeat(np.arange(len(p)), count)
+                start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + s[row]
+                salts = looked_up(keys, n, p[row] * (window + 1) + p[row] - place(p[row], start, gram, before, window))
+                row, start, salts = row[salts > 0], start[salts > 0], salts[salts > 0]
+                at = place(p[row], start, gram, length, window)
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1])
+                row, at, salts = row[new], at[new], salts[new]
+                full = gram_hashes(hashes, length, WINDOW_KEY ^ length)[at].view(np.int64)
+                some, begin = np.unique(row, return_index=True)
+                off = pa.array(np.append(begin, len(row)).astype(np.int32))
+                t = text[some]
+                yield pa.RecordBatch.from_arrays([signed(h[some]), pa.array(ids[lo + t]), signed(digests[t]), pa.array((p[some] - first[t]).astype(np.int32)), pa.array(salts[begin].astype(np.int32)), pa.ListArray.from_arrays(off, pa.array((at - first[text[row]]).astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(full))], ["h", "doc_id", "digest", "pos", "salts", "at", "w"])
+
+    rows = texts.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "marks")
+    return rows.mapInArrow(extend, "h long, doc_id long, digest long, pos int, salts int, at array<int>, w array<long>")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, weight: Callable[[pa.RecordBatch], int]) -> Iterator[pa.Table]:
+    """Batches sorted by `key` as tables of whole groups, several small ones together up to a weight of AT_ONCE."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h = b.column(key).to_numpy()
+        if held and size > AT_ONCE:
+            # what ends before the last group of this batch is whole
+            cut = int(np.searchsorted(h != held[-1].column(key)[-1].as_py(), True))
+            if cut < len(h):
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+                held, size, b = [], 0, b.slice(cut)
+        held.append(b)
+        size += weight(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy().astype(np.int64)
+
+
+def _flat(t: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in t.column(name).chunks]).astype(np.int64)
+
+
+def extremes(keys: tuple[np.ndarray, ...], *values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row the smallest and the largest of each of the values among the rows with the same keys."""
+    order = np.lexsort(keys[::-1])
     new = np.ones(len(order), bool)
-    new[1:] = (o_h[1:] != o_h[:-1]) | (o_w[1:] != o_w[:-1])
-    least = np.empty(len(order), np.int64)
-    least[order] = d[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else d
-    return least, order[new]
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    begin, group = np.flatnonzero(new), np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return [(np.minimum.reduceat(v[order], begin)[group], np.maximum.reduceat(v[order], begin)[group]) for v in values]
 
 
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of a batch its row, its place in the row, its hash."""
-    n = np.diff(np.asarray(b.column("w").offsets))
-    row = np.repeat(np.arange(len(n)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), b.column("w").flatten().to_numpy()
+REPEATED, RUNS = "doc_id long, digest long, pos int, at int, salts int", "doc_id long, digest long, s int, e int, source long"
 
 
-def _minima(rows: DataFrame) -> DataFrame:
-    """(h, salts, g, doc_id, w): the different windows of each group g with the smallest doc_id they stand in."""
+def _arrays(schema: str, values: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)).cast(kinds[t]) for v, (_, t) in zip(values, fields)], [n for n, _ in fields])
 
-    def folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, salts, d, w = (np.concatenate(x) for x in zip(*parts))
-        least, first = _least(h, w, d)
-        order = first[np.lexsort((least[first], h[first]))]
-        k_h, k_d = h[order], least[order]
-        cut = np.flatnonzero(np.append(True, (k_h[1:] != k_h[:-1]) | (k_d[1:] != k_d[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(k_h[cut]), pa.array(salts[order][cut].astype(np.int32)), pa.array(k_d[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)).astype(np.int32)), pa.array(w[order]))], ["h", "salts", "doc_id", "w"])
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            row, _, w = _flat(b)
-            if not len(row):
-                continue
-            held.append((*(b.column(k).to_numpy().astype(np.int64)[row] for k in ("h", "salts", "doc_id")), w))
-            n += len(row)
-            if n > 1 << 19:
-                yield folded(held)
-                held, n = [], 0
-        if held:
-            yield folded(held)
-
-    return rows.select("h", "salts", "doc_id", "w").mapInArrow(fold, "h long, salts int, doc_id long, w array<long>")
-
-
-def seen_before(rows: DataFrame) -> DataFrame:
-    """(doc_id, digest, s, e, source): runs of window starts s..e whose windows stand in a smaller doc_id too.
-
-    rows as windows() gives them. They are dealt by anchor and read in order of doc_id, and only the
-    different windows of a group are carried from batch to batch. An anchor with many rows is dealt
-    to `salts` groups; each of these also gets the group's different windows with their smallest
-    doc_id, folded in every task before they are shuffled.
-    """
-    rows = written(rows, "windows")
-    hot = rows.where("salts > 1").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    folded = _minima(hot.select("h", "salts", "doc_id", "w", "salt").repartition("h", "salt").sortWithinPartitions("h", "doc_id"))
-    folded = _minima(folded.repartition("h").sortWithinPartitions("h", "doc_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    known = folded.select("h", "doc_id", F.lit(0).cast("long").alias("digest"), F.lit(-1).alias("start"), "w", "salt")
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).select(known.columns).unionByName(known)
-    dealt = dealt.withColumn("h", F.when(F.col("salt") > 0, F.xxhash64("h", "salt")).otherwise(F.col("h"))).drop("salt")
+def runs_of(doc: np.ndarray, digest: np.ndarray, row: np.ndarray, at: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
+    """Starts `at` of windows as runs s..e of consecutive ones of one row and source; rows in order."""
+    cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-9) != 1) | (np.diff(source, prepend=source[:1]) != 0))
+    end = np.append(cut[1:], len(row)) - 1
+    return _arrays(RUNS, [doc[row[cut]], digest[row[cut]], at[cut], at[end], source[cut]])
+
+
+def _compared(rows: DataFrame, last: bool) -> DataFrame:
+    """repeated() of rows of anchors with few rows: each anchor's in one task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c_h = c_w = c_d = np.zeros(0, np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, d, digest, start = (b.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "digest", "start"))
-            row, place, flat = _flat(b)
-            at = start[row] + place
-            k_h, k_w, k_d = (np.concatenate(x) for x in ((c_h, h[row]), (c_w, flat), (c_d, d[row])))
-            least, first = _least(k_h, k_w, k_d)
-            open_ = first[k_h[first] == h[-1]]
-            mine = least[len(c_h) :]
-            hit = np.flatnonzero((d[row] > mine) & (start[row] >= 0))
-            c_h, c_w, c_d = k_h[open_], k_w[open_], k_d[open_]
+        for t in whole_groups(batches, "h", lambda b: len(b.column("w").flatten())):
+            n = np.concatenate([np.diff(np.asarray(c.offsets)) for c in t.column("w").chunks])
+            row = np.repeat(np.arange(len(n)), n)
+            doc, digest = _column(t, "doc_id"), _column(t, "digest")
+            w, at = _flat(t, "w"), _flat(t, "at")
+            (low, high), (source, _) = extremes((_column(t, "h")[row], w), digest[row], doc[row])
+            hit = np.flatnonzero(source < doc[row] if last else low < high)
             if len(hit):
-                r, a, m = row[hit], at[hit], mine[hit]
-                cut = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(a, prepend=-9) != 1) | (np.diff(m, prepend=m[0]) != 0))
-                end = np.append(cut[1:], len(hit)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(d[r[cut]]), pa.array(digest[r[cut]]), pa.array(a[cut].astype(np.int32)), pa.array(a[end].astype(np.int32)), pa.array(m[cut])], ["doc_id", "digest", "s", "e", "source"])
+                r = row[hit]
+                yield runs_of(doc, digest, r, at[hit], source[hit]) if last else _arrays(REPEATED, [doc[r], digest[r], _column(t, "pos")[r], at[hit], _column(t, "salts")[r]])
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, RUNS if last else REPEATED)
+
+
+def dealt_repeats(rows: DataFrame, last: bool) -> DataFrame:
+    """repeated() of rows of anchors with many rows, dealt by their windows' hashes and salts.
+
+    Each salt's windows are folded first, then those of all salts of a window, and what is known of the
+    window goes back to the salts it has rows in.
+    """
+    one = rows.select("h", "doc_id", "digest", "pos", "salts", F.explode(F.arrays_zip("at", "w")).alias("x")).select("h", "doc_id", "digest", "pos", "salts", "x.at", "x.w")
+    one = one.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    folded = one.groupBy("h", "w", "salt").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.min("doc_id").alias("source"))
+    of_all = Window.partitionBy("h", "w")
+    known = folded.select("h", "w", "salt", F.min("low").over(of_all).alias("low"), F.max("high").over(of_all).alias("high"), F.min("source").over(of_all).alias("source")).where("low < high").drop("low", "high")
+    hits = one.join(known.hint("merge"), ["h", "w", "salt"])
+    if last:
+        return hits.where("source < doc_id").select("doc_id", "digest", F.col("at").alias("s"), F.col("at").alias("e"), "source")
+    return hits.select("doc_id", "digest", "pos", "at", "salts")
+
+
+def repeated(rows: DataFrame, last: bool) -> DataFrame:
+    """Of windows(): the parts that stand in another text too, (doc_id, digest, pos, at, salts); of the last length (doc_id, digest, s, e, source),
+    runs of window starts s..e that stand in the smaller doc_id `source` too."""
+    return _compared(rows.where("salts = 1"), last).unionByName(dealt_repeats(rows.where("salts > 1"), last))
+
 
-    return dealt.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(compare, "doc_id long, digest long, s int, e int, source long")
+def by_document(marks: DataFrame) -> DataFrame:
+    """marks of windows() from rows of doc_id, digest, pos, at, salts."""
+    return marks.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "pos", "at", "salts")).alias("marks"))
 
 
 def copies(level: DataFrame) -> DataFrame:
-    """(doc_id, digest, first): texts of anchors() whose whole word sequence stands in a smaller doc_id, `first`."""
+    """(doc_id, digest, first): texts of anchors() whose whole word sequence stands in a smaller doc_id, `first`; both halves of their digests are equal."""
     heads = level.where("check is not null").select("doc_id", "digest", "check")
-    return heads.join(heads.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), ["digest", "check"]).where("first < doc_id").select("doc_id", "digest", "first")
+    few = Window.partitionBy("digest", "check")
+    salted = heads.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
+    folded = salted.groupBy("digest", "check", "salt").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    known = folded.select("digest", "check", "salt", F.min("first").over(few).alias("first"), F.sum("n").over(few).alias("n")).where("n > 1").drop("n")
+    return salted.join(known.hint("merge"), ["digest", "check", "salt"]).where("first < doc_id").select("doc_id", "digest", "first")
 
 
 ALL = 2**31 - 2**16

@@ -1,32 +1,25 @@
 """Words and word n-grams of a batch of texts as numpy arrays.
 
-A word is a run of bytes outside 0x20 and 0x09-0x0D of the UTF-8 text. Hashes are polynomials
-modulo 2**64 over random byte values, taken from prefix sums, so every n-gram of a text costs
-the same few vector operations whatever its length.
+A word is a run of bytes outside 0x20 and 0x09-0x0D of the UTF-8 text. Its hash is the sum of random
+values drawn for each pair of place and byte; n-grams are hashed by doubling, two halves mixed into
+one, so no hash is a polynomial and no regular text makes it collide. Whole texts are told apart by
+BLAKE2b over their words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_CHUNK = 1 << 18
-_M = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _IPOW = _powers(_P, _CHUNK), _powers(pow(_P, -1, 1 << 64), _CHUNK)
-_grown: dict[int, np.ndarray] = {}
+# Random values of the first PLACES places of a word; those of later places are mixed from place and byte.
+PLACES = 64
+_VALUES = np.random.default_rng(0x5EED).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_CHUNK = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,51 +66,56 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each word from starts to ends, which ascend and do not overlap; other bytes are not looked at."""
     out = np.zeros(len(starts), np.uint64)
-    carry, scale, unscale = np.uint64(0), 1, 1
-    step, unstep = pow(_P, _CHUNK, 1 << 64), pow(_P, -_CHUNK, 1 << 64)
     for at in range(0, len(data), _CHUNK):
-        part = data[at : at + _CHUNK]
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[part] * (_POW[: len(part)] * np.uint64(scale)), out=sums[1:])
-        sums += carry
-        lo, hi = np.searchsorted(starts, (at, at + len(part)))
-        out[lo:hi] -= sums[starts[lo:hi] - at]
-        elo, ehi = np.searchsorted(ends, (at + 1, at + len(part) + 1))
-        out[elo:ehi] += sums[ends[elo:ehi] - at]
-        # a word is finished where it ends; its start may lie chunks before
-        carry, scale, unscale = sums[-1], scale * step & _M, unscale * unstep & _M
-    block = starts // _CHUNK
-    shifts = np.array([pow(_P, -int(b) * _CHUNK, 1 << 64) for b in range(int(block[-1]) + 1)], np.uint64) if len(starts) else np.zeros(0, np.uint64)
-    return mix(out * _IPOW[starts % _CHUNK] * shifts[block]) if len(starts) else out
-
-
-def _table(base: int, n: int) -> np.ndarray:
-    if len(_grown.get(base, ())) < n:
-        _grown[base] = _powers(base, max(n, 1 << 16))
-    return _grown[base][:n]
-
-
-def gram_hashes(hashes: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """At each word the hash of the n words from it on; shorter by n - 1 than the input."""
+        to = min(len(data), at + _CHUNK)
+        # words that touch these bytes, cut to them
+        lo, hi = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(starts, to))
+        if lo >= hi:
+            continue
+        a, z = np.maximum(starts[lo:hi], at), np.minimum(ends[lo:hi], to)
+        n = z - a
+        edge = np.cumsum(n) - n
+        byte = np.repeat(a - edge, n) + np.arange(int(n.sum()))
+        place = byte - np.repeat(starts[lo:hi], n)
+        code = place * 256 + data[byte]
+        value = _VALUES[np.minimum(code, PLACES * 256 - 1)]
+        far = np.flatnonzero(place >= PLACES)
+        if len(far):
+            value[far] = mix(code[far].astype(np.uint64) * _ODD)
+        out[lo:hi] += np.add.reduceat(value, edge)
+    return mix(out + (ends - starts).astype(np.uint64) * _ODD)
+
+
+def _pair(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """A hash of two hashes in order."""
+    return mix(a + mix(b ^ np.uint64(key)))
+
+
+def gram_hashes(hashes: np.ndarray, n: int, key: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """At each word the hash of the n words from it on, by doubling; shorter by n - 1 than the input."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _table(base, len(hashes)), out=sums[1:])
-    back = _table(pow(base, -1, 1 << 64), len(hashes))
-    return mix((sums[n:] - sums[:-n]) * back[: len(hashes) - n + 1])
-
-
-def text_digests(hashes: np.ndarray, first: np.ndarray, base: int = 0xA0761D6478BD642F) -> np.ndarray:
-    """A hash of each text's word sequence (0 for none)."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _table(base, len(hashes)), out=sums[1:])
-    back = np.append(_table(pow(base, -1, 1 << 64), max(len(hashes), 1)), np.uint64(1))
-    n = np.diff(first)
-    out = mix((sums[first[1:]] - sums[first[:-1]]) * back[np.minimum(first[:-1], len(back) - 1)] + n.astype(np.uint64))
-    out[n == 0] = 0
-    return out
+    out, have, power, size = None, 0, hashes, 1
+    while True:
+        if n & size:
+            m = len(hashes) - have - size + 1
+            out, have = (power if out is None else _pair(out[:m], power[have : have + m], key)), have + size
+        if size * 2 > n:
+            return out
+        power, size = _pair(power[:-size], power[size:], key ^ size), size * 2
+
+
+def text_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit digest of each text's word sequence (0 for none)."""
+    out = np.zeros((len(offsets) - 1, 2), np.uint64)
+    raw, at = data.tobytes(), offsets.tolist()
+    for k in range(len(out)):
+        own = raw[at[k] : at[k + 1]].split()  # at the same bytes as words()
+        if own:
+            out[k] = np.frombuffer(hashlib.blake2b(b" ".join(own), digest_size=16).digest(), np.uint64)
+    return out[:, 0], out[:, 1]
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:

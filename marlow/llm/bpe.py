@@ -21,7 +21,7 @@ from marlow.llm._io import small_batches
 from marlow.llm._words import pieces as parts
 from marlow.llm._words import utf8, word_hashes
 
-CACHE_PIECES = 300_000
+CACHE_PIECES, CACHE_BYTES = 300_000, 1 << 25
 KNOWN_PAIRS = 1_000_000
 LONG_PIECE = 256
 
@@ -276,11 +276,25 @@ def splits(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(cut[:n]), good
 
 
+def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pieces have other bytes than the piece that stands for them."""
+    n = ends - starts
+    same = n == n[other]
+    row = np.flatnonzero(same)
+    edge = np.cumsum(n[row]) - n[row]
+    step = np.arange(int(n[row].sum())) - np.repeat(edge, n[row])
+    off = data[np.repeat(starts[row], n[row]) + step] != data[np.repeat(starts[other[row]], n[row]) + step]
+    if len(row):
+        same[row] = ~np.logical_or.reduceat(off, edge)
+    return np.flatnonzero(~same)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids, without moving the ids between processes.
 
-    Pieces of many texts are told apart by 64-bit hashes, each different one is encoded and its ids
-    decoded once for a part of the texts, or as long as it is kept.
+    Pieces of many texts are grouped by a hash, then compared byte by byte; each different one is encoded
+    and its ids decoded once for a part of the texts, or as long as it is kept. A text with a piece that
+    only shares its hash with another is encoded by itself.
     """
     import hashlib
 
@@ -292,7 +306,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         names, bytes_of = [str(i) for i in range(len(e.v.ranks))], e.v.bytes_of
-        known: dict[int, tuple[bytes, bytes, int]] = {}
+        known: dict[bytes, tuple[bytes, bytes, int]] = {}
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def line(ids: list[int]) -> tuple[bytes, bytes, int]:
@@ -309,15 +323,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, good = splits(own, at) if len(own) else (np.zeros(0, np.int64), np.ones(hi - lo, bool))
                 ends = np.append(starts[1:], len(own))
-                different, first, inverse = np.unique(word_hashes(own, starts, ends), return_index=True, return_inverse=True)
-                if len(known) > CACHE_PIECES:
+                _, first, inverse = np.unique(word_hashes(own, starts, ends), return_index=True, return_inverse=True)
+                if len(known) > CACHE_PIECES or sum(map(len, known)) > CACHE_BYTES:
                     known.clear()
-                keys = different.tolist()
-                new = [k for k, key in enumerate(keys) if key not in known]
                 raw = own.tobytes()
-                s, t = starts[first].tolist(), ends[first].tolist()
-                new_pieces = sorted([(raw[s[k] : t[k]], keys[k]) for k in new])
-                for (_, key), ids in zip(new_pieces, e.many([p for p, _ in new_pieces])):
+                keys = [raw[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())]
+                good = good & ~np.isin(np.arange(hi - lo), np.searchsorted(at, starts[unlike(own, starts, ends, first[inverse])], "right") - 1)
+                new = sorted(k for k in keys if k not in known)
+                for key, ids in zip(new, e.many(new)):
                     known[key] = line(ids)
                 texts_, back, size = zip(*[known[key] for key in keys]) if keys else ((), (), ())
                 n = np.concatenate([[0], np.cumsum(np.array(size, np.int64)[inverse])]) if keys else np.zeros(1, np.int64)

@@ -8,8 +8,8 @@ forest instead of pairs.
 
 Defined cases: a null text or one without words has no n-grams and links with nothing; a text of
 fewer words than n has one n-gram, all its words; rows with a null doc_id link with nothing; rows
-that share a doc_id are judged each by its text. Classes are told apart by a 64-bit hash of the
-word sequence, n-grams by 64-bit hashes.
+that share a doc_id are judged each by its text. Classes are told apart by 64 bits of BLAKE2b over the
+word sequence, n-grams by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int):
     """n-gram hashes of a few texts, with each text's first n-gram (one more at the end), and the texts' digests."""
     starts, ends, first = words(data, offsets)
     hashes = word_hashes(data, starts, ends)
-    digests = text_digests(hashes, first)
+    digests, _ = text_digests(data, offsets)
     grams = gram_hashes(hashes, n)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(np.arange(len(grams)) + n <= first[text[: len(grams)] + 1])

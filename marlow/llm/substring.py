@@ -1,53 +1,78 @@
 """Substring deduplication by level-wise doubling of word windows.
 
-Level 1 looks at windows of half the final length, one content-selected window per final window.
-Those that stand in two different texts alone go on to level 2, where they are extended to twice
-the length; what repeats there is removed from every document but the smallest doc_id. No level
-starts when no candidate survived the one before. Texts are compared as whole word sequences.
+Level 1 looks at windows of about a quarter of the final length, one content-selected window for each
+final one. Those that stand in two different texts alone go on to the next level, where they are
+extended to twice the length, and so on; of what repeats at the final length every document but the
+smallest doc_id loses its words. No level starts when no candidate survived the one before. Texts are
+dealt by doc_id once and read again at each level. Texts are compared as whole word sequences.
 
 Every row gets a result: null or empty texts have no words, texts shorter than the window lose
 nothing, rows with a null doc_id are neither judged nor a source, rows that share a doc_id are
-each judged against smaller ids only. Other columns of the input are not looked at.
+each judged against smaller ids only. A text of any length is taken whole, alone if it is long. Other
+columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm._io import small_batches, written
-from marlow.llm._repeats import anchors, copies, covered, salts, seen_before, whole, windows
-from marlow.llm._words import text_digests, utf8, word_hashes, words
+from marlow.llm._io import dealt, small_batches, written
+from marlow.llm._repeats import anchors, by_document, copies, covered, marked, repeated, shared, whole, windows
+from marlow.llm._words import text_digests, utf8, words
 
+LEVELS = 3
 
-def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, digest, s, e, source): runs of starts of windows that stand in a smaller doc_id too."""
-    half = (window + 1) // 2
+
+def lengths(window: int, levels: int = LEVELS) -> list[int]:
+    """Window lengths of the levels, each about twice the one before, the last one `window`."""
+    out = [window]
+    while len(out) < levels and out[0] > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def texts_by_id(docs: DataFrame) -> DataFrame:
+    """docs that have a doc_id, as long, dealt by it."""
     small_batches(docs.sparkSession)
-    level = written(anchors(docs, half, window), "level1")
-    # texts are told apart by their digest: exact copies alone do not make a window go on, they go as a whole
+    return dealt(docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "texts")
+
+
+def repeated_windows(texts: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, digest, s, e, source): runs of starts of windows that stand in a smaller doc_id too. texts: as texts_by_id() gives them."""
+    gram, *longer = lengths(window)
+    level = written(anchors(texts, gram, window), "level1")
+    # exact copies alone do not make a window go on, they go as a whole
     same = written(copies(level), "copies")
-    repeated = level.groupBy("h").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    repeated = written(repeated.select("h", salts(F.col("n")).alias("salts")), "repeated")
-    left = level.join(repeated, "h").join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    found = left.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "pos", "salts")).alias("marks"))
     out = whole(same)
-    return out if repeated.isEmpty() else out.unionByName(seen_before(windows(docs, found, half, window)))
+    marks = written(by_document(marked(level, written(shared(level), "repeated")).join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")), "marks")
+    for before, length in zip([gram, *longer], longer or [gram]):
+        if marks.isEmpty():
+            break
+        rows = written(windows(texts, marks, gram, before, length, window), "windows")
+        if length == window:
+            out = out.unionByName(repeated(rows, True))
+        else:
+            marks = written(by_document(repeated(rows, False)), "marks")
+    return out
 
 
-def remove_repeats(docs: DataFrame, spans: DataFrame, window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, find: Callable[[DataFrame, int], DataFrame], window: int = 50) -> DataFrame:
     """docs with n_words, n_removed, kept (the words left, by one space) and, as `text`, the text without the removed words.
 
-    spans(doc_id, digest, s, e) as repeated_windows() gives them; the digest keeps rows that share a
-    doc_id apart.
+    find(texts, window) gives spans (doc_id, digest, s, e) as repeated_windows() does; the digest keeps
+    rows that share a doc_id apart. Rows without a doc_id have no spans.
     """
-    per = spans.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set(F.struct("digest", "s", "e")).alias("spans"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = [f"_{i}" for i in range(len(rest))]
-    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(rest, inner)]).withColumn("_key", F.col("doc_id").cast("long")).join(per.hint("merge"), "_key", "left").drop("_key")
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(rest, inner)])
+    texts = texts_by_id(plain)
+    per = find(texts, window).groupBy("doc_id").agg(F.collect_set(F.struct("digest", "s", "e")).alias("spans"))
+    rows = texts.join(per.hint("merge"), "doc_id", "left").unionByName(plain.where("doc_id is null").withColumn("doc_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    rows = rows.select("doc_id", "text", *inner, "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -58,8 +83,8 @@ def remove_repeats(docs: DataFrame, spans: DataFrame, window: int = 50) -> DataF
                 gone: list[tuple[int, int]] = []
                 if marks:
                     data, offsets = utf8(texts.slice(k, 1))
-                    starts, ends, first = words(data, offsets)
-                    digest = int(text_digests(word_hashes(data, starts, ends), first).view("int64")[0])
+                    starts = words(data, offsets)[0]
+                    digest = int(text_digests(data, offsets)[0].view("int64")[0])
                     gone = covered([(x["s"], x["e"]) for x in marks if x["digest"] == digest], window, len(starts))
                 own = raw.split()
                 n_words.append(len(own))
@@ -84,10 +109,9 @@ def remove_repeats(docs: DataFrame, spans: DataFrame, window: int = 50) -> DataF
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in ["doc_id", "text", *inner]) + ", _n_words long, _n_removed long, _kept string"
     out = rows.mapInArrow(cut, schema)
-    return out.select("doc_id", "text", *[F.col(x).alias(c) for c, x in zip(rest, inner)], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept"))
+    return out.select(F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "text", *[F.col(x).alias(c) for c, x in zip(rest, inner)], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, text without repeats, n_words, n_removed, kept (words left, by one space): one row per input row."""
-    docs = docs.select("doc_id", "text")
-    return remove_repeats(docs, repeated_windows(docs, window), window)
+    return remove_repeats(docs.select("doc_id", "text"), repeated_windows, window)

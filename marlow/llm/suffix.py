@@ -1,50 +1,126 @@
-"""Repeated passages by window hashes at minimisers.
-
-Of all positions of the texts only content-selected minimisers are kept. They are grouped by a hash
-of their first PREFIX words; those whose group has one text alone are dropped. Around the others
-every window of `least` words is hashed; of equal hashes each but the one of the smallest doc_id is a
-repeat. Overlapping repeats join to the longest passages. No order of suffixes is built (neighbours in
-the order of the words on the right alone would lose a pair whenever a suffix with other words on the
-left sorts between its two), and a passage repeated inside one document alone is not reported.
+"""Repeated passages by sparse suffix arrays.
+
+Of all suffixes of the texts (each from a word on) only those at content-selected minimiser positions
+are kept. Suffixes of equal first PREFIX words are a run; runs of one text alone are dropped. The
+suffixes of a run are put in the order of the words on their right, and in that of the words on their
+left read backwards; comparing neighbours in both orders gives how far each one's words go on being
+those of others. Neighbours on the right alone would lose a pair whenever a suffix with other words on
+the left sorts between its two, so every division of a passage of `least` words into a left and a right
+part is looked at: suffixes that agree in both parts are one stretch of each order. What a smaller
+doc_id has too is a repeat, and overlapping repeats extend to the longest passages. A run over
+GROUP_ROWS suffixes isn't sorted in one task: its passages of `least` words are dealt by their hashes.
+A passage repeated inside one document alone is not reported.
 
 Defined cases: null, empty and shorter texts have no passages; rows with a null doc_id are neither
 judged nor a source; rows that share a doc_id are judged each against smaller ids; of exact copies
-all but the smallest doc_id are one passage, the whole text (if it has `least` words).
+all but the smallest doc_id are one passage, the whole text (if it has `least` words). Very long texts
+are taken whole. Words are compared by 32-bit hashes: two different ones pass for equal once in 2**32.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm._io import small_batches, written
-from marlow.llm._repeats import ALL, anchors, copies, salts, seen_before, whole, windows
-from marlow.llm.substring import remove_repeats
+from marlow.llm._io import written
+from marlow.llm._repeats import ALL, RUNS, anchors, anchors_of, by_document, copies, dealt_repeats, extremes, marked, own_marks, runs_of, shared, signed, texts_of, whole, whole_groups, windows
+from marlow.llm.substring import remove_repeats, texts_by_id
 
 LEAST, PREFIX = 50, 20
 
 
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, digest, pos, salts) of the suffixes whose run of equal prefixes has another text in it.
+def _lists(values: np.ndarray, begin: np.ndarray, n: np.ndarray, step: int) -> pa.ListArray:
+    """Of each row n values from begin on, forwards or backwards."""
+    off = np.append(0, np.cumsum(n))
+    at = np.repeat(begin, n) + step * (np.arange(off[-1]) - np.repeat(off[:-1], n))
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values[at].astype(np.uint32).view(np.int32)))
 
-    A run is known by its smallest and largest text, which every task folds before it shuffles, so a run
-    of any length is decided without being gathered; the suffixes then meet their runs in a sort-merge
-    join. salts: the number of groups that the run's suffixes are dealt to when they are extended.
-    """
-    runs = suffixes.groupBy("h").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = written(runs.select("h", salts(F.col("n")).alias("salts")), "runs")
-    return suffixes.select("h", "doc_id", "digest", "pos").join(shared.hint("merge"), "h").select("doc_id", "digest", "pos", "salts")
 
+def suffixes(texts: DataFrame, marks: DataFrame, prefix: int, least: int) -> DataFrame:
+    """(h, doc_id, digest, pos, fewest, left, right): the marked suffixes with the words around the prefix that their passages of `least` words can have.
+
+    left: words before the suffix, the nearest first; right: words behind the prefix; fewest: words on
+    the left that each of its passages has at least.
+    """
 
-def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, digest, s, e, source): runs of starts of passages of `least` words that stand in a smaller doc_id, `source`."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            for lo, hashes, first, (digests, _) in texts_of(b):
+                p, s, e, text, h = anchors_of(hashes, first, prefix, least)
+                keys, _ = own_marks(b, lo, first, digests, least)
+                own = np.isin(p, keys // (least + 1))
+                p, s, e, text, h = (x[own] for x in (p, s, e, text, h))
+                yield pa.RecordBatch.from_arrays([signed(h), pa.array(ids[lo + text]), signed(digests[text]), pa.array((p - first[text]).astype(np.int32)), pa.array((p - e).astype(np.int32)), _lists(hashes, p - 1, p - s, -1), _lists(hashes, p + prefix, e + least - prefix - p, 1)], ["h", "doc_id", "digest", "pos", "fewest", "left", "right"])
+
+    rows = texts.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "marks")
+    return rows.mapInArrow(cut, "h long, doc_id long, digest long, pos int, fewest int, left array<int>, right array<int>")
+
+
+def common(run: np.ndarray, lists: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by run and words, each one's place in it, and how many first words it shares with the one before it there (-1: another run)."""
+    n = np.concatenate([np.diff(np.asarray(c.offsets)) for c in lists.chunks])
+    flat = np.concatenate([c.flatten().to_numpy() for c in lists.chunks])
+    words = np.full((len(n), width + 1), np.int64(2**40))
+    row = np.repeat(np.arange(len(n)), n)
+    words[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    order = np.lexsort((*words.T[-2::-1], run))
+    words, n, run = words[order], n[order], run[order]
+    shared_ = np.full(len(n), -1)
+    same = words[1:] == words[:-1]
+    same[:, -1] = False
+    shared_[1:] = np.where(run[1:] == run[:-1], np.minimum(same.argmin(1), np.minimum(n[1:], n[:-1])), -1)
+    place = np.empty(len(n), np.int64)
+    place[order] = np.arange(len(n))
+    return order, place, shared_
+
+
+def neighbours(rows: DataFrame, prefix: int, least: int) -> DataFrame:
+    """(doc_id, digest, s, e, source) of suffixes(): runs of starts of passages that stand in the smaller doc_id `source` too."""
+    width = least - prefix
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "h", lambda b: 16 * b.num_rows):
+            run, doc, digest, pos, fewest = (t.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "digest", "pos", "fewest"))
+            most = np.concatenate([np.diff(np.asarray(c.offsets)) for c in t.column("left").chunks])
+            sides = [common(run, t.column(k), width) for k in ("left", "right")]
+            # the neighbour that shares most, before or behind
+            best = [np.maximum(shared_, np.append(shared_[1:], -1))[place] for _, place, shared_ in sides]
+            open_ = (best[0] + best[1] >= width) & (best[0] >= 0)
+            found = []
+            for j in range(width + 1):
+                own = np.flatnonzero(open_ & (fewest <= j) & (j <= most) & (best[0] >= j) & (best[1] >= width - j))
+                if not len(own):
+                    continue
+                # stretches of suffixes that share j words on the left, and the others on the right
+                stretch = [np.cumsum(shared_ < d)[place[own]] for (_, place, shared_), d in zip(sides, (j, width - j))]
+                ((source, _),) = extremes((stretch[0], stretch[1]), doc[own])
+                hit = source < doc[own]
+                found.append((own[hit], pos[own[hit]] - j, source[hit]))
+            if found:
+                row, at, source = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((at, row))
+                if len(row):
+                    yield runs_of(doc, digest, row[order], at[order], source[order])
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, RUNS)
+
+
+def repeated_passages(texts: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, digest, s, e, source): runs of starts of passages of `least` words that stand in a smaller doc_id, `source`. texts: as texts_by_id() gives them."""
     prefix = min(PREFIX, max(1, least - 1))
-    small_batches(docs.sparkSession)
-    kept = written(anchors(docs, prefix, least), "suffixes")
+    kept = written(anchors(texts, prefix, least), "suffixes")
     same = written(copies(kept), "copies")
-    rest = kept.join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    marks = neighbours(rest).groupBy("doc_id").agg(F.collect_set(F.struct("digest", "pos", "salts")).alias("marks"))
-    return whole(same).unionByName(seen_before(windows(docs, marks, prefix, least)))
+    runs = written(shared(kept), "runs")
+    marks = marked(kept, runs).join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+    out = whole(same).unionByName(neighbours(suffixes(texts, by_document(marks.where("salts = 1")), prefix, least), prefix, least))
+    if runs.where("salts > 1").isEmpty():
+        return out
+    return out.unionByName(dealt_repeats(windows(texts, by_document(marks.where("salts > 1")), prefix, prefix, least, least), True))
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -52,7 +128,7 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     One row per document and longest range that overlapping repeats cover; of a whole copy end is null.
     """
-    runs = repeated_passages(docs.select("doc_id", "text"), least).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("s", "e", "source"))).alias("runs"))
+    runs = repeated_passages(texts_by_id(docs.select("doc_id", "text")), least).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("s", "e", "source"))).alias("runs"))
     none = F.array().cast("array<struct<start:int,end:int,sources:array<bigint>>>")
 
     def join(done: Column, r: Column) -> Column:
@@ -74,7 +150,7 @@ def without_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
     plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(extra)])
-    out = remove_repeats(plain, repeated_passages(plain, least), least).where("n_removed = 0 or n_removed < n_words")
+    out = remove_repeats(plain, repeated_passages, least).where("n_removed = 0 or n_removed < n_words")
     lengths = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(f"c_{i}")).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"c_{i}").alias(c) for i, c in enumerate(extra)]
     named = {"doc_id": F.col("doc_id"), "text": F.col("text"), **dict(zip(extra, lengths))}
     return out.select(*[named[c] for c in docs.columns])

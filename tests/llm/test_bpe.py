@@ -89,6 +89,18 @@ def test_digests_of_odd_texts(spark, tok):
     assert got == {i: hashlib.sha256(" ".join(map(str, tok.encode_ordinary(t))).encode()).hexdigest() for i, t in rows}
 
 
+def test_pieces_are_compared_by_bytes(spark, tok):
+    data = np.frombuffer(b"ab ac ab abc", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 12])
+    assert bpe.unlike(data, starts, ends, np.array([0, 0, 0, 0])).tolist() == [1, 3] and bpe.unlike(data, starts, ends, np.arange(4)).tolist() == []
+    assert bpe.unlike(data, starts[:0], ends[:0], starts[:0]).tolist() == []
+    # regular pieces that polynomial hashes modulo 2**64 take for equal
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(k, "".join("ab"[x ^ k] for x in bits)) for k in (0, 1)]
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in bpe.digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, P.PATTERN).collect()}
+    assert got == {k: (len(tok.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for k, t in rows}
+
+
 def test_query(spark, sf, tok):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = {}

@@ -2,6 +2,7 @@ import random
 import re
 
 from marlow.llm import ngram_join, queries
+from tests.llm.test_substring import swapped
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,6 +63,12 @@ def test_against_brute_force(spark, monkeypatch):
     assert one.columns == df.columns and {x.doc_id for x in one.collect()} == {d for d, c, _ in brute(rows) if d is None or d == c}
 
 
+def test_regular_texts_are_two_classes(spark):
+    rows = list(enumerate(swapped()))
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.class_id, x.copy_id, x.n_links, x.kept) for x in got) == [(0, 0, 0, 0, True), (1, 1, 1, 0, True)]
+
+
 def test_bands():
     b, r = ngram_join.bands_and_rows(0.8, 0.9995)
     assert b * r <= 128 and 1 - (1 - 0.8**r) ** b >= 0.9995

@@ -33,8 +33,26 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
     seen = {}
     for i, x in enumerate(g.tolist()):
         assert seen.setdefault(x, tuple(words[i : i + 3])) == tuple(words[i : i + 3])
-    d = w.text_digests(*hashes(["q a b", "a b", "a  b", "", "b a", None])[:2])
-    assert d[1] == d[2] != d[4] and d[3] == d[5] == 0 and d[0] != d[1]
+    for d in w.text_digests(*w.utf8(pa.array(["q a b", "a b", "a  b", "", "b a", None], pa.string()))):
+        assert d[1] == d[2] != d[4] and d[3] == d[5] == 0 and d[0] != d[1]
+
+
+def test_hashes_of_n_words_whatever_n():
+    h = np.random.default_rng(5).integers(0, 2**63, 70).astype(np.uint64)
+    for n in (1, 2, 3, 5, 7, 8, 13, 50, 70):
+        g = w.gram_hashes(h, n)
+        assert len(g) == 70 - n + 1 == len(set(g.tolist())) and [w.gram_hashes(h[i : i + n], n)[0] for i in range(len(g))] == g.tolist()
+    assert len(w.gram_hashes(h, 71)) == 0
+
+
+def test_regular_patterns_do_not_collide():
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)] + [" ".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]
+    h, first, _ = hashes(texts)
+    assert h[0] != h[1]
+    for n in (256, 1024):
+        a, b = (w.gram_hashes(h[first[k] : first[k + 1]], n)[0] for k in (2, 3))
+        assert a != b
 
 
 def test_leftmost_minima_and_anchors():
