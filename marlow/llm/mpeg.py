@@ -154,8 +154,45 @@ def _chain(data: np.ndarray, at: int, end: int) -> list[int]:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _number(data: bytes, at: int, n: int = 4) -> int | None:
+    """A big-endian number, None where the bytes end before it does."""
+    return int.from_bytes(data[at : at + n], "big") if at + n <= len(data) else None
+
+
+def rate_table(data: bytes, start: int, body: int, stop: int) -> dict | None:
+    """The variable-bitrate table in the frame start..stop: kind, frames, bytes and seek points (byte offsets from the frame on); None if there is none.
+
+    Xing or Info stands behind the side information: flags say which of frames, bytes and 100 seek
+    entries (in 256ths of the bytes) follow. VBRI stands at 36: bytes, frames, then the sizes of equally
+    many frames each. What the frame is too short for is None or left out.
+    """
+    part = data[:stop]
+    kind = part[body : body + 4]
+    if kind in (b"Xing", b"Info"):
+        flags, at, out = _number(part, body + 4) or 0, body + 8, {"kind": kind.decode(), "frames": None, "bytes": None, "points": []}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[name], at = _number(part, at), at + 4
+        if flags & 4 and at + 100 <= len(part) and out["bytes"] is not None:
+            out["points"] = [x * out["bytes"] // 256 for x in part[at : at + 100]]
+        return out
+    at = start + 36
+    if part[at : at + 4] != b"VBRI":
+        return None
+    out = {"kind": "VBRI", "frames": _number(part, at + 14), "bytes": _number(part, at + 10), "points": []}
+    count, scale, width = (_number(part, at + k, 2) or 0 for k in (18, 20, 22))
+    total = 0
+    for k in range(count if 0 < width <= 4 else 0):
+        size = _number(part, at + 26 + k * width, width)
+        if size is None:
+            break
+        total += size * scale
+        out["points"].append(total)
+    return out
+
+
 def probe(data: bytes) -> dict:
-    """Facts of an MPEG audio file; of bytes without any frame, zeros.
+    """Facts of an MPEG audio file; of bytes without any frame, zeros. Any bytes will do: what a cut file lacks is left out.
 
     samples and rate give the exact duration; seeks are byte offsets of every frame that holds audio.
     """
@@ -167,29 +204,27 @@ def probe(data: bytes) -> dict:
         whole = _chain(raw, begin, len(data))
         if len(whole) and whole[-1] < end and whole[-1] + int(frame(raw[whole[-1] : whole[-1] + 4][None])[0][0]) == len(data):
             starts, end, tags = whole, len(data), tags[:-1]
-    out = {"tags": tags, "frames": 0, "samples": 0, "rate": 0, "checked": 0, "damaged": 0, "table_frames": None, "skipped": int(end - begin), "seeks": np.zeros(0, np.int64), "body": np.zeros(0, np.int64)}
+    out = {"tags": tags, "frames": 0, "samples": 0, "rate": 0, "checked": 0, "damaged": 0, "table_kind": None, "table_frames": None, "table_bytes": None, "table_points": [], "skipped": int(end - begin), "seeks": np.zeros(0, np.int64), "body": np.zeros(0, np.int64)}
     if not len(starts):
         return out
     heads = raw[starts[:, None] + np.arange(4)]
     length, samples, rate, side, layer, protected = frame(heads)
     body = starts + 4 + 2 * protected + side
-    info = data[body[0] : body[0] + 4]
-    table = None
+    table = rate_table(data, int(starts[0]), int(body[0]), int(starts[0] + length[0]))
     audio = np.ones(len(starts), bool)
-    if info in (b"Xing", b"Info"):
-        flags = struct.unpack(">I", data[body[0] + 4 : body[0] + 8])[0]
-        table = struct.unpack(">I", data[body[0] + 8 : body[0] + 12])[0] if flags & 1 else None
-        audio[0] = False
-    elif data[starts[0] + 36 : starts[0] + 40] == b"VBRI":
-        table = struct.unpack(">I", data[starts[0] + 50 : starts[0] + 54])[0]
-        audio[0] = False
-    bad = 0
-    guard = np.flatnonzero(protected & (layer == 3))
+    audio[0] = table is None
+    table = table or {"kind": None, "frames": None, "bytes": None, "points": []}
+    bad = checked = 0
+    guard = np.flatnonzero(protected & (layer == 3) & (body <= starts + length))
     for n in np.unique(side[guard]):
         own = starts[guard[side[guard] == n]]
         kept = raw[own + 4].astype(np.uint32) << 8 | raw[own + 5]
         bad += int((crc16(raw[own[:, None] + np.concatenate([[2, 3], np.arange(6, 6 + n)])]) != kept).sum())
-    return out | {"frames": int(audio.sum()), "samples": int(samples[audio].sum()), "rate": int(rate[0]), "checked": len(guard), "damaged": bad, "table_frames": table, "skipped": int(end - begin - length.sum()), "seeks": starts[audio], "body": body[audio]}
+        checked += len(own)
+    return out | {
+        "frames": int(audio.sum()), "samples": int(samples[audio].sum()), "rate": int(rate[0]), "checked": checked, "damaged": bad, "table_kind": table["kind"], "table_frames": table["frames"],
+        "table_bytes": table["bytes"], "table_points": table["points"], "skipped": int(end - begin - length.sum()), "seeks": starts[audio], "body": body[audio],
+    }
 
 
 def read(data: bytes, facts: dict | None = None) -> bytes:
@@ -202,7 +237,7 @@ def read(data: bytes, facts: dict | None = None) -> bytes:
 def feature(facts: dict) -> str:
     """Values of a file as one line: exact duration in samples at a rate, frames, checksums, table, tags, seek offsets' checksum."""
     seeks = zlib.crc32(facts["seeks"].astype("<i8").tobytes())
-    return f"samples={facts['samples']}/{facts['rate']};frames={facts['frames']};table={facts['table_frames']};crc={facts['checked']}-{facts['damaged']};skipped={facts['skipped']};tags={'+'.join(facts['tags'])};seeks={seeks:08x}"
+    return f"samples={facts['samples']}/{facts['rate']};frames={facts['frames']};table={facts['table_frames']};crc={facts['checked']}-{facts['damaged']};points={len(facts['table_points'])};bytes={facts['table_bytes']};skipped={facts['skipped']};tags={'+'.join(facts['tags'])};seeks={seeks:08x}"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -217,7 +252,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
-FACTS = "tags array<string>, frames long, samples long, rate int, duration_s double, checked long, damaged long, table_frames long, skipped long, seeks array<long>"
+FACTS = "tags array<string>, frames long, samples long, rate int, duration_s double, checked long, damaged long, table_kind string, table_frames long, table_bytes long, table_points array<long>, skipped long, seeks array<long>"
 
 
 def probe_column(files: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
@@ -229,7 +264,7 @@ def probe_column(files: DataFrame, column: str = "media", key: str = "doc_id") -
             x = [probe(m or b"") for m in b.column(1).to_pylist()]
             take = lambda k, t: pa.array([f[k] for f in x], t)
             seconds = pa.array([f["samples"] / f["rate"] if f["rate"] else 0.0 for f in x], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), take("tags", pa.list_(pa.string())), *[take(k, pa.int64()) for k in ("frames", "samples")], take("rate", pa.int32()), seconds, *[take(k, pa.int64()) for k in ("checked", "damaged", "table_frames", "skipped")], take("seeks", pa.list_(pa.int64()))], ["key", *[f.split()[0] for f in FACTS.split(", ")]])
+            yield pa.RecordBatch.from_arrays([b.column(0), take("tags", pa.list_(pa.string())), *[take(k, pa.int64()) for k in ("frames", "samples")], take("rate", pa.int32()), seconds, *[take(k, pa.int64()) for k in ("checked", "damaged")], take("table_kind", pa.string()), *[take(k, pa.int64()) for k in ("table_frames", "table_bytes")], take("table_points", pa.list_(pa.int64())), take("skipped", pa.int64()), take("seeks", pa.list_(pa.int64()))], ["key", *[f.split()[0] for f in FACTS.split(", ")]])
 
     return files.select(key, column).mapInArrow(run, f"`{key}` {dict(files.dtypes)[key]}, {FACTS}")
 

@@ -68,6 +68,53 @@ def test_tag_bytes_inside_the_last_frame():
         assert g["frames"] == units and g["skipped"] == 0 and g["tags"] == ["TSSE", "ID3v1"] and mpeg.read(media + b"TAG" + bytes(125), g) == payload
 
 
+def tabled(kind):
+    """A file whose first frame holds a table of the given kind: MPEG-1, 128 kbit/s, 44.1 kHz, stereo, then three frames of sound."""
+    head, n = b"\xff\xfb\x90\x64", 417
+    if kind == "VBRI":
+        info = bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4 * n, 3, 3, 1, 2, 1) + struct.pack(">HHH", n, n, n)
+    else:
+        info = bytes(32) + kind.encode() + struct.pack(">III", 7, 3, 4 * n) + bytes(k * 256 // 100 for k in range(100))
+    return b"".join(head + x.ljust(n - 4, b"\0") for x in (info, b"", b"", b""))
+
+
+def test_rate_tables():
+    f = mpeg.probe(tabled("Xing"))
+    assert (f["table_kind"], f["table_frames"], f["table_bytes"], f["frames"], f["samples"]) == ("Xing", 3, 1668, 3, 3 * 1152) and f["table_points"] == [k * 256 // 100 * 1668 // 256 for k in range(100)]
+    f = mpeg.probe(tabled("VBRI"))
+    assert (f["table_kind"], f["table_frames"], f["table_bytes"], f["frames"], f["table_points"]) == ("VBRI", 3, 1668, 3, [417, 834, 1251])
+    assert mpeg.probe(tabled("Info"))["table_kind"] == "Info" and mpeg.probe(mpeg.write(b"x" * 576))["table_bytes"] == 1296
+
+
+def test_cut_and_broken_files_are_read_as_far_as_they_go():
+    short = b"\xff\xf3\x14\xc0" + bytes(9)
+    for raw in (short + b"Xing" + struct.pack(">I", 7) + b"\0\0\0", short + b"Xing", (b"\xff\xf3\x14\xc0" + bytes(32) + b"VBRI").ljust(48, b"\0")):
+        for n in range(len(raw) + 1):
+            mpeg.probe(raw[:n])
+    assert mpeg.probe((short + b"Xing" + struct.pack(">I", 7)).ljust(24, b"\0")[:24])["table_frames"] is None
+    r = random.Random(7)
+    files = [tabled(k) for k in ("Xing", "VBRI", "Info")] + [mpeg.write(mpeg.pad(b"hello" * 300)) + b"TAG" + bytes(125)]
+    for data in files:
+        for n in range(0, len(data), 1 if len(data) < 1700 else 7):
+            f = mpeg.probe(data[:n])
+            assert f["frames"] * (f["rate"] > 0) == len(f["seeks"]) and mpeg.read(data[:n], f) is not None
+        for _ in range(300):
+            hurt = bytearray(data)
+            for _ in range(r.choice([1, 3, 40])):
+                hurt[r.randrange(len(hurt))] = r.choice([0, 255, 0xFB, r.randrange(256)])
+            mpeg.feature(mpeg.probe(bytes(hurt)))
+
+
+def plain_feature(media):
+    """The feature of a file of write(), read frame by frame."""
+    at = 10 + (media[8] << 7 | media[9])
+    count = struct.unpack(">I", media[at + 4 + 2 + 9 + 8 : at + 4 + 2 + 9 + 12])[0]
+    seeks = list(range(at + 648, len(media), 648))
+    good = all(struct.unpack(">H", media[a + 4 : a + 6])[0] == crc_by_bit(media[a + 2 : a + 4] + media[a + 6 : a + 15]) for a in [at, *seeks])
+    code = zlib.crc32(b"".join(struct.pack("<q", a) for a in seeks))
+    return f"samples={576 * len(seeks)}/16000;frames={len(seeks)};table={count};crc={len(seeks) + 1}-{0 if good else 'x'};points=100;bytes={len(media) - at};skipped=0;tags=TSSE;seeks={code:08x}"
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "abc", 1), (2, None, 2), (3, "é" * 2000, 3), (3, "abc", 3)], "doc_id long, text string, media int")
     files = mpeg.store(df)
@@ -85,3 +132,5 @@ def test_query(spark, sf):
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r.media_sha256 == hashlib.sha256(mpeg.write(payload)).hexdigest()
+        media = mpeg.write(payload)
+        assert r.media_bytes == len(media) and (len(raw) > 20_000 or r.feature == plain_feature(media))
