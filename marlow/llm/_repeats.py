@@ -217,39 +217,77 @@ def runs_of(doc: np.ndarray, digest: np.ndarray, row: np.ndarray, at: np.ndarray
     return _arrays(RUNS, [doc[row[cut]], digest[row[cut]], at[cut], at[end], source[cut]])
 
 
+def _read(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of windows() as a table: each window's row, anchor, hash and beginning; each row's doc_id and digest."""
+    n = np.concatenate([np.diff(np.asarray(c.offsets)) for c in t.column("w").chunks])
+    row = np.repeat(np.arange(len(n)), n)
+    return row, _column(t, "h")[row], _flat(t, "w"), _flat(t, "at"), _column(t, "doc_id"), _column(t, "digest")
+
+
+def _hits(t: pa.Table, hit: np.ndarray, source: np.ndarray, last: bool) -> pa.RecordBatch:
+    """The result of repeated() for the windows `hit` of a table."""
+    row, _, _, at, doc, digest = _read(t)
+    r = row[hit]
+    return runs_of(doc, digest, r, at[hit], source[hit]) if last else _arrays(REPEATED, [doc[r], digest[r], _column(t, "pos")[r], at[hit], _column(t, "salts")[r]])
+
+
+def _weight(b: pa.RecordBatch) -> int:
+    return len(b.column("w").flatten())
+
+
 def _compared(rows: DataFrame, last: bool) -> DataFrame:
     """repeated() of rows of anchors with few rows: each anchor's in one task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "h", lambda b: len(b.column("w").flatten())):
-            n = np.concatenate([np.diff(np.asarray(c.offsets)) for c in t.column("w").chunks])
-            row = np.repeat(np.arange(len(n)), n)
-            doc, digest = _column(t, "doc_id"), _column(t, "digest")
-            w, at = _flat(t, "w"), _flat(t, "at")
-            (low, high), (source, _) = extremes((_column(t, "h")[row], w), digest[row], doc[row])
+        for t in whole_groups(batches, "h", _weight):
+            row, h, w, _, doc, digest = _read(t)
+            (low, high), (source, _) = extremes((h, w), digest[row], doc[row])
             hit = np.flatnonzero(source < doc[row] if last else low < high)
             if len(hit):
-                r = row[hit]
-                yield runs_of(doc, digest, r, at[hit], source[hit]) if last else _arrays(REPEATED, [doc[r], digest[r], _column(t, "pos")[r], at[hit], _column(t, "salts")[r]])
+                yield _hits(t, hit, source, last)
 
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, RUNS if last else REPEATED)
 
 
+NONE = np.iinfo(np.int64).max
+FOLDED = "h long, w long, salt int, grp long, low long, high long, source long"
+
+
 def dealt_repeats(rows: DataFrame, last: bool) -> DataFrame:
-    """repeated() of rows of anchors with many rows, dealt by their windows' hashes and salts.
+    """repeated() of rows of anchors with many rows, dealt by salts of their doc_ids.
 
-    Each salt's windows are folded first, then those of all salts of a window, and what is known of the
-    window goes back to the salts it has rows in.
+    The windows of each salt are folded, a row for each different one; those of all salts meet by their
+    hashes; and what is known of a window goes back to the salts it has rows in.
     """
-    one = rows.select("h", "doc_id", "digest", "pos", "salts", F.explode(F.arrays_zip("at", "w")).alias("x")).select("h", "doc_id", "digest", "pos", "salts", "x.at", "x.w")
-    one = one.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    folded = one.groupBy("h", "w", "salt").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.min("doc_id").alias("source"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).withColumn("grp", F.xxhash64("h", "salt"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "grp", _weight):
+            row, h, w, _, doc, digest = _read(t)
+            salt, grp = _column(t, "salt")[row], _column(t, "grp")[row]
+            (low, high), (source, _) = extremes((grp, h, w), digest[row], doc[row])
+            order = np.lexsort((w, h, grp))
+            o = (grp[order], h[order], w[order])
+            new = order[np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in o]))] if len(order) else order
+            yield _arrays(FOLDED, [x[new] for x in (h, w, salt, grp, low, high, source)])
+
+    packed = rows.repartition("grp").sortWithinPartitions("grp")
     of_all = Window.partitionBy("h", "w")
-    known = folded.select("h", "w", "salt", F.min("low").over(of_all).alias("low"), F.max("high").over(of_all).alias("high"), F.min("source").over(of_all).alias("source")).where("low < high").drop("low", "high")
-    hits = one.join(known.hint("merge"), ["h", "w", "salt"])
-    if last:
-        return hits.where("source < doc_id").select("doc_id", "digest", F.col("at").alias("s"), F.col("at").alias("e"), "source")
-    return hits.select("doc_id", "digest", "pos", "at", "salts")
+    known = packed.mapInArrow(fold, FOLDED).select("h", "w", "grp", F.min("low").over(of_all).alias("low"), F.max("high").over(of_all).alias("high"), F.min("source").over(of_all).alias("source")).where("low < high")
+    zero = F.lit(0)
+    known = known.select("h", F.col("source").alias("doc_id"), zero.cast("long").alias("digest"), F.lit(-1).alias("pos"), zero.alias("salts"), F.array(zero).alias("at"), F.array("w").alias("w"), zero.alias("salt"), "grp")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "grp", _weight):
+            row, h, w, _, doc, _ = _read(t)
+            told = _column(t, "pos")[row] < 0
+            ((source, _),) = extremes((_column(t, "grp")[row], h, w), np.where(told, doc[row], NONE))
+            hit = np.flatnonzero(~told & ((source < doc[row]) if last else (source < NONE)))
+            if len(hit):
+                yield _hits(t, hit, source, last)
+
+    both = rows.unionByName(known).repartition("grp").sortWithinPartitions("grp")
+    return both.mapInArrow(meet, RUNS if last else REPEATED)
 
 
 def repeated(rows: DataFrame, last: bool) -> DataFrame:
