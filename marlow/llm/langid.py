@@ -1,8 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over UTF-8 bytes.
 
 Training is backpropagation through time in numpy, on a bounded sample of labelled texts that is
-gathered on the driver. Prediction cuts each whole text into spans of SPAN bytes, labels every
-byte position by the states of both directions, and pools the positions' probabilities.
+gathered on the driver: TEXTS_PER_LABEL rows of each of the MOST_LABELS most frequent labels, each cut
+to TEXT_CHARS. Prediction cuts each whole text into spans of SPAN bytes, labels every byte position by
+the states of both directions, and pools the positions' probabilities; a text of any length is read
+whole, COLUMNS spans at a time.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ UNITS = 8
 SPAN = 128
 COLUMNS = 2048
 UNDETERMINED = "und"
-# The bound of the training sample: so many texts of each label, chosen by a hash of doc_id.
-TEXTS_PER_LABEL = 150
+# The bounds of the training sample: so many labels, texts of each, chosen by a hash of doc_id, and characters of each text.
+MOST_LABELS, TEXTS_PER_LABEL, TEXT_CHARS = 256, 150, 20_000
+# keep_identified() rejects a text whose best label has a smaller pooled probability.
+LEAST = 0.3
 STEPS, BATCH, TRAIN_SPAN, SEED = 260, 96, 64, 11
 
 
@@ -142,11 +146,24 @@ def fit(texts: list[tuple[str, str]], units: int = UNITS, steps: int = STEPS, se
 
 
 def sample(docs: DataFrame, per_label: int = TEXTS_PER_LABEL) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_label texts of each label, by a hash of doc_id; ids are chosen first, without texts."""
+    """(lang, text) of at most per_label rows of each of the most frequent labels, by a hash of doc_id, texts cut to TEXT_CHARS.
+
+    ids are chosen first, without texts. Rows that share an id are no more than others: the bound is of rows.
+    """
     rows = docs.where("lang is not null and doc_id is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r[0] for r in rows.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("doc_id").collect()]
-    return [tuple(r) for r in rows.where(F.col("doc_id").isin(ids)).select("lang", "text").collect()] if ids else []
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).select("lang")
+    labels = [r[0] for r in frequent.collect()]
+    if not labels:
+        return []
+
+    def first(df: DataFrame, *ties: str) -> DataFrame:
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", *ties)
+        return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label)
+
+    rows = rows.where(F.col("lang").isin(labels))
+    ids = [r[0] for r in first(rows.select("lang", "doc_id")).select("doc_id").collect()]
+    cut = rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, TEXT_CHARS).alias("text"))
+    return [tuple(r) for r in first(cut, "text").select("lang", "text").collect()]
 
 
 def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -207,18 +224,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, m).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those that have no language: undetermined, or the best label's pooled probability is under `least`."""
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs without those that have no language: null or without a letter, or the best label's pooled probability is under `least`.
+
+    Where nothing could be learned, as no row has a label, only those without a letter go.
+    """
     small_batches(docs.sparkSession)
     m = fit(sample(docs.where(~held_out())))
-    if not m.labels:
-        return docs.limit(0)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at)
-            p = pooled(m, *utf8(texts)).max(1)
+            p = pooled(m, *utf8(texts)).max(1) if m.labels else np.ones(b.num_rows)
             keep = [bool(s >= least) and any(map(str.isalpha, t.as_py() or "")) for s, t in zip(p, texts)]
             yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -59,6 +59,20 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {100, 101, 102}
 
 
+def test_sample_is_bounded(spark):
+    df = spark.range(3000).selectExpr("7L as doc_id", "repeat('word ', 9000) as text", "if(id % 2 = 0, 'aa', 'bb') as lang")
+    rows = langid.sample(df, 20)
+    assert sorted(x for x, _ in rows) == ["aa"] * 20 + ["bb"] * 20 and max(len(t) for _, t in rows) == langid.TEXT_CHARS
+    many = spark.range(900).selectExpr("id as doc_id", "'word' as text", "concat('l', least(id, 400)) as lang")
+    labels = {x for x, _ in langid.sample(many, 5)}
+    assert len(labels) == langid.MOST_LABELS and "l400" in labels
+
+
+def test_nothing_learned_keeps_texts_with_letters(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_identified(df).collect()] == [1] and langid.keep_identified(df.limit(0)).count() == 0
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = queries.op4_language(spark, sf).join(docs, "doc_id").where("held_out and lang is not null").collect()
