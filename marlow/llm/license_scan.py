@@ -1,16 +1,17 @@
 """Licence statements in paragraphs: sparse word n-gram logistic regression, an unknown class, template comparison.
 
 The model is fitted on the driver from the statements below and a bounded number of other
-paragraphs of the corpus. Scanning is DataFrame functions alone: paragraphs with a cue word are
-cut into words and word pairs, joined with the model's weights (a table whose size the statements
-fix), summed for each family and turned into calibrated probabilities. A predicted family is
-confirmed if one of its statements is covered by the paragraph; else the paragraph is unknown.
-Paragraphs that hold enough words of a statement are scored too: hints() has some of each one's words
-without which it can't be covered.
-
-Result: one row for each different (doc_id, paragraph number, paragraph text) with a cue word or a
-confirmed family; a text without any, a null or empty one has no rows, repeated rows give one. A
-paragraph is a line; a statement that is wrapped over lines is judged line by line.
+paragraphs of the corpus. Scanning is DataFrame functions alone, row by row, without a join or a
+shuffle: each paragraph of each text is cut into words and word pairs, those that the model knows
+(a number that the statements fix) are looked up by their hashes, their weights are summed for each
+family and turned into calibrated probabilities. A paragraph whose likeliest class is unknown is
+rejected. A predicted family is confirmed if one of its statements is covered by the paragraph, else
+the paragraph is reported as unknown with the family it was taken for.
+
+A paragraph is a line; a line of 30 to 100 characters that ends within a sentence is joined with the
+one after it, as wrapped notices are. Each input row gives a row for every paragraph that isn't
+rejected, repeated rows give each theirs; a null or empty text gives none. Very long texts and
+paragraphs take time in proportion to their length. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 # Opening or naming sentences of public licences, as their stewards publish them.
 STATEMENTS = {
     "agpl": ["licensed under the GNU Affero General Public License", "GNU Affero General Public License version 3 as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
+    "apache": ["Licensed under the Apache License, Version 2.0", "licensed under Apache-2.0", "Apache-2.0", "Apache License 2.0", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "licensed under the BSD 3-Clause License", "governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc": ["licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "released into the public domain under CC0 1.0 Universal"],
     "cc-nc": ["Licensed under CC BY-NC 4.0", "Licensed under CC BY-NC-SA 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "gpl": ["licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation", "released under the GPL license version 2", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl": ["licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation", "released under the GPL license version 2", "Distributed under the terms of the GPL, version 3", "GPLv2 or later", "GPLv3 or later", "the GNU GPLv3", "GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "released under the ISC License", "SPDX-License-Identifier: ISC"],
     "lgpl": ["licensed under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License version 2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "licensed under the MIT license", "SPDX-License-Identifier: MIT"],
-    "mpl": ["subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "mit": ["Released under the MIT License", "Released under MIT", "MIT licensed", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "licensed under the MIT license", "SPDX-License-Identifier: MIT"],
+    "mpl": ["subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "MPL-2.0", "SPDX-License-Identifier: MPL-2.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain", "released under the Unlicense", "SPDX-License-Identifier: Unlicense"],
 }
 UNKNOWN = "unknown"
@@ -41,13 +42,12 @@ UNKNOWN_STATEMENTS = [
     "all rights reserved", "copyright of the photographs remains with their owners", "a driver's license is required", "the warranty lasts two years from the date of purchase", "with kind permission of the publisher",
     "see the license file for details", "his license was suspended by the court", "the shop holds a license to sell wine", "terms of use and privacy policy", "licensed premises open until midnight", "copyright law in general", "no permission was given to redistribute the minutes", "a public license for hunting and fishing", "the company released version 2 of the software under a new name",
 ]
-CUES = r"(?i)licen[sc]|copyright|warrant|permission|redistribut|spdx|copyleft|public domain|unencumbered"
-# Words that hints() takes last.
-COMMON = frozenset("a and any as by except file for free in into is may not of or person published released software subject terms the this to under use with without you".split())
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+# A line break inside a sentence, behind a line of wrapped length.
+WRAP = r"\n(?<=(?:\A|\n)[^\n]{30,100}\n)(?<![\s.!?:;]\n)(?=\S)"
 COVERED = 0.75
-# The bound of the training sample from the corpus.
-CORPUS_PARAGRAPHS = 300
+# The bounds of the training sample from the corpus: paragraphs, characters of each, different words around statements.
+CORPUS_PARAGRAPHS, PARAGRAPH_CHARS, NOISE_WORDS = 300, 2_000, 2_000
 ROUNDS, SEED = 400, 5
 
 
@@ -69,23 +69,10 @@ def features_of(text: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
 
 
-def hints() -> list[str]:
-    """Words such that each text that covers a statement by COVERED has one of them or a cue word.
-
-    A statement of n words of which k must be there is not covered without any of n - k + 1 of them.
-    """
-    out = set()
-    for s in (s for x in STATEMENTS.values() for s in x):
-        own = sorted(set(words_of(s)), key=lambda w: (not re.search(CUES, w), w in COMMON, -len(w), w))
-        least = next(k for k in range(1, len(own) + 1) if k / len(own) >= COVERED)
-        out.update(w for w in own[: len(own) - least + 1] if not re.search(CUES, w))
-    return sorted(out)
-
-
-def _worth(text: Column) -> Column:
-    """Whether a text holds a cue word or a hint."""
-    words = "|".join(map(re.escape, hints()))
-    return text.rlike(CUES) | F.lower(text).rlike(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
+def covers(text: str) -> bool:
+    """Whether a text covers any statement."""
+    own = set(words_of(text))
+    return any(len(own & w) / len(w) >= COVERED for x in STATEMENTS.values() for w in (set(words_of(s)) for s in x))
 
 
 def fit(others: list[str]) -> Model:
@@ -95,17 +82,22 @@ def fit(others: list[str]) -> Model:
     """
     rng = np.random.default_rng(SEED)
     families = [*sorted(STATEMENTS), UNKNOWN]
-    noise = sorted({w for o in others for w in words_of(o)})[:2000] or ["lorem"]
+    others = [o for o in others if not covers(o)]
+    vocabulary = sorted({w for o in others for w in words_of(o)}) or ["lorem"]
+    noise = [vocabulary[i] for i in rng.permutation(len(vocabulary))[:NOISE_WORDS]]
     rows: list[tuple[str, int]] = []
     for k, name in enumerate(families):
         for s in STATEMENTS.get(name, UNKNOWN_STATEMENTS):
             w = s.split()
-            for v in range(8):
+            for v in range(10):
                 keep = w if v < 3 else [x for x in w if rng.random() > 0.12] or w
-                around = [str(x) for x in rng.choice(noise, rng.integers(0, 12))]
+                if v < 8 or not others:
+                    around = [str(x) for x in rng.choice(noise, rng.integers(0, 12))]
+                else:  # within another paragraph
+                    around = others[rng.integers(len(others))].split()
                 cut = int(rng.integers(0, len(around) + 1))
                 rows.append((" ".join([*around[:cut], *keep, *around[cut:]]), k))
-    rows += [(o, len(families) - 1) for o in others if not re.search(CUES, o)]
+    rows += [(o, len(families) - 1) for o in others]
     sets = [features_of(t) for t, _ in rows]
     known = sorted(set().union(*(features_of(s) for x in [*STATEMENTS.values(), UNKNOWN_STATEMENTS] for s in x)))
     at = {f: i for i, f in enumerate(known)}
@@ -117,11 +109,10 @@ def fit(others: list[str]) -> Model:
     share = 1 / np.bincount(y, minlength=len(families))[y]
     w, b = np.zeros((len(known), len(families))), np.zeros(len(families))
     one = np.eye(len(families))[y]
-    train = ~test
+    own, own_t, target, weight = x[~test], np.ascontiguousarray(x[~test].T), one[~test], share[~test, None]
     for _ in range(ROUNDS):
-        p = _softmax(x[train] @ w + b)
-        g = (p - one[train]) * share[train, None]
-        w -= 0.5 * (x[train].T @ g + 0.002 * w)
+        g = (_softmax(own @ w + b) - target) * weight
+        w -= 0.5 * (own_t @ g + 0.002 * w)
         b -= 0.5 * g.sum(0)
     loss = lambda t: -np.log(_softmax((x[test] @ w + b) / t)[np.arange(test.sum()), y[test]] + 1e-12).mean()
     return Model(families, known, w, b, min(np.geomspace(0.25, 4, 33), key=loss))
@@ -132,38 +123,64 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
+def _paragraphs(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, WRAP, " "), "\n")
+
+
 def sample(docs: DataFrame, most: int = CORPUS_PARAGRAPHS) -> list[str]:
-    """First paragraphs of at most `most` documents, by a hash of doc_id; ids are chosen first, without texts."""
-    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    found = docs.where(F.col("doc_id").isin(ids)).select(F.substring_index("text", "\n", 1)).collect() if ids else []
-    return sorted(r[0] for r in found if r[0])[:most]
+    """One paragraph, cut to PARAGRAPH_CHARS, of each of at most `most` rows, by a hash of doc_id; ids are chosen first, without texts."""
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(*order).limit(most).collect()]
+    if not ids:
+        return []
+    rows = docs.where(F.col("doc_id").isin(ids)).withColumn("_p", _paragraphs(F.col("text")))
+    cut = F.substring(F.get("_p", F.pmod(F.xxhash64("doc_id"), F.size("_p"))), 1, PARAGRAPH_CHARS)
+    # rows that share an id are no more than the others
+    found = rows.select("doc_id", cut.alias("_p")).where("_p <> ''").orderBy(*order, "_p").limit(most).collect()
+    return sorted(r[1] for r in found)
 
 
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _hashed(words: Column) -> Column:
+    """Hashes of the words and of the pairs of neighbours; the last word's pair is the word alone."""
+    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+
+
+def _literal(values: list) -> str:
+    return "array(" + ", ".join(_literal(v) if isinstance(v, list) else f"{v}L" if isinstance(v, int) else f"{v!r}D" for v in values) + ")"
+
+
 def scan(docs: DataFrame, m: Model) -> DataFrame:
-    """doc_id, paragraph, family, probability, predicted, statement, covered, text: a row for each paragraph with a cue word or a confirmed family."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(f, [float(x) for x in m.weights[i]]) for i, f in enumerate(m.features)], "feature string, w array<double>")
-    lines = docs.where(_worth(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(_worth(F.col("text")))
-    lines = lines.distinct().withColumn("words", _tokens(F.col("text")))
-    pairs = F.zip_with(F.col("words"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    features = F.array_distinct(F.concat("words", F.filter(pairs, lambda p: p.contains(" "))))
-    rows = lines.select("doc_id", "paragraph", "text", F.explode_outer(features).alias("feature")).join(F.broadcast(table), "feature", "left")
-    sums = rows.groupBy("doc_id", "paragraph", "text").agg(*[F.coalesce(F.sum(F.get("w", F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in range(len(m.families))])
-    logits = F.array(*[(F.col(f"s{k}") + float(m.bias[k])) / m.temperature for k in range(len(m.families))])
+    """doc_id, paragraph, family, probability, predicted, statement, covered, text: a row for each paragraph that isn't rejected."""
+    one = docs.sparkSession.range(1).select(*[F.xxhash64(*map(F.lit, f.split(" "))).alias(f"f{i}") for i, f in enumerate(m.features)]).first()
+    known, weights = F.expr(_literal(list(one))), F.expr(_literal([[float(x) for x in w] for w in m.weights]))
+    bias = F.expr(_literal([float(x) for x in m.bias]))
+    # a value that is used more than once is bound as the argument of a function, so that it is computed once
+    hits = F.get(F.transform(F.array(_tokens(F.col("text"))), lambda w: F.array_intersect(known, _hashed(w))), F.lit(0))
+
+    def add(z: Column, h: Column) -> Column:
+        return F.zip_with(z, F.get(weights, (F.array_position(known, h) - 1).cast("int")), lambda a, b: a + b)
+
+    def softmax(z: Column) -> Column:
+        top = F.array_max(z)
+        return F.struct((F.array_position(z, top) - 1).cast("int").alias("k"), (1 / F.aggregate(F.transform(z, lambda v: F.exp((v - top) / m.temperature)), F.lit(0.0), lambda a, v: a + v)).alias("probability"))
+
+    unknown = len(m.families) - 1
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(_paragraphs(F.col("text"))).alias("paragraph", "text"))
+    scored = lines.select("doc_id", "paragraph", "text", F.aggregate(hits, bias, add, softmax).alias("class")).where(F.col("class.k") != unknown)
     names = F.array(*[F.lit(f) for f in m.families])
-    scored = sums.withColumn("z", logits).select("doc_id", "paragraph", "text", F.expr("array_position(z, array_max(z)) - 1").cast("int").alias("k"), (1 / F.aggregate(F.transform("z", lambda v: F.exp(v - F.array_max("z"))), F.lit(0.0), lambda a, v: a + v)).alias("probability"))
-    predicted = F.get(names, F.col("k"))
-    own = F.col("words")
+    predicted, own = F.get(names, F.col("class.k")), _tokens(F.col("text"))
     best = None
     for k, f in enumerate(m.families[:-1]):
         parts = [(s, sorted(set(words_of(s)))) for s in STATEMENTS[f]]
         values = F.array(*[F.struct((F.size(F.array_intersect(own, F.array(*[F.lit(w) for w in ws]))) / len(ws)).alias("covered"), F.lit(s).alias("statement")) for s, ws in parts])
-        best = F.when(F.col("k") == k, F.array_max(values)) if best is None else best.when(F.col("k") == k, F.array_max(values))
-    scored = scored.withColumn("words", _tokens(F.col("text"))).withColumn("best", best)
+        at = F.col("class.k") == k
+        best = F.when(at, F.array_max(values)) if best is None else best.when(at, F.array_max(values))
     confirmed = F.coalesce(F.col("best.covered") >= COVERED, F.lit(False))
-    scored = scored.where(confirmed | F.col("text").rlike(CUES))
-    return scored.select("doc_id", "paragraph", F.when(confirmed, predicted).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("probability", 6).alias("probability"), predicted.alias("predicted"), F.col("best.statement").alias("statement"), F.round(F.coalesce("best.covered", F.lit(0.0)), 6).alias("covered"), "text")
+    return scored.withColumn("best", best).select(
+        "doc_id", "paragraph", F.when(confirmed, predicted).otherwise(F.lit(UNKNOWN)).alias("family"), F.round("class.probability", 6).alias("probability"), predicted.alias("predicted"),
+        F.col("best.statement").alias("statement"), F.round(F.coalesce("best.covered", F.lit(0.0)), 6).alias("covered"), "text",
+    )

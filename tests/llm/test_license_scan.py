@@ -1,39 +1,59 @@
-import random
 import re
+import time
 
 from marlow.llm import license_scan as ls
 from marlow.llm import queries
 
 
+def model():
+    return ls.fit(["some other words of a corpus", "more plain prose without any cue"] * 20)
+
+
 def test_families_unknown_and_defined_cases(spark):
-    m = ls.fit(["some other words of a corpus", "more plain prose without any cue"] * 20)
     rows = [
         (1, "Text before.\nReleased under the MIT License.\nafter"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0"), (4, "Licensed under CC BY-NC 4.0."),
-        (5, "A driver's license is required for the permission."), (6, None), (7, ""), (8, "no cue at all"), (1, "Text before.\nReleased under the MIT License.\nafter"), (9, "word " * 20_000 + "under the terms of the GNU Lesser General Public License version 2.1 " + "word " * 20_000), (None, "SPDX-License-Identifier: MPL-2.0"),
+        (5, "A driver's license is required for the permission."), (6, None), (7, ""), (8, "no cue at all\n\n \t"), (1, "Text before.\nReleased under the MIT License.\nafter"), (9, "word " * 20_000 + "under the terms of the GNU Lesser General Public License version 2.1 " + "word " * 20_000), (None, "SPDX-License-Identifier: MPL-2.0"),
     ]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, family int")
-    got = {r.doc_id: r for r in ls.scan(df, m).collect()}
-    assert {d: r.family for d, r in got.items()} == {1: "mit", 2: "gpl", 3: "apache", 4: "cc-nc", 5: "unknown", 9: "lgpl", None: "mpl"}
+    found = ls.scan(df, model()).collect()
+    got = {r.doc_id: r for r in found}
+    assert {d: r.family for d, r in got.items()} == {1: "mit", 2: "gpl", 3: "apache", 4: "cc-nc", 9: "lgpl", None: "mpl"} and len(found) == 7
     assert got[1].paragraph == 1 and all(0 <= r.probability <= 1 for r in got.values())
-    assert ls.scan(df.limit(0), m).count() == 0
+    assert ls.scan(df.limit(0), model()).count() == 0 and ls.sample(df.limit(0)) == []
+
+
+def test_every_paragraph_is_scored(spark):
+    lines = {
+        "Text available under CC BY-SA 4.0.": "cc", "This work is under a Creative Commons Attribution 4.0 International deed": "cc", "Released under MIT": "mit", "Apache-2.0": "apache", "GPLv3 or later": "gpl",
+        "Distributed under the terms of the GPL, version 3": "gpl", "Code: MPL-2.0": "mpl", "Distributed under the terms of the GNU GPLv3": "gpl",
+    }
+    texts = [*lines, "under the sun by the sea", "a file for any person", "the version of the software that was released"]
+    rows = ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model()).collect()
+    assert {texts[r.doc_id]: r.family for r in rows if r.family != ls.UNKNOWN} == lines and all(r.family == ls.UNKNOWN or texts[r.doc_id] in lines for r in rows)
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    text = "A title\n\n" + isc + "\nThe next sentence is a paragraph of its own, as the line before it ends one."
+    (r,) = ls.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model()).collect()
+    assert (r.paragraph, r.family, r.text) == (2, "isc", isc.replace("\n", " "))
 
 
-def test_covered_statements_without_cue_words(spark):
-    m = ls.fit(["some other words of a corpus", "more plain prose without any cue"] * 20)
-    texts = ["Text available under CC BY-SA 4.0.", "This work is under a Creative Commons Attribution 4.0 International deed", "under the sun by the sea", "a file for any person"]
-    rows = ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()
-    assert sorted((r.doc_id, r.family) for r in rows) == [(0, "cc"), (1, "cc")]
+def test_sample_is_bounded(spark):
+    df = spark.range(2000).selectExpr("5L as doc_id", "repeat('word of a text ', 5000) as text")
+    found = ls.sample(df, 30)
+    assert len(found) == 30 and max(map(len, found)) <= ls.PARAGRAPH_CHARS
 
 
-def test_hints_keep_whatever_covers_a_statement(spark):
-    r, texts = random.Random(8), []
-    for s in (s for x in ls.STATEMENTS.values() for s in x):
-        own = sorted(set(ls.words_of(s)))
-        for _ in range(60):
-            least = next(k for k in range(1, len(own) + 1) if k / len(own) >= ls.COVERED)
-            texts.append(" ".join(r.sample(own, least)))
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert df.where(~ls._worth(df.text)).count() == 0
+def test_time_grows_with_the_length(spark):
+    m, took = model(), []
+    for n in (40_000, 160_000):
+        df = spark.createDataFrame([(1, " ".join(f"w{i} the" for i in range(n // 2)) + " released under the ISC license")], "doc_id long, text string")
+        ls.scan(df, m).count()
+        began = time.perf_counter()
+        assert ls.scan(df, m).first().family == "isc"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 2
 
 
 def test_scores_against_plain_python(spark):
