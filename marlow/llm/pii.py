@@ -1,8 +1,9 @@
 """Personal data spans with DataFrame functions alone: patterns propose, checksums confirm, context words score.
 
 Matches of a pattern are taken by regexp_extract_all and the text between them by split; the running
-sum of both lengths gives code point offsets. Runs are possessive and start at a run's first
-character, or where the last match ended, so long texts cost time in proportion to their length.
+sum of both lengths gives code point offsets, and the text between gives the context. Runs are possessive
+and start at a run's first character, or where the last match ended, and matches are gone through in
+blocks, so that very long texts, with many matches too, cost time about in proportion to their length.
 
 The kinds email, ip, card and phone are always reported. The others are added by the method: iban
 (mod-97) and us_ssn are reported only if their score, raised by context words near by, is at least
@@ -11,12 +12,15 @@ LEAST. A null text has no spans, as an empty one; each input row gives one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST, NEAR = 0.5, 40
+# Elements that an array grows by before it is copied to a longer one.
+BLOCK = 256
 _LOCAL = "[A-Za-z0-9._%+-]"
 # kind: (a cheap test of the text, pattern, score without context, context words); the order is that of the contract
 KINDS = {
@@ -69,22 +73,41 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of BLOCK elements: what grows element by element is copied within a block alone."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / BLOCK), F.lit(0)).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def _located(text: Column, kind: str, matches: Column) -> Column:
-    """Spans of the valid matches, with offsets and scores."""
+    """Spans of the valid matches, with offsets and scores; each match stands between two gaps."""
     no = list(KINDS).index(kind)
     _, pattern, score, context = KINDS[kind]
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    both = F.zip_with(matches, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    none = F.array().cast(_SPAN)
+
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), out.alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["m"])
-        around = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(F.lit(1), begin + 1 - NEAR), F.least(begin, F.lit(NEAR))), F.substring(text, end + 1, F.lit(NEAR))))
+        around = F.lower(F.concat_ws(" ", F.substring(x["gap"], -NEAR, NEAR), F.substring(x["next"], 1, NEAR)))
         scored = F.when(around.rlike(rf"\b(?:{context})"), F.lit(min(1.0, score + 0.4))).otherwise(F.lit(score))
         span = F.struct(begin.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), scored.alias("score"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, x["m"]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return state(end, F.when(_valid(kind, x["m"]), F.array_append(acc["out"], span)).otherwise(acc["out"]))
+
+    def add_block(acc: Column, block: Column) -> Column:
+        return _bound(F.aggregate(block, state(acc["at"], none), add), lambda x: state(x["at"], F.concat(acc["out"], x["out"])))
+
+    def spans(gaps: Column) -> Column:
+        each = F.zip_with(F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("gap"))), F.slice(gaps, F.lit(2), F.size(matches)), lambda x, g: F.struct(x["m"].alias("m"), x["gap"].alias("gap"), g.alias("next")))
+        return _bound(each, lambda x: F.aggregate(_blocks(x), state(F.lit(0), none), add_block, lambda acc: acc["out"]))
 
-    found = F.aggregate(both, start, add, lambda acc: acc["out"])
+    found = _bound(F.split(text, pattern, -1), spans)
     return found if kind in BASE else F.filter(found, lambda s: s["score"] >= LEAST)
 
 
@@ -124,13 +147,25 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets; a span inside an earlier one goes with it, of overlapping ones the first names both."""
     text = F.coalesce(F.col("text"), F.lit(""))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    none = F.array().cast("array<string>")
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        part = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind_no"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, part).otherwise(acc["out"]).alias("out"))
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), out.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("_pii"), start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return with_spans(docs, "_pii").withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
+    def add_block(acc: Column, block: Column) -> Column:
+        # the block's own text, so that a place in it is not looked for from the text's beginning
+        own = F.substring(text, acc["at"] + 1, F.greatest(F.array_max(F.transform(block, lambda s: s["end"])) - acc["at"], F.lit(0)))
+
+        def add(part: Column) -> Callable[[Column, Column], Column]:
+            def one(inner: Column, s: Column) -> Column:
+                gap = F.substring(part, inner["at"] - acc["at"] + 1, s["start"] - inner["at"])
+                more = F.array_append(F.array_append(inner["out"], gap), F.get(names, s["kind_no"]))
+                return state(F.greatest(inner["at"], s["end"]), F.when(s["start"] >= inner["at"], more).otherwise(inner["out"]))
 
+            return one
+
+        done = _bound(own, lambda part: F.aggregate(block, state(acc["at"], none), add(part)))
+        return _bound(done, lambda x: state(x["at"], F.array_append(acc["out"], F.array_join(x["out"], ""))))
+
+    clean = F.aggregate(_blocks(F.col("_pii")), state(F.lit(0), none), add_block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return with_spans(docs, "_pii").withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))).select(docs.columns)

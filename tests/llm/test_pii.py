@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from marlow.llm import pii, queries
 
@@ -31,7 +32,7 @@ def joined(spans):
 
 def texts():
     r = random.Random(6)
-    bits = ["a@b.c", "x.y%z@-a.b-c.d", "@", "a@b", "@d.e", "+", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "0001.002.3.0255", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500000000000004", "  ", "-", ".", "+1 (415) 555-0100", "+33 1 23 45 67 89", "+1((", "é漢🙂", "\n", "\t", "word", "12", "7", "(", ")", "\0"]
+    bits = ["a@b.c", "x.y%z@-a.b-c.d", "@", "a@b", "@d.e", "+", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "0001.002.3.0255", "0", "00", "10.0.0.1", "0.0.0.0", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500000000000004", "  ", "-", ".", "+1 (415) 555-0100", "+33 1 23 45 67 89", "+1((", "é漢🙂", "\n", "\t", "word", "12", "7", "(", ")", "\0"]
     some = [None, "", "a" * 50_000, "1" * 20_000, "1." * 5000, "a.b" * 9000 + "@", "+1 " + "(" * 5000, "1 " * 8000, "a@b." * 2000, "🙂" * 300 + "me@x.org" + "🙂" + "4111111111111111"]
     return some + ["".join(r.choice(bits) + r.choice(["", "", " "]) for _ in range(r.randint(1, 30))) for _ in range(1500)]
 
@@ -72,6 +73,19 @@ def test_redact(spark):
     assert sorted([tuple(r) for r in out.collect()], key=str) == sorted([(1, "a [EMAIL] b [IP]", "p"), (2, None, None), (3, "clean", "q"), (None, "🙂 [PHONE]!", "r")], key=str)
 
 
+def test_time_grows_with_the_matches(spark):
+    took = []
+    for n in (5_000, 20_000):
+        text = " ".join(f"write me{i}@x.org and 10.0.{i % 256}.1, " for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = pii.find_pii(df).first()
+        clean = pii.redact(df).first().text
+        took.append(time.perf_counter() - began)
+        assert (r.n_email, r.n_ip) == (n, n) and r.base == joined(brute(text)) and clean == " ".join(["write [EMAIL] and [IP], "] * n)
+    assert took[1] < 8 * took[0] + 2
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op1_pii(spark, sf).collect()
