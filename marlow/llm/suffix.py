@@ -14,7 +14,7 @@ A passage repeated inside one document alone is not reported.
 Defined cases: null, empty and shorter texts have no passages; rows with a null doc_id are neither
 judged nor a source; rows that share a doc_id are judged each against smaller ids; of exact copies
 all but the smallest doc_id are one passage, the whole text (if it has `least` words). Very long texts
-are taken whole. Words are compared by 32-bit hashes: two different ones pass for equal once in 2**32.
+are taken whole. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def _lists(values: np.ndarray, begin: np.ndarray, n: np.ndarray, step: int) -> p
     """Of each row n values from begin on, forwards or backwards."""
     off = np.append(0, np.cumsum(n))
     at = np.repeat(begin, n) + step * (np.arange(off[-1]) - np.repeat(off[:-1], n))
-    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values[at].astype(np.uint32).view(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values[at].view(np.int64)))
 
 
 def suffixes(texts: DataFrame, marks: DataFrame, prefix: int, least: int) -> DataFrame:
@@ -58,14 +58,14 @@ def suffixes(texts: DataFrame, marks: DataFrame, prefix: int, least: int) -> Dat
                 yield pa.RecordBatch.from_arrays([signed(h), pa.array(ids[lo + text]), signed(digests[text]), pa.array((p - first[text]).astype(np.int32)), pa.array((p - e).astype(np.int32)), _lists(hashes, p - 1, p - s, -1), _lists(hashes, p + prefix, e + least - prefix - p, 1)], ["h", "doc_id", "digest", "pos", "fewest", "left", "right"])
 
     rows = texts.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "marks")
-    return rows.mapInArrow(cut, "h long, doc_id long, digest long, pos int, fewest int, left array<int>, right array<int>")
+    return rows.mapInArrow(cut, "h long, doc_id long, digest long, pos int, fewest int, left array<long>, right array<long>")
 
 
 def common(run: np.ndarray, lists: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of rows by run and words, each one's place in it, and how many first words it shares with the one before it there (-1: another run)."""
     n = np.concatenate([np.diff(np.asarray(c.offsets)) for c in lists.chunks])
     flat = np.concatenate([c.flatten().to_numpy() for c in lists.chunks])
-    words = np.full((len(n), width + 1), np.int64(2**40))
+    words = np.full((len(n), width + 1), np.iinfo(np.int64).max)
     row = np.repeat(np.arange(len(n)), n)
     words[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = flat
     order = np.lexsort((*words.T[-2::-1], run))
