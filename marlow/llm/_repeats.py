@@ -224,76 +224,66 @@ def _read(t: pa.Table) -> tuple[np.ndarray, ...]:
     return row, _column(t, "h")[row], _flat(t, "w"), _flat(t, "at"), _column(t, "doc_id"), _column(t, "digest")
 
 
-def _hits(t: pa.Table, hit: np.ndarray, source: np.ndarray, last: bool) -> pa.RecordBatch:
-    """The result of repeated() for the windows `hit` of a table."""
-    row, _, _, at, doc, digest = _read(t)
-    r = row[hit]
-    return runs_of(doc, digest, r, at[hit], source[hit]) if last else _arrays(REPEATED, [doc[r], digest[r], _column(t, "pos")[r], at[hit], _column(t, "salts")[r]])
-
-
-def _weight(b: pa.RecordBatch) -> int:
+def windows_in(b: pa.RecordBatch) -> int:
     return len(b.column("w").flatten())
 
 
-def _compared(rows: DataFrame, last: bool) -> DataFrame:
-    """repeated() of rows of anchors with few rows: each anchor's in one task."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "h", _weight):
-            row, h, w, _, doc, digest = _read(t)
-            (low, high), (source, _) = extremes((h, w), digest[row], doc[row])
-            hit = np.flatnonzero(source < doc[row] if last else low < high)
-            if len(hit):
-                yield _hits(t, hit, source, last)
-
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, RUNS if last else REPEATED)
-
-
 NONE = np.iinfo(np.int64).max
-FOLDED = "h long, w long, salt int, grp long, low long, high long, source long"
+FOLDED = "h long, w long, grp long, low long, high long, source long"
 
 
-def dealt_repeats(rows: DataFrame, last: bool) -> DataFrame:
-    """repeated() of rows of anchors with many rows, dealt by salts of their doc_ids.
+def _known(rows: DataFrame) -> DataFrame:
+    """Of rows dealt by grp, what is known of each window that several texts have, as one more row for each grp it stands in: pos -1, doc_id the smallest.
 
-    The windows of each salt are folded, a row for each different one; those of all salts meet by their
-    hashes; and what is known of a window goes back to the salts it has rows in.
+    The windows of a grp are folded, a row for each different one, and those of all grps meet by their hashes.
     """
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).withColumn("grp", F.xxhash64("h", "salt"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "grp", _weight):
+        for t in whole_groups(batches, "grp", windows_in):
             row, h, w, _, doc, digest = _read(t)
-            salt, grp = _column(t, "salt")[row], _column(t, "grp")[row]
+            grp = _column(t, "grp")[row]
             (low, high), (source, _) = extremes((grp, h, w), digest[row], doc[row])
             order = np.lexsort((w, h, grp))
             o = (grp[order], h[order], w[order])
             new = order[np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in o]))] if len(order) else order
-            yield _arrays(FOLDED, [x[new] for x in (h, w, salt, grp, low, high, source)])
+            yield _arrays(FOLDED, [x[new] for x in (h, w, grp, low, high, source)])
 
-    packed = rows.repartition("grp").sortWithinPartitions("grp")
     of_all = Window.partitionBy("h", "w")
-    known = packed.mapInArrow(fold, FOLDED).select("h", "w", "grp", F.min("low").over(of_all).alias("low"), F.max("high").over(of_all).alias("high"), F.min("source").over(of_all).alias("source")).where("low < high")
+    known = rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(fold, FOLDED)
+    known = known.select("h", "w", "grp", F.min("low").over(of_all).alias("low"), F.max("high").over(of_all).alias("high"), F.min("source").over(of_all).alias("source")).where("low < high")
     zero = F.lit(0)
-    known = known.select("h", F.col("source").alias("doc_id"), zero.cast("long").alias("digest"), F.lit(-1).alias("pos"), zero.alias("salts"), F.array(zero).alias("at"), F.array("w").alias("w"), zero.alias("salt"), "grp")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "grp", _weight):
-            row, h, w, _, doc, _ = _read(t)
-            told = _column(t, "pos")[row] < 0
-            ((source, _),) = extremes((_column(t, "grp")[row], h, w), np.where(told, doc[row], NONE))
-            hit = np.flatnonzero(~told & ((source < doc[row]) if last else (source < NONE)))
-            if len(hit):
-                yield _hits(t, hit, source, last)
-
-    both = rows.unionByName(known).repartition("grp").sortWithinPartitions("grp")
-    return both.mapInArrow(meet, RUNS if last else REPEATED)
+    return known.select("h", F.col("source").alias("doc_id"), zero.cast("long").alias("digest"), F.lit(-1).alias("pos"), zero.alias("salts"), F.array(zero).alias("at"), F.array("w").alias("w"), "grp")
+
+
+def by_group(rows: DataFrame) -> DataFrame:
+    """windows() with grp, by which they are compared: that of one anchor, or of a part of an anchor with many rows, by salts of their
+    doc_ids; and for each part what is known of its windows."""
+    rows = rows.withColumn("grp", F.xxhash64("h", F.pmod(F.xxhash64("doc_id"), F.col("salts"))))
+    return rows.unionByName(_known(rows.where("salts > 1")))
+
+
+def compared(t: pa.Table, last: bool) -> pa.RecordBatch | None:
+    """repeated() of whole groups of by_group()."""
+    row, h, w, at, doc, digest = _read(t)
+    keys, pos, n = (_column(t, "grp")[row], h, w), _column(t, "pos"), _column(t, "salts")
+    told, alone = pos[row] < 0, n[row] == 1
+    (low, high), (source, _), (known, _) = extremes(keys, digest[row], doc[row], np.where(told, doc[row], NONE))
+    source = np.where(alone, source, known)
+    hit = np.flatnonzero(~told & ((source < doc[row]) if last else np.where(alone, low < high, source < NONE)))
+    if not len(hit):
+        return None
+    r = row[hit]
+    return runs_of(doc, digest, r, at[hit], source[hit]) if last else _arrays(REPEATED, [doc[r], digest[r], pos[r], at[hit], n[r]])
 
 
 def repeated(rows: DataFrame, last: bool) -> DataFrame:
     """Of windows(): the parts that stand in another text too, (doc_id, digest, pos, at, salts); of the last length (doc_id, digest, s, e, source),
     runs of window starts s..e that stand in the smaller doc_id `source` too."""
-    return _compared(rows.where("salts = 1"), last).unionByName(dealt_repeats(rows.where("salts > 1"), last))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from filter(None, (compared(t, last) for t in whole_groups(batches, "grp", windows_in)))
+
+    return by_group(rows).repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, RUNS if last else REPEATED)
 
 
 def by_document(marks: DataFrame) -> DataFrame:

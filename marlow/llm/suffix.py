@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlow.llm._io import written
-from marlow.llm._repeats import ALL, RUNS, anchors, anchors_of, by_document, copies, dealt_repeats, extremes, marked, own_marks, runs_of, shared, signed, texts_of, whole, whole_groups, windows
+from marlow.llm._repeats import ALL, RUNS, anchors, anchors_of, by_document, by_group, compared, copies, extremes, marked, own_marks, runs_of, shared, signed, texts_of, whole, whole_groups, windows
 from marlow.llm.substring import remove_repeats, texts_by_id
 
 LEAST, PREFIX = 50, 20
@@ -79,48 +80,56 @@ def common(run: np.ndarray, lists: pa.ChunkedArray, width: int) -> tuple[np.ndar
     return order, place, shared_
 
 
-def neighbours(rows: DataFrame, prefix: int, least: int) -> DataFrame:
-    """(doc_id, digest, s, e, source) of suffixes(): runs of starts of passages that stand in the smaller doc_id `source` too."""
-    width = least - prefix
+def neighbours(t: pa.Table, width: int) -> pa.RecordBatch | None:
+    """Runs of starts of passages that stand in a smaller doc_id too, of whole runs of suffixes()."""
+    run, doc, digest, pos, fewest = (t.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "digest", "pos", "fewest"))
+    most = np.concatenate([np.diff(np.asarray(c.offsets)) for c in t.column("left").chunks])
+    sides = [common(run, t.column(k), width) for k in ("left", "right")]
+    # the neighbour that shares most, before or behind
+    best = [np.maximum(shared_, np.append(shared_[1:], -1))[place] for _, place, shared_ in sides]
+    open_ = (best[0] + best[1] >= width) & (best[0] >= 0)
+    found = []
+    for j in range(width + 1):
+        own = np.flatnonzero(open_ & (fewest <= j) & (j <= most) & (best[0] >= j) & (best[1] >= width - j))
+        if not len(own):
+            continue
+        # stretches of suffixes that share j words on the left, and the others on the right
+        stretch = [np.cumsum(shared_ < d)[place[own]] for (_, place, shared_), d in zip(sides, (j, width - j))]
+        ((source, _),) = extremes((stretch[0], stretch[1]), doc[own])
+        hit = source < doc[own]
+        found.append((own[hit], pos[own[hit]] - j, source[hit]))
+    row, at, source = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((at, row))
+    return runs_of(doc, digest, row[order], at[order], source[order]) if len(row) else None
+
+
+def passages_of_runs(kept: DataFrame, crowded: DataFrame | None, prefix: int, least: int) -> DataFrame:
+    """(doc_id, digest, s, e, source) of suffixes(), whose runs are compared whole, and of windows() of the crowded runs, which are dealt out."""
+    rows = kept.withColumns({"grp": F.xxhash64("h"), "salts": F.lit(1)})
+    if crowded is not None:
+        rows = rows.unionByName(by_group(crowded), allowMissingColumns=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "h", lambda b: 16 * b.num_rows):
-            run, doc, digest, pos, fewest = (t.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "digest", "pos", "fewest"))
-            most = np.concatenate([np.diff(np.asarray(c.offsets)) for c in t.column("left").chunks])
-            sides = [common(run, t.column(k), width) for k in ("left", "right")]
-            # the neighbour that shares most, before or behind
-            best = [np.maximum(shared_, np.append(shared_[1:], -1))[place] for _, place, shared_ in sides]
-            open_ = (best[0] + best[1] >= width) & (best[0] >= 0)
-            found = []
-            for j in range(width + 1):
-                own = np.flatnonzero(open_ & (fewest <= j) & (j <= most) & (best[0] >= j) & (best[1] >= width - j))
-                if not len(own):
-                    continue
-                # stretches of suffixes that share j words on the left, and the others on the right
-                stretch = [np.cumsum(shared_ < d)[place[own]] for (_, place, shared_), d in zip(sides, (j, width - j))]
-                ((source, _),) = extremes((stretch[0], stretch[1]), doc[own])
-                hit = source < doc[own]
-                found.append((own[hit], pos[own[hit]] - j, source[hit]))
-            if found:
-                row, at, source = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((at, row))
-                if len(row):
-                    yield runs_of(doc, digest, row[order], at[order], source[order])
-
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(compare, RUNS)
+        for t in whole_groups(batches, "grp", lambda b: 16 * b.num_rows):
+            small = pa.compute.is_valid(t.column("left"))
+            for part, found in ((t.filter(small), lambda x: neighbours(x, least - prefix)), (t.filter(pa.compute.invert(small)), lambda x: compared(x, True))):
+                out = found(part.combine_chunks()) if part.num_rows else None
+                if out is not None:
+                    yield out
+
+    return rows.repartition("grp").sortWithinPartitions("grp", "h").mapInArrow(compare, RUNS)
 
 
 def repeated_passages(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, digest, s, e, source): runs of starts of passages of `least` words that stand in a smaller doc_id, `source`. texts: as texts_by_id() gives them."""
     prefix = min(PREFIX, max(1, least - 1))
-    kept = written(anchors(texts, prefix, least), "suffixes")
-    same = written(copies(kept), "copies")
-    runs = written(shared(kept), "runs")
-    marks = marked(kept, runs).join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    out = whole(same).unionByName(neighbours(suffixes(texts, by_document(marks.where("salts = 1")), prefix, least), prefix, least))
-    if runs.where("salts > 1").isEmpty():
-        return out
-    return out.unionByName(dealt_repeats(windows(texts, by_document(marks.where("salts > 1")), prefix, prefix, least, least), True))
+    level = written(anchors(texts, prefix, least), "suffixes")
+    same = written(copies(level), "copies")
+    runs = written(shared(level), "runs")
+    marks = marked(level, runs).join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+    crowded = None if runs.where("salts > 1").isEmpty() else windows(texts, by_document(marks.where("salts > 1")), prefix, prefix, least, least)
+    kept = suffixes(texts, by_document(marks.where("salts = 1")), prefix, least)
+    return whole(same).unionByName(passages_of_runs(kept, crowded, prefix, least))
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
