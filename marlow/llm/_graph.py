@@ -1,29 +1,46 @@
-"""Connected components as DataFrame joins: nothing is gathered on the driver."""
+"""Connected components as DataFrame joins: nothing is gathered on the driver, and no key's rows meet in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlow.llm._io import drop, written
 
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with `known`, which has one row a key: the rows of a key, however many, are dealt to SALTS tasks by `spread`.
+
+    The pairs of key and salt that occur, at most SALTS of a key, fetch what is known first.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    needed = rows.select(key, "_salt").where(F.col(key).isNotNull()).distinct().join(known.hint("merge"), key)
+    return rows.join(needed.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def _with_lowest(edges: DataFrame) -> DataFrame:
+    """edges(u, v) with m, the smallest v of their u; the edges of a hub are folded and dealt by salts."""
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    folded = salted.groupBy("u", "_salt").agg(F.min("v").alias("m"))
+    low = folded.select("u", "_salt", F.min("m").over(Window.partitionBy("u")).alias("m"))
+    return salted.join(low.hint("merge"), ["u", "_salt"]).select("u", "v", "m")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges(a, b).
 
-    Alternating large-star and small-star steps (Kiveris and others, 2014). A step's minimum is
-    a pre-aggregated groupBy, so a hub's links are folded before they are shuffled. Nulls, loops and
-    repeated edges are ignored; no edges give no rows.
+    Alternating large-star and small-star steps (Kiveris and others, 2014). Nulls, loops and repeated
+    edges are ignored; no edges give no rows.
     """
     e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        new = written(small, "edges")
+        large = _with_lowest(both).select("v", F.least("u", "m").alias("m"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = _with_lowest(large)
+        new = written(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop(e)
         e = new

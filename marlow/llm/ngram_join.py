@@ -2,9 +2,11 @@
 
 Texts of one word sequence are one class and are represented once. Bands and rows follow from the
 target recall at the threshold. Classes that share a band hash become star edges to the smallest of
-their bucket, never all pairs; the components of those edges are then verified block by block on
-full n-gram sets, each block pair a group of bounded size, which returns link counts and a spanning
-forest instead of pairs.
+their bucket, never all pairs. The components of those edges are verified on full n-gram sets, each
+set copied once where the component is small; one over BLOCK classes is verified by its buckets instead
+where these are smaller (a chain of texts that resemble their neighbours alone), a pair in the first
+band it shares. Groups over BLOCK are dealt out as pairs of blocks of bounded size, which return link
+counts and a spanning forest instead of pairs.
 
 Defined cases: a null text or one without words has no n-grams and links with nothing; a text of
 fewer words than n has one n-gram, all its words; rows with a null doc_id link with nothing; rows
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm._graph import components
+from marlow.llm._graph import components, spread_join
 from marlow.llm._io import small_batches, written
 from marlow.llm._words import gram_hashes, mix, pieces, text_digests, utf8, word_hashes, words
 
@@ -135,25 +137,59 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def first_shared(keys: np.ndarray, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+    """Whether the first band that each pair of rows shares is the one with this key."""
+    same = keys[i] == keys[j]
+    at = same.argmax(1)
+    return same[np.arange(len(i)), at] & (keys[i, at] == key)
+
+
 def verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, peer): of rows component, i, j, block, node, weight, grams, the summed weights of linked nodes and a forest."""
+    """(node, links, peer): of rows grp, i, j, block, node, weight, keys, grams, the summed weights of linked nodes and a forest.
+
+    keys: the bands of a class, where the group is a bucket, else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("component", "i", "j")):
+        for group in _groups(batches, ("grp", "i", "j")):
             take = lambda k: np.concatenate([g.column(k).to_numpy() for g in group])  # noqa: E731, B023
             block, node, weight = take("block"), take("node"), take("weight")
-            i, j = (group[0].column(k)[0].as_py() for k in ("i", "j"))
+            grp, i, j = (group[0].column(k)[0].as_py() for k in ("grp", "i", "j"))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for g in group for x in g.column("grams")]
             size = np.array([len(s) for s in sets], float)
             both = _overlaps(sets)
             linked = both >= threshold * (size[:, None] + size - both) - 1e-9
             linked &= (block[:, None] != block) if i != j else ~np.eye(len(sets), dtype=bool)
+            if group[0].column("keys")[0].as_py() is not None:
+                keys = np.concatenate([g.column("keys").flatten().to_numpy() for g in group]).reshape(len(sets), -1)
+                p, q = np.nonzero(linked)
+                linked[p, q] = first_shared(keys, p, q, grp)
             peer = node[forest(linked)]
             links = linked @ weight
             hit = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(peer[hit])], ["node", "links", "peer"])
 
-    return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(run, "node long, links long, peer long")
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").mapInArrow(run, "node long, links long, peer long")
+
+
+def _cost(n: F.Column) -> F.Column:
+    """Copies of sets that a group of n classes takes."""
+    return n * F.ceil(n / BLOCK)
+
+
+def groups_of(near: DataFrame, in_band: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, node, weight, grps array<struct<grp, blocks>>, keys): the groups in which each class is verified: its component, or its buckets."""
+    size = near.groupBy("component").agg(F.count("*").alias("n"))
+    big = spread_join(near, size.where(F.col("n") > BLOCK), "component", "node")
+    bucket = in_band.join(big.select("node", "component").hint("merge"), "node").groupBy("key", "component").agg(F.count("*").alias("k")).where("k > 1")
+    split = bucket.groupBy("component").agg(F.sum(_cost(F.col("k"))).alias("cost")).join(size.hint("merge"), "component").where(F.col("cost") < _cost(F.col("n"))).select("component", F.lit(True).alias("split"))
+    decided = spread_join(near, size.join(split.hint("merge"), "component", "left"), "component", "node").join(classes.select("node", "doc_id", "weight", "keys").hint("merge"), "node")
+    one = F.array(F.struct(F.col("component").alias("grp"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    whole = decided.where("split is null").select("doc_id", "node", "weight", one.alias("grps"), F.lit(None).cast("array<bigint>").alias("keys"))
+    own = decided.where("split").select("doc_id", "node", "weight", "keys", F.explode("keys").alias("key"))
+    blocks = bucket.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    by_band = spread_join(own, blocks, "key", "node").groupBy("doc_id", "node", "weight", "keys").agg(F.collect_list(F.struct(F.col("key").alias("grp"), "blocks")).alias("grps"))
+    return whole.unionByName(by_band.select("doc_id", "node", "weight", "grps", "keys"))
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -172,13 +208,10 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     in_band = classes.select("node", F.explode("keys").alias("key"))
     bucket = in_band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     stars = in_band.join(bucket, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    near = components(stars)
-    near = near.join(near.groupBy("component").count().withColumnRenamed("count", "size"), "component").join(classes.select("node", "doc_id", "weight"), "node")
-    near = near.select("doc_id", "node", "component", "weight", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    near = written(near, "near")
+    near = written(groups_of(components(stars), in_band, classes), "near")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["component", "node", "weight", "blocks", "grams"]
+        names = ["node", "weight", "grps", "keys", "grams"]
         for b in batches:
             data, offsets = utf8(b.column("text"))
             want = b.column("node").to_numpy()
@@ -189,17 +222,18 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(lo + own)) for c in names[:4]], pa.array(blobs, pa.binary())], names)
 
     picked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(near.hint("merge"), "doc_id")
-    full = picked.select("component", "node", "weight", "blocks", "text").mapInArrow(sets, "component long, node long, weight long, blocks int, grams binary")
+    full = picked.select("node", "weight", "grps", "keys", "text").mapInArrow(sets, "node long, weight long, grps array<struct<grp:bigint,blocks:int>>, keys array<long>, grams binary")
+    full = full.withColumn("g", F.explode("grps")).select("g.*", "node", "weight", "keys", "grams")
     full = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = full.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "grams")
+    dealt = full.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "keys", "grams")
     links = written(verified(dealt, threshold), "links")
     tied = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    smallest = tied.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    smallest = tied.join(classes.select("node", "doc_id").hint("merge"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
-    about = classes.select("node", F.col("doc_id").alias("copy_id"), "weight").join(linked, "node", "left").join(tied.join(smallest, "component").select("node", "class_id"), "node", "left")
+    about = classes.select("node", F.col("doc_id").alias("copy_id"), "weight").join(linked.hint("merge"), "node", "left").join(spread_join(tied, smallest, "component", "node").select("node", "class_id").hint("merge"), "node", "left")
     # single texts without links need no join
     about = about.where("weight > 1 or links is not null")
-    out = signed.select("doc_id", "node").join(about, "node", "left")
+    out = spread_join(signed.select("doc_id", "node"), about, "node", "doc_id", "left")
     judged = F.col("copy_id").isNotNull() & F.col("doc_id").isNotNull()
     class_id = F.when(judged, F.coalesce("class_id", "copy_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.when(judged, F.col("copy_id")).otherwise(F.col("doc_id")).alias("copy_id"), F.when(judged, F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -1,7 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from marlow.llm import ngram_join, queries
+from marlow.llm._graph import components
 from tests.llm.test_substring import swapped
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +66,26 @@ def test_against_brute_force(spark, monkeypatch):
     assert one.columns == df.columns and {x.doc_id for x in one.collect()} == {d for d, c, _ in brute(rows) if d is None or d == c}
 
 
+def test_chains_are_verified_by_buckets(spark, monkeypatch):
+    """A chain of texts, each like its neighbours alone: its sets are not copied to pairs of blocks of the whole component."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    words = ["w%d" % i for i in range(3400)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 90])) for k in range(400)] + [(500 + k, " ".join([f"v{i}" for i in range(60)] + [f"u{k}"])) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([(x.doc_id, x.class_id, x.n_links) for x in ngram_join.ngram_join(df).collect()], key=str) == brute(rows)
+    bands, n_rows = ngram_join.bands_and_rows(0.8, ngram_join.RECALL)
+    signed = ngram_join.signatures(df, 5, bands, n_rows)
+    classes = signed.selectExpr("node", "doc_id", "1L as weight", "keys")
+    in_band = classes.selectExpr("node", "explode(keys) as key")
+    low = in_band.groupBy("key").agg(F.min("node").alias("b"))
+    near = components(in_band.join(low, "key").selectExpr("node as a", "b"))
+    got = ngram_join.groups_of(near, in_band, classes).collect()
+    split = {r.doc_id for r in got if r["keys"]}
+    assert split >= set(range(400)) and not split & set(range(500, 530))
+    copies = sum(g.blocks for r in got if r.doc_id < 400 for g in r.grps)
+    assert copies < 400 * 50 / 2
+
+
 def test_regular_texts_are_two_classes(spark):
     rows = list(enumerate(swapped()))
     got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
