@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlow.llm._io import drop, written
 
 SALTS = 64
+BROADCAST_ROWS = 200_000
 
 
 def spread_join(rows: DataFrame, known: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
@@ -20,6 +21,20 @@ def spread_join(rows: DataFrame, known: DataFrame, key: str, spread: str, how: s
     return rows.join(needed.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
+def crowded_join(rows: DataFrame, known: DataFrame, key: str, parts: str) -> DataFrame:
+    """rows joined with the written table `known`, one row a key; keys whose `parts` are over 1 have many rows and are few.
+
+    Where their counted number allows, these are broadcast, so that their rows don't meet in one task.
+    """
+    crowded = known.where(F.col(parts) > 1)
+    few = crowded.count()
+    if not few or few > BROADCAST_ROWS:
+        return rows.join(known.hint("merge"), key)
+    split = rows.join(F.broadcast(crowded), key, "left")
+    plain = split.where(F.col(parts).isNull()).drop(parts).join(known.where(F.col(parts) == 1).hint("merge"), key)
+    return split.where(F.col(parts).isNotNull()).unionByName(plain)
+
+
 def _with_lowest(edges: DataFrame) -> DataFrame:
     """edges(u, v) with m, the smallest v of their u; the edges of a hub are folded and dealt by salts."""
     salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))

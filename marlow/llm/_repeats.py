@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlow.llm._graph import crowded_join
 from marlow.llm._words import gram_hashes, leftmost_minima, pieces, text_digests, utf8, word_hashes, words
 
 WINDOW_KEY = 0xC2B2AE3D27D4EB4F
 # Rows of one anchor that one task compares; those of an anchor with more are dealt to several.
 GROUP_ROWS = 5_000
-BROADCAST_ROWS = 200_000
 # Windows that are compared at once.
 AT_ONCE = 1 << 19
 
@@ -88,19 +88,8 @@ def shared(level: DataFrame) -> DataFrame:
 
 
 def marked(level: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, digest, pos, at, salts): the rows of anchors() whose gram is in shared().
-
-    Grams of many rows are few, at most rows / GROUP_ROWS. Where their counted number allows, they are
-    broadcast, so that their rows don't meet in one task.
-    """
-    rows = level.select("h", "doc_id", "digest", "pos")
-    hot = runs.where("salts > 1")
-    few = hot.count()
-    if few and few <= BROADCAST_ROWS:
-        split = rows.join(F.broadcast(hot), "h", "left")
-        found = split.where("salts is not null").unionByName(split.where("salts is null").drop("salts").join(runs.where("salts = 1").hint("merge"), "h"))
-    else:
-        found = rows.join(runs.hint("merge"), "h")
+    """(doc_id, digest, pos, at, salts): the rows of anchors() whose gram is in shared(), which is a written table."""
+    found = crowded_join(level.select("h", "doc_id", "digest", "pos"), runs, "h", "salts")
     return found.select("doc_id", "digest", "pos", F.col("pos").alias("at"), "salts")
 
 

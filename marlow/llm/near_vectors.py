@@ -3,14 +3,16 @@
 Each table rotates a vector `width` times by sign flips and Hadamard transforms (three rounds) and
 takes the nearest vertex of the cross-polytope each time. A vector lies in its own bucket of every
 table and also looks into the buckets next to it (`probes` in all); a pair meets if one looks into the
-other's own bucket. Pairs that meet are verified by cosine in double precision. Each vector carries
-its codes of all tables, so a pair that meets in several buckets is counted in the first alone and
-link counts need no list of pairs. Buckets over BLOCK rows are dealt out as pairs of blocks.
+other's own bucket. Codes alone are shuffled first; only vectors in buckets where two can meet follow,
+once for each such bucket, in the numbers they came in. Pairs that meet are verified by cosine in
+double precision. A vector has its codes of all tables with it, so a pair that meets in several buckets
+is counted in the first alone and link counts need no list of pairs. Buckets over BLOCK rows are dealt
+out as pairs of blocks.
 
-The width grows with the table and a longer code meets less often, so the number of tables follows
-from the width, the dimensions and the threshold: random pairs just at the threshold are hashed, and
-as many tables are taken as leave a miss of MISS (1 of 10,000); nearer pairs are missed less often.
-In 64 dimensions at cosine 0.9 with 3 probes these are 13 tables at width 2, 28 at 3 and 59 at 4.
+The width grows with the table, so that vectors that meet by chance are fewer than their buckets; a
+longer code meets less often, so the number of tables follows from the width, the dimensions and the
+threshold: random pairs just at the threshold are hashed, and as many tables are taken as leave a miss
+of MISS (1 of 10,000); nearer pairs are missed less often. tables_for() gives the number.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths never link; equal vectors are one class and count as links of
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm._graph import components
-from marlow.llm._io import broadcast_if, small_batches, written
+from marlow.llm._graph import components, crowded_join, spread_join
+from marlow.llm._io import small_batches, written
 from marlow.llm.ngram_join import _groups, forest
 
 THRESHOLD, TABLES, PROBES, SEED, BLOCK = 0.9, 12, 3, 0xC05, 1024
@@ -36,7 +38,9 @@ MISS = 1e-4
 SMALL_DIMS = 16
 # The sample that tables_for() hashes.
 SAMPLE_PAIRS, SAMPLE_TABLES = 1500, 8
-BROADCAST_ROWS = 200_000
+# Up to so many dimensions a rotation is applied as one matrix, itself made by Hadamard transforms; beyond them round by round.
+DENSE_DIMS = 128
+ROWS_AT_ONCE = 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -55,37 +59,65 @@ def padded(dims: int) -> int:
     return 1 << max(1, int(dims - 1).bit_length())
 
 
+_made: dict[tuple[int, ...], np.ndarray] = {}
+
+
+def rotated(x: np.ndarray, tables: int, width: int, seed: int) -> np.ndarray:
+    """(rows, tables, width, dims): rows turned by every rotation of every table."""
+    n, d = x.shape
+    rng = np.random.default_rng([seed, d])
+    if d <= DENSE_DIMS:
+        key = (d, tables, width, seed)
+        if key not in _made:
+            turns = []
+            for _ in range(tables * width):
+                if d <= SMALL_DIMS:
+                    turns.append(np.linalg.qr(rng.normal(size=(d, d)))[0])
+                else:
+                    turns.append(_rounds(np.eye(d), rng))
+            _made.clear()
+            _made[key] = np.concatenate(turns, 1)
+        return (x @ _made[key]).reshape(n, tables, width, d)
+    return np.stack([_rounds(x, rng) for _ in range(tables * width)], 1).reshape(n, tables, width, d)
+
+
+def _rounds(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    for _ in range(3):
+        x = hadamard(x * rng.choice([-1.0, 1.0], x.shape[1])) / np.sqrt(x.shape[1])
+    return x
+
+
 def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: int = 2, seed: int = SEED) -> np.ndarray:
     """(rows, tables, probes) bucket codes of unit vectors; the first probe is the own bucket, the others by rising loss."""
     d = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
-    rng = np.random.default_rng([seed, d])
     near = min(3, d)
     out = np.zeros((len(x), tables, probes), np.int64)
-    for t in range(tables):
-        code, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
-        for _ in range(width):
-            y = x
-            if d <= SMALL_DIMS:
-                y = y @ np.linalg.qr(rng.normal(size=(d, d)))[0]
-            for _ in range(3 if d > SMALL_DIMS else 0):
-                y = hadamard(y * rng.choice([-1.0, 1.0], d)) / np.sqrt(d)
-            order = np.argsort(-np.abs(y), 1, kind="stable")[:, :near]
-            v = np.take_along_axis(y, order, 1)
-            vertex, gap = order * 2 + (v < 0), (np.abs(v[:, :1]) - np.abs(v)) ** 2
-            code = (code[:, :, None] * (2 * d) + vertex[:, None, :]).reshape(len(x), -1)
-            loss = (loss[:, :, None] + gap[:, None, :]).reshape(len(x), -1)
-            best = np.argsort(loss, 1, kind="stable")[:, : max(probes, near)]
-            code, loss = np.take_along_axis(code, best, 1), np.take_along_axis(loss, best, 1)
-        k = min(probes, code.shape[1])
-        out[:, t, :k] = code[:, :k]
-        out[:, t, k:] = code[:, :1]
+    for lo in range(0, len(x), ROWS_AT_ONCE):
+        y = rotated(x[lo : lo + ROWS_AT_ONCE], tables, width, seed)
+        size, best, top = np.abs(y), [], []
+        for _ in range(near):
+            at = size.argmax(3)[..., None]
+            best.append(at)
+            top.append(np.take_along_axis(size, at, 3))
+            np.put_along_axis(size, at, -1.0, 3)
+        order, top = np.concatenate(best, 3), np.concatenate(top, 3)
+        vertex, gap = order * 2 + (np.take_along_axis(y, order, 3) < 0), (top[..., :1] - top) ** 2
+        code, loss = np.zeros((len(y), tables, 1), np.int64), np.zeros((len(y), tables, 1))
+        for w in range(width):
+            code = (code[..., None] * (2 * d) + vertex[:, :, w, None, :]).reshape(len(y), tables, -1)
+            loss = (loss[..., None] + gap[:, :, w, None, :]).reshape(len(y), tables, -1)
+            least = np.argsort(loss, 2, kind="stable")[..., : max(probes, near)]
+            code, loss = np.take_along_axis(code, least, 2), np.take_along_axis(loss, least, 2)
+        k = min(probes, code.shape[2])
+        out[lo : lo + len(y), :, :k] = code[..., :k]
+        out[lo : lo + len(y), :, k:] = code[..., :1]
     return out
 
 
 def width_for(rows: int, dims: int) -> int:
-    """Vertices in a code: as many as keep chance buckets at a few rows, two at least."""
-    return max(2, round(np.log(max(rows, 2)) / np.log(2 * max(dims, 2))))
+    """Vertices in a code: as many as leave ten buckets for each row, two at least."""
+    return max(2, int(np.ceil(np.log(10 * max(rows, 1)) / np.log(2 * max(dims, 2)))))
 
 
 def tables_for(dims: int, width: int, probes: int = PROBES, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -113,6 +145,12 @@ def first_met(own: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, code: i
     return ~before & (least == code)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _distinct(vectors: DataFrame) -> DataFrame:
     """(vec_id, node, weight, embedding): one row for each different vector that can link."""
     x = F.col("embedding")
@@ -138,41 +176,47 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
         width = width_for(n, d)
         shape[d] = (tables or tables_for(d, width, probes, threshold), width)
 
+    kind = np.float32 if dict(distinct.dtypes)["embedding"] == "array<float>" else np.float64
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column("embedding")
             size = np.diff(np.asarray(column.offsets))
-            flat = column.flatten().to_numpy().astype(np.float64)
+            flat = column.flatten().to_numpy()
             first = np.append(0, np.cumsum(size))
-            blob, own = [b""] * len(size), [b""] * len(size)
+            blob, own, keys = ([b""] * len(size) for _ in range(3))
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                x = flat[first[at][:, None] + np.arange(d)]
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                raw = flat[first[at][:, None] + np.arange(d)]
                 count, width = shape[padded(int(d))]
-                c = codes(x, count, probes, width)
-                c = c * 4099 + d  # vectors of other lengths lie in other buckets
+                c = codes(_units(raw), count, probes, width)
+                # vectors of other lengths lie in other buckets; the own ones first, then the others without repeats
+                key = (c * 4099 + d) * count + np.arange(count)[:, None]
                 for k, r in enumerate(at):
-                    blob[r], own[r] = x[k].tobytes(), c[k].tobytes()
-            lists = pa.array([np.frombuffer(o, np.int64) for o in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("weight"), pa.array(blob, pa.binary()), pa.array(own, pa.binary()), lists], ["node", "weight", "unit", "own", "codes"])
-
-    signed = written(distinct.select("node", "weight", "embedding").mapInArrow(hashed, "node long, weight long, unit binary, own binary, codes array<long>"), "hashed")
-    looks = signed.select("node", F.posexplode("codes").alias("at", "code")).select("node", F.expr(f"at div {probes}").cast("int").alias("t"), "code", (F.col("at") % probes == 0).alias("lives")).groupBy("t", "code", "node").agg(F.max("lives").alias("lives"))
-    buckets = looks.groupBy("t", "code").agg(F.count("*").alias("n"), F.max("lives").alias("lived")).where("n > 1 and lived").select("t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    meet = looks.join(buckets, ["t", "code"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "lives")
-    rows = meet.join(signed.select("node", "weight", "unit", "own"), "node")
+                    lives = key[k, :, 0]
+                    more = np.unique(key[k, :, 1:])
+                    blob[r], own[r], keys[r] = raw[k].astype(kind).tobytes(), c[k].tobytes(), np.append(lives, more[~np.isin(more, lives)])
+            lists = pa.array([np.frombuffer(o, np.int64) if isinstance(o, bytes) else o for o in keys], pa.list_(pa.int64()))
+            tables_of = pa.array([shape[padded(int(d))][0] for d in size], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("weight"), pa.array(size.astype(np.int32)), tables_of, pa.array(blob, pa.binary()), pa.array(own, pa.binary()), lists], ["node", "weight", "dims", "tables", "vector", "own", "keys"])
+
+    signed = written(distinct.select("node", "weight", "embedding").mapInArrow(hashed, "node long, weight long, dims int, tables int, vector binary, own binary, keys array<long>"), "hashed")
+    looks = signed.select("node", "tables", F.posexplode("keys").alias("at", "key")).select("node", "key", (F.col("at") < F.col("tables")).alias("lives"))
+    buckets = looks.groupBy("key").agg(F.count("*").alias("n"), F.max("lives").alias("lived")).where("n > 1 and lived").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = written(crowded_join(looks, written(buckets, "buckets"), "key", "blocks"), "met")
+    meet = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "lives")
+    rows = meet.join(signed.select("node", "weight", "dims", "tables", "vector", "own").hint("merge"), "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("t", "code", "i", "j")):
+        for group in _groups(batches, ("key", "i", "j")):
             take = lambda k: np.concatenate([g.column(k).to_numpy(zero_copy_only=False) for g in group])  # noqa: E731, B023
             block, node, weight, lives = take("block"), take("node"), take("weight"), take("lives")
-            t, code, bi, bj = (group[0].column(k)[0].as_py() for k in ("t", "code", "i", "j"))
+            key, bi, bj, dims, count = (group[0].column(k)[0].as_py() for k in ("key", "i", "j", "dims", "tables"))
+            t, code = key % count, (key // count - dims) // 4099
             if len(node) < 2:
                 continue
-            x = np.stack([np.frombuffer(u.as_buffer(), np.float64) for g in group for u in g.column("unit")])
+            x = _units(np.stack([np.frombuffer(u.as_buffer(), kind) for g in group for u in g.column("vector")]))
             linked = np.triu(x @ x.T >= threshold, 1)
             linked &= lives[:, None] | lives
             if bi != bj:
@@ -189,12 +233,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
             hit = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[forest(linked)[hit]])], ["node", "links", "peer"])
 
-    found = rows.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j", "node").mapInArrow(verify, "node long, links long, peer long")
+    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(verify, "node long, links long, peer long")
     found = written(found, "links")
     tied = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    smallest = tied.join(distinct.select("node", "vec_id"), "node").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    about = distinct.select("node", F.col("vec_id").alias("copy_id"), "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    about = written(about.join(tied.join(smallest, "component").select("node", "component_id"), "node", "left").where("weight > 1 or links is not null"), "about")
-    out = vectors.withColumn("node", F.when(F.col("vec_id").isNotNull(), F.xxhash64("embedding"))).drop("embedding").join(broadcast_if(about, about.count(), BROADCAST_ROWS), "node", "left")
+    smallest = tied.join(distinct.select("node", "vec_id").hint("merge"), "node").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    about = distinct.select("node", F.col("vec_id").alias("copy_id"), "weight").join(found.groupBy("node").agg(F.sum("links").alias("links")).hint("merge"), "node", "left")
+    about = about.join(spread_join(tied, smallest, "component", "node").select("node", "component_id").hint("merge"), "node", "left").where("weight > 1 or links is not null")
+    named = vectors.withColumn("node", F.when(F.col("vec_id").isNotNull(), F.xxhash64("embedding"))).drop("embedding")
+    out = spread_join(named, about, "node", "vec_id", "left")
     component = F.coalesce("component_id", "copy_id", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("weight") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
