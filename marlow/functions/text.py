@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,28 @@ def _replace(c: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters that are a letter with marks, and that letter alone; of the blocks up to U+024F and from U+1E00 to U+1EFF."""
+    pairs = [(chr(n), unicodedata.normalize("NFD", chr(n))[0]) for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(a, b) for a, b in pairs if a != b and "LATIN" in unicodedata.name(a, "")]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_accents(c: Column) -> Column:
+    """Latin letters without their marks, also where these are characters of their own; other scripts keep their letters."""
+    return F.regexp_replace(F.translate(c, *_plain_letters()), "[\u0300-\u036f]", "")
+
+
+def at_path(column: str, path: str | list[str]) -> Column:
+    """A field of a nested record by a dotted name or a list of names."""
+    return reduce(lambda c, name: c[name], path.split(".") if isinstance(path, str) else path, F.col(column))
+
+
+def message_id() -> Column:
+    """A new id for each row: the time to the base of 36, and a random part."""
+    return F.concat_ws("-", F.lower(F.conv(F.unix_millis(F.current_timestamp()).cast("string"), 10, 36)), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
 def _regex(c: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), pairs, c)
 

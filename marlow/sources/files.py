@@ -132,12 +132,19 @@ def packages(df: DataFrame, manager: str, line: str, arrow: bool = True) -> Data
     return rows.select(F.lit(manager).alias("manager"), at(0).alias("name"), F.lit("").alias("cur"), at(1).alias("new"))
 
 
+MOST_LEVELS = 16
+
+
 def with_sourced(spark: SparkSession, path: str, base: str) -> DataFrame:
-    """Lines of a configuration file and of the files its source lines name, one level deep. Such files are few, so their names are gathered."""
-    top = spark.read.text(path)
-    named = top.select(F.regexp_extract("value", r"^\s*source(?:-file)?\s+(?:-q\s+)?['\"]?([^'\"\s]+)", 1).alias("p")).where("p <> ''").collect()
-    paths = [path, *(f"{base}/{r.p}" if not r.p.startswith("/") else r.p for r in named)]
-    return spark.read.text(paths)
+    """Lines of a configuration file and of the files its source lines name, and theirs, each file once. Such files are few, so their names are gathered."""
+    seen, new = [], [path]
+    for _ in range(MOST_LEVELS):
+        seen += new
+        named = spark.read.text(new).select(F.regexp_extract("value", r"^\s*source(?:-file)?\s+(?:-q\s+)?['\"]?([^'\"\s]+)", 1).alias("p")).where("p <> ''").distinct().collect()
+        new = sorted({r.p if r.p.startswith("/") else f"{base}/{r.p}" for r in named} - set(seen))
+        if not new:
+            break
+    return spark.read.text(seen)
 
 
 # ---- key bindings
@@ -147,9 +154,10 @@ def bindings(df: DataFrame) -> DataFrame:
     """lineno, section, depth, mods, key, dispatcher, params, comment of binding lines.
 
     Lines `#!`, `##!`, ... open a section of that depth; `bind... = MODS, key, dispatcher, params # comment`;
-    `#/# bind` is a binding for display alone; a comment with [hidden] hides the line. df: lineno, line.
+    `#/# bind` is a binding for display alone; a comment with [hidden] hides the line. df: lineno, line and,
+    for several files, file; the lines of one file are one order.
     """
-    order = Window.orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)  # a configuration file: small, and one order
+    order = Window.partitionBy(*[c for c in ("file",) if c in df.columns]).orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
     head = F.regexp_extract("line", r"^(#+)!\s*(.*)$", 1)
     title = F.when(head != "", F.struct(F.length(head).alias("depth"), F.regexp_extract("line", r"^(#+)!\s*(.*)$", 2).alias("name")))
     rows = df.withColumn("_h", F.last(title, ignorenulls=True).over(order))
@@ -157,7 +165,7 @@ def bindings(df: DataFrame) -> DataFrame:
     rows = rows.where(F.col("line").rlike(p) & ~F.col("line").contains("[hidden]"))
     part = lambda i: F.trim(F.regexp_extract("line", p, i))
     mods = F.filter(F.split(part(1), r"[+\s]+"), lambda x: F.length(x) > 1)
-    return rows.select("lineno", F.coalesce("_h.name", F.lit("")).alias("section"), F.coalesce("_h.depth", F.lit(0)).alias("depth"), mods.alias("mods"), part(2).alias("key"), part(3).alias("dispatcher"), part(4).alias("params"), part(5).alias("comment"))
+    return rows.select(*[c for c in ("file",) if c in df.columns], "lineno", F.coalesce("_h.name", F.lit("")).alias("section"), F.coalesce("_h.depth", F.lit(0)).alias("depth"), mods.alias("mods"), part(2).alias("key"), part(3).alias("dispatcher"), part(4).alias("params"), part(5).alias("comment"))
 
 
 # ---- folders, nested documents, streams of lines
@@ -311,10 +319,21 @@ def updated_config(df: DataFrame, values: DataFrame, line: str = "line") -> Data
     return out.unionByName(more.select(last.alias("pos"), F.concat("key", F.lit("="), "value").alias(line)))
 
 
+def _signature(columns: list[str]) -> Column:
+    """One text for a set of rows, whatever their order: their number and the sums of both halves of their hashes, so nothing is gathered."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    half = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws(",", F.count("*").cast("string"), half(1), half(16)), 256)
+
+
+def signatures(inputs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, signature of the rows of each key."""
+    return inputs.groupBy(key).agg(_signature(columns).alias("signature"))
+
+
 def is_stale(inputs: DataFrame, columns: list[str], stored: str | None) -> tuple[bool, str]:
     """Whether a cache made from these rows must be made again, and the rows' signature."""
-    row = F.sha2(F.concat_ws("\x1f", *columns), 256)
-    sign = inputs.select(row.alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).first()[0]
+    sign = inputs.agg(_signature(columns)).first()[0]
     return sign != stored, sign
 
 

@@ -22,7 +22,7 @@ def limit_step(value: float, last: float | None, step: float, most: float) -> fl
     return min(last, most) if value > most else value
 
 
-def limited(df: DataFrame, key: str, time: str, value: str, step: float, most: float, delay: str = "0 seconds") -> DataFrame:
+def limited(df: DataFrame, key: str, time: str, value: str, step: float, most: float) -> DataFrame:
     """key, time, value, accepted: each value against the one accepted before it (feedback, so no window function). Stream or batch."""
     types = dict(df.dtypes)
     schema = f"`{key}` {types[key]}, `{time}` {types[time]}, `{value}` double, accepted double"
@@ -36,10 +36,10 @@ def limited(df: DataFrame, key: str, time: str, value: str, step: float, most: f
 
     cols = df.select(key, time, F.col(value).cast("double").alias(value))
     if not df.isStreaming:
-        return cols.groupBy(key).applyInPandas(lambda pdf: rows(pdf.sort_values(time), None)[0], schema)
+        return cols.groupBy(key).applyInPandas(lambda pdf: rows(pdf.sort_values(time, kind="stable"), None)[0], schema)
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values(time)
+        pdf = pd.concat(list(parts)).sort_values(time, kind="stable")
         out, last = rows(pdf, state.get[0] if state.exists else None)
         state.update((last,))
         yield out
@@ -56,7 +56,7 @@ def deltas(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
         return cols.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(time)))
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts)).sort_values(time)
+        pdf = pd.concat(list(parts)).sort_values(time, kind="stable")
         before = pdf[value].shift(1)
         before.iloc[0] = state.get[0] if state.exists else float("nan")
         state.update((float(pdf[value].iloc[-1]),))
@@ -73,7 +73,7 @@ def usage_stream(df: DataFrame, key: str, time: str, idle: str, total: str) -> D
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, out = (tuple(state.get) if state.exists else None), []
-        pdf = pd.concat(list(parts)).sort_values(time)
+        pdf = pd.concat(list(parts)).sort_values(time, kind="stable")
         for i, t in zip(pdf["_i"], pdf["_t"]):
             out.append(None if last is None else 1 - (i - last[0]) / (t - last[1]) if t > last[1] else 0.0)
             last = (float(i), float(t))
@@ -117,7 +117,7 @@ def expiring(df: DataFrame, key: str, time: str, timeout_ms: str, default_ms: in
             out = [(k[0], pd.Timestamp(begun, unit="ms"), pd.Timestamp(end, unit="ms"))]
             state.remove()
         else:
-            pdf = pd.concat(list(parts)).sort_values("_t")
+            pdf = pd.concat(list(parts)).sort_values("_t", kind="stable")
             for t, ms, cancel in zip(pdf["_t"], pdf["_ms"], pdf["cancel"]):
                 if cancel and state.exists:
                     state.remove()
@@ -151,7 +151,7 @@ def framed_stream(df: DataFrame, key: str, seq: str, line: str) -> DataFrame:
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else ""
         out = []
-        for text in pd.concat(list(parts)).sort_values(seq)[line]:
+        for text in pd.concat(list(parts)).sort_values(seq, kind="stable")[line]:
             if text.strip() in ("[", ",", "]"):
                 if held:
                     out.append((k[0], held))
@@ -183,3 +183,23 @@ def refresh_on_event(stream: DataFrame, recompute, checkpoint: str):
 def polled(spark, seconds: int = 3, rows_per_second: int = 1) -> DataFrame:
     """A tick stream that stands for polling."""
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().where(F.col("value") % seconds == 0)
+
+
+def polled_values(df: DataFrame, key: str, time: str, value: str, every_ms: int = 3000) -> DataFrame:
+    """key, tick, value: what a poll every `every_ms` finds, the last value of each key by the end of each tick it changed in. Stream or batch."""
+    tick = F.floor(F.unix_millis(time) / every_ms).cast("long").alias("tick")
+    return df.groupBy(key, tick).agg(F.max_by(value, time).alias(value))
+
+
+def written_back(df: DataFrame, key: str, time: str, value: str, gap: str = "100 milliseconds") -> DataFrame:
+    """key, writes, value: a document that is written when its changes have paused for `gap`: how often, and what is there in the end."""
+    bursts = debounced(df, key, time, value, gap)
+    return bursts.groupBy(key).agg(F.count("*").alias("writes"), F.max_by(value, "at").alias(value))
+
+
+def bus(df: DataFrame, line: str) -> DataFrame:
+    """df with name and args of the events on a bus, lines `name>>arg,arg,...`; other lines are left out. Stream or batch."""
+    parts = F.split(line, ">>", 2)
+    args = F.get(parts, F.lit(1))
+    rows = df.withColumns({"name": F.get(parts, F.lit(0)), "args": F.when(args == "", F.array().cast("array<string>")).otherwise(F.split(args, ","))})
+    return rows.where(F.col(line).contains(">>")).drop(line)
