@@ -248,7 +248,7 @@ def by_group(rows: DataFrame) -> DataFrame:
     """windows() with grp, by which they are compared: that of one anchor, or of a part of an anchor with many rows, by salts of their
     doc_ids; and for each part what is known of its windows."""
     rows = rows.withColumn("grp", F.xxhash64("h", F.pmod(F.xxhash64("doc_id"), F.col("salts"))))
-    return rows.unionByName(_known(rows.where("salts > 1")))
+    return rows.unionByName(_known(rows.where("salts > 1")), allowMissingColumns=True)
 
 
 def compared(t: pa.Table, last: bool) -> pa.RecordBatch | None:

@@ -28,24 +28,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlow.llm._io import written
-from marlow.llm._repeats import ALL, RUNS, anchors, anchors_of, by_document, by_group, compared, copies, extremes, marked, own_marks, runs_of, shared, signed, texts_of, whole, whole_groups, windows
+from marlow.llm._repeats import ALL, RUNS, WINDOW_KEY, anchors, anchors_of, by_document, by_group, compared, copies, extremes, looked_up, marked, own_marks, runs_of, shared, signed, texts_of, whole, whole_groups
+from marlow.llm._words import gram_hashes
 from marlow.llm.substring import remove_repeats, texts_by_id
 
 LEAST, PREFIX = 50, 20
 
 
-def _lists(values: np.ndarray, begin: np.ndarray, n: np.ndarray, step: int) -> pa.ListArray:
-    """Of each row n values from begin on, forwards or backwards."""
+def _lists(values: np.ndarray, begin: np.ndarray, n: np.ndarray, step: int, none: np.ndarray, less: np.ndarray | None = None) -> pa.ListArray:
+    """Of each row n values from begin on, forwards or backwards, each `less` so much; null where none."""
     off = np.append(0, np.cumsum(n))
     at = np.repeat(begin, n) + step * (np.arange(off[-1]) - np.repeat(off[:-1], n))
-    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values[at].view(np.int64)))
+    flat = values[at].view(np.int64) - (0 if less is None else np.repeat(less, n))
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat), mask=pa.array(none))
 
 
 def suffixes(texts: DataFrame, marks: DataFrame, prefix: int, least: int) -> DataFrame:
-    """(h, doc_id, digest, pos, fewest, left, right): the marked suffixes with the words around the prefix that their passages of `least` words can have.
+    """(h, doc_id, digest, pos, salts, fewest, left, right, at, w): the marked suffixes with the words around the prefix that their passages of `least` words can have.
 
     left: words before the suffix, the nearest first; right: words behind the prefix; fewest: words on
-    the left that each of its passages has at least.
+    the left that each of its passages has at least. A suffix of a crowded run (salts over 1) has where
+    its passages begin and their hashes, at and w as windows() gives them, in place of left and right.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +56,20 @@ def suffixes(texts: DataFrame, marks: DataFrame, prefix: int, least: int) -> Dat
             ids = b.column("doc_id").to_numpy()
             for lo, hashes, first, (digests, _) in texts_of(b):
                 p, s, e, text, h = anchors_of(hashes, first, prefix, least)
-                keys, _ = own_marks(b, lo, first, digests, least)
-                own = np.isin(p, keys // (least + 1))
-                p, s, e, text, h = (x[own] for x in (p, s, e, text, h))
-                yield pa.RecordBatch.from_arrays([signed(h), pa.array(ids[lo + text]), signed(digests[text]), pa.array((p - first[text]).astype(np.int32)), pa.array((p - e).astype(np.int32)), _lists(hashes, p - 1, p - s, -1), _lists(hashes, p + prefix, e + least - prefix - p, 1)], ["h", "doc_id", "digest", "pos", "fewest", "left", "right"])
+                keys, n = own_marks(b, lo, first, digests, least)
+                salts = looked_up(keys // (least + 1), n, p)
+                p, s, e, text, h, salts = (x[salts > 0] for x in (p, s, e, text, h, salts))
+                crowded = salts > 1
+                full = gram_hashes(hashes, least, WINDOW_KEY ^ least)
+                none = np.zeros(len(p), np.int64)
+                lists = [
+                    _lists(hashes, p - 1, np.where(crowded, none, p - s), -1, crowded), _lists(hashes, p + prefix, np.where(crowded, none, e + least - prefix - p), 1, crowded),
+                    _lists(np.arange(len(hashes)), s, np.where(crowded, e - s + 1, none), 1, ~crowded, first[text]), _lists(full, s, np.where(crowded, e - s + 1, none), 1, ~crowded),
+                ]
+                yield pa.RecordBatch.from_arrays([signed(h), pa.array(ids[lo + text]), signed(digests[text]), pa.array((p - first[text]).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array((p - e).astype(np.int32)), *lists], ["h", "doc_id", "digest", "pos", "salts", "fewest", "left", "right", "at", "w"])
 
     rows = texts.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "marks")
-    return rows.mapInArrow(cut, "h long, doc_id long, digest long, pos int, fewest int, left array<long>, right array<long>")
+    return rows.mapInArrow(cut, "h long, doc_id long, digest long, pos int, salts int, fewest int, left array<long>, right array<long>, at array<long>, w array<long>")
 
 
 def common(run: np.ndarray, lists: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,11 +113,9 @@ def neighbours(t: pa.Table, width: int) -> pa.RecordBatch | None:
     return runs_of(doc, digest, row[order], at[order], source[order]) if len(row) else None
 
 
-def passages_of_runs(kept: DataFrame, crowded: DataFrame | None, prefix: int, least: int) -> DataFrame:
-    """(doc_id, digest, s, e, source) of suffixes(), whose runs are compared whole, and of windows() of the crowded runs, which are dealt out."""
-    rows = kept.withColumns({"grp": F.xxhash64("h"), "salts": F.lit(1)})
-    if crowded is not None:
-        rows = rows.unionByName(by_group(crowded), allowMissingColumns=True)
+def passages_of_runs(rows: DataFrame, prefix: int, least: int) -> DataFrame:
+    """(doc_id, digest, s, e, source) of suffixes(), a written table: runs are compared whole, crowded ones dealt out by their passages."""
+    rows = by_group(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "grp", lambda b: 16 * b.num_rows):
@@ -127,9 +135,8 @@ def repeated_passages(texts: DataFrame, least: int = LEAST) -> DataFrame:
     same = written(copies(level), "copies")
     runs = written(shared(level), "runs")
     marks = marked(level, runs).join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    crowded = None if runs.where("salts > 1").isEmpty() else windows(texts, by_document(marks.where("salts > 1")), prefix, prefix, least, least)
-    kept = suffixes(texts, by_document(marks.where("salts = 1")), prefix, least)
-    return whole(same).unionByName(passages_of_runs(kept, crowded, prefix, least))
+    rows = written(suffixes(texts, by_document(marks), prefix, least), "runs")
+    return whole(same).unionByName(passages_of_runs(rows, prefix, least))
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
