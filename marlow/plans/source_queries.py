@@ -268,7 +268,19 @@ def _screens(spark: SparkSession, d: str) -> DataFrame:
     return _rects(spark, d).withColumns({"g": F.expr("k div 400"), "pos": _C("k")})
 
 
-@query()
+# Rectangles of a screen one after the other: those that overlap none kept before them are kept.
+_KEPT = "WITH RECURSIVE " + _RECTS + """, o AS (SELECT k // 400 AS g, k, x, y, w, h, row_number() OVER (PARTITION BY k // 400 ORDER BY w * h DESC, k) AS n FROM r),
+    s AS (
+        SELECT g, 0::BIGINT AS n, []::STRUCT(k BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] AS kept FROM o GROUP BY g
+        UNION ALL
+        SELECT s.g, o.n, CASE WHEN len(list_filter(s.kept, lambda b: (greatest(0, least(o.x + o.w, b.x + b.w) - greatest(o.x, b.x)) * greatest(0, least(o.y + o.h, b.y + b.h) - greatest(o.y, b.y)))
+                / (o.w * o.h + b.w * b.h - greatest(0, least(o.x + o.w, b.x + b.w) - greatest(o.x, b.x)) * greatest(0, least(o.y + o.h, b.y + b.h) - greatest(o.y, b.y))) >= 0.3)) > 0
+            THEN s.kept ELSE list_append(s.kept, {'k': o.k, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}) END
+        FROM s JOIN o ON o.g = s.g AND o.n = s.n + 1
+    ) SELECT g, unnest(kept).k AS k FROM s QUALIFY n = max(n) OVER (PARTITION BY g)"""
+
+
+@query(_KEPT)
 def suppressed(spark: SparkSession, d: str) -> DataFrame:
     r = _screens(spark, d)
     return geometry.suppress(r, "g", 0.3).select("g", "k")

@@ -43,7 +43,7 @@ def templates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.fill(F.lit("Part {0} of {1} {2}"), _S("p_name"), _S("p_brand")).alias("filled"), text.fill_named(F.lit("q={{query}}"), {"{{query}}": _S("p_name")}).alias("named"))
 
 
-@query()
+@query("SELECT p_partkey, list_reduce(string_split(p_name, ' '), lambda a, w: CASE WHEN length(split_part(a, chr(10), -1)) + 1 + length(w) <= 12 THEN a || ' ' || w ELSE a || chr(10) || w END) AS lines FROM part")
 def wrapped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.wrapped(_S("p_name"), 12).alias("lines"))
 
@@ -95,10 +95,13 @@ def message_bodies(spark: SparkSession, d: str) -> DataFrame:
     return BODIES.df(spark).select(text.message_body(_S("body"), _S("app")).alias("body"))
 
 
-@query()
+@query(r"""SELECT p_partkey, p_type AS section, p_name || chr(10) || ' "x"' AS unescaped, '/' || replace(p_name, ' ', '%20') || '/%C3%BC~' AS encoded, 'vim' || p_partkey AS element, 'run ' || p_partkey || ' x.txt' AS strategy, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' -site:a.b' || p_partkey ELSE '' END AS sites FROM part""")
 def text_pieces(spark: SparkSession, d: str) -> DataFrame:
-    s = F.lit("one\n\ntwo \\n \\\"x\\\"\n\nthree")
-    return spark.range(1).select(text.section(s, 1).alias("section"), text.unescaped(text.section(s, 1)).alias("unescaped"), text.path_encoded(F.lit("/a b/ü~")).alias("encoded"), text.command_element(F.lit("~vim->vim -S *")).alias("element"), text.command_strategy(F.lit("~vim->vim -S *"), F.lit("x.txt")).alias("strategy"), text.without_sites(F.lit("cats"), F.array(F.lit("a.b"), F.lit(""))).alias("sites"))
+    k = _S("p_partkey").cast("string")
+    rule = F.concat(F.lit("~vim"), k, F.lit("->run "), k, F.lit(" *"))
+    sites = F.array(F.when(_S("p_partkey") % 2 == 0, F.concat(F.lit("a.b"), k)).otherwise(""), F.lit(""))
+    p = table(spark, d, "part")
+    return p.select("p_partkey", text.section(F.concat_ws("\n\n", "p_name", "p_type", F.lit("three")), 1).alias("section"), text.unescaped(F.concat("p_name", F.lit('\\n \\"x\\"'))).alias("unescaped"), text.path_encoded(F.concat(F.lit("/"), "p_name", F.lit("/ü~"))).alias("encoded"), text.command_element(rule).alias("element"), text.command_strategy(rule, F.lit("x.txt")).alias("strategy"), text.without_sites(_S("p_name"), sites).alias("sites"))
 
 
 @query(W + r"SELECT i, coalesce(try_cast(regexp_extract(s, '^(\d+)\t', 1) AS INTEGER), 0) AS id, coalesce(try_cast(regexp_extract(s, '(\d+)x\d+', 1) AS INTEGER), 0) AS width, coalesce(try_cast(regexp_extract(s, '\d+x(\d+)', 1) AS INTEGER), 0) AS height, regexp_matches(s, '^\d+\t\[\[.*binary data.*\d+x\d+.*\]\]$') AS image FROM strings")
@@ -132,7 +135,10 @@ def fuzzy_rank(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("p_partkey", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
 
 
-@query()
+_STEP = "CASE WHEN {b} = 0 OR instr(substr(t, {b} + 1), '{c}') = 0 THEN 0 ELSE {b} + instr(substr(t, {b} + 1), '{c}') END AS {n}"
+
+
+@query(f"WITH p AS (SELECT p_partkey, lower(p_name) AS t, instr(lower(p_name), 'p') AS i1 FROM part), q AS (SELECT *, {_STEP.format(b='i1', c='a', n='i2')} FROM p), r AS (SELECT *, {_STEP.format(b='i2', c='r', n='i3')} FROM q), s AS (SELECT *, {_STEP.format(b='i3', c='t', n='i4')} FROM r) SELECT p_partkey, CASE WHEN i4 = 0 THEN -1 ELSE 4 + (i2 = i1 + 1)::INT + (i3 = i2 + 1)::INT + (i4 = i3 + 1)::INT END AS score FROM s")
 def subsequence_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", similarity.subsequence_score(F.lit("part"), _S("p_name")).alias("score"))
 
@@ -154,7 +160,7 @@ def score_scale(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(200).select(_S("id").alias("i"), F.round(similarity.display_score(-_S("id").cast("double")), 6).alias("display"))
 
 
-@query()
+@query("SELECT p_partkey, coalesce(list_bit_or(list_transform(list_filter(string_split(lower(p_name), ''), lambda c: c <> ' '), lambda c: CASE WHEN c BETWEEN 'a' AND 'z' THEN 1::BIGINT << (ascii(c) - 97) WHEN c BETWEEN '0' AND '9' THEN 1::BIGINT << 26 WHEN ascii(c) <= 127 THEN 1::BIGINT << 30 ELSE 1::BIGINT << 31 END)), 0) AS mask FROM part")
 def character_masks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", similarity.character_mask(_S("p_name")).alias("mask"))
 
@@ -227,7 +233,8 @@ def colour_mix(spark: SparkSession, d: str) -> DataFrame:
     return COLOURS.df(spark).select("c", color.to_hex(color.mix(color.from_hex(_S("c")), color.from_hex(F.lit("#808080")))).alias("mixed"))
 
 
-@query()
+# Values by Python's colorsys: the hue or saturation of #CC3311, a lightness of 0.25.
+@query("SELECT *, 171 AS width, 96 AS height FROM (VALUES ('#000000', '#000000', '#000000', '#404040'), ('#FFFFFF', '#FFFFFF', '#FF1515', '#404040'), ('#336699', '#994633', '#0D5399', '#204060'), ('#FFCC00', '#FF2E00', '#FFD015', '#806600'), ('#808080', '#808080', '#800B0B', '#404040')) t(c, hue, saturation, lightness)")
 def colour_transfer(spark: SparkSession, d: str) -> DataFrame:
     rgb, red = color.from_hex(_S("c")), color.from_hex(F.lit("#CC3311"))
     return COLOURS.df(spark).select("c", color.to_hex(color.with_hue_of(rgb, red)).alias("hue"), color.to_hex(color.with_saturation_of(rgb, red)).alias("saturation"), color.to_hex(color.with_lightness(rgb, 0.25)).alias("lightness"), color.same_area(F.lit(1920), F.lit(1080), 128).alias("size")).select("c", "hue", "saturation", "lightness", "size.*")
@@ -284,12 +291,25 @@ def chat_requests(spark: SparkSession, d: str) -> DataFrame:
 MARKDOWN = Fixture("md", "k int, text string", [(0, "Intro\n```py\nx = 1\n```\nafter <think>hm</think> end"), (1, "a\n```sh\nls"), (2, "<think>open"), (3, " \n"), (4, "price $x+1$ and $$y$$ or \\(z\\)")])
 
 
-@query()
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """k, text: an answer for each part, with text, code and think blocks; of each third one the last block stays open."""
+    k, name = _S("p_partkey"), _S("p_name")
+    closed = F.concat(F.lit("Intro "), name, F.lit("\n```py\nx = "), k, F.lit("\n```\nafter <think>hm "), name, F.lit("</think> end"))
+    code, think = F.concat(name, F.lit("\n```sh\nls "), k), F.concat(name, F.lit(" <think>open "), k)
+    return table(spark, d, "part").select(k.alias("k"), F.when(k % 3 == 0, closed).when(k % 3 == 1, code).otherwise(think).alias("text"))
+
+
+@query("""WITH b AS (
+    SELECT p_partkey AS k, unnest([{'pos': 0, 'kind': 'text', 'lang': NULL, 'content': 'Intro ' || p_name || chr(10), 'completed': true}, {'pos': 1, 'kind': 'code', 'lang': 'py', 'content': 'x = ' || p_partkey || chr(10), 'completed': true},
+        {'pos': 2, 'kind': 'text', 'lang': NULL, 'content': chr(10) || 'after ', 'completed': true}, {'pos': 3, 'kind': 'think', 'lang': NULL, 'content': 'hm ' || p_name, 'completed': true}, {'pos': 4, 'kind': 'text', 'lang': NULL, 'content': ' end', 'completed': true}]) AS b FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, unnest([{'pos': 0, 'kind': 'text', 'lang': NULL, 'content': p_name || chr(10), 'completed': true}, {'pos': 1, 'kind': 'code', 'lang': 'sh', 'content': 'ls ' || p_partkey, 'completed': false}]) FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT p_partkey, unnest([{'pos': 0, 'kind': 'text', 'lang': NULL, 'content': p_name || ' ', 'completed': true}, {'pos': 1, 'kind': 'think', 'lang': NULL, 'content': 'open ' || p_partkey, 'completed': false}]) FROM part WHERE p_partkey % 3 = 2
+) SELECT k, b.pos AS pos, b.kind AS kind, b.lang AS lang, b.content AS content, b.completed AS completed FROM b""")
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return documents.markdown_blocks(MARKDOWN.df(spark), "k", "text")
+    return documents.markdown_blocks(_answers(spark, d), "k", "text")
 
 
-@query()
+@query("SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'Intro ' || p_name || chr(10) || '```py' || chr(10) || 'x = ' || p_partkey || chr(10) || '```' || chr(10) || 'after hm ' || p_name || ' end' WHEN 1 THEN p_name || chr(10) || '```sh' || chr(10) || 'ls ' || p_partkey || chr(10) || '```' ELSE p_name || ' open ' || p_partkey END AS text FROM part")
 def markdown_joined(spark: SparkSession, d: str) -> DataFrame:
     return documents.joined_blocks(markdown_blocks(spark, d), "k")
 
