@@ -10,6 +10,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# ---- numbering
+
+SHARDS = 64
+
+
+def numbered(df: DataFrame, name: str, lead: Column, *ties: Column, part: Column | None = None) -> DataFrame:
+    """df with its row number from 1, in order of part (few small numbers), lead (a number) and ties.
+
+    Rows are dealt to shards by bounds of lead, at most SHARDS of them, that quantiles give; they are
+    numbered in their shard, and shards begin where those before them end, so no task gets all rows.
+    """
+    rows = df.withColumns({"_part": F.lit(0) if part is None else part, "_lead": lead})
+    bounds = rows.agg(F.percentile_approx(F.col("_lead").cast("double"), [k / SHARDS for k in range(1, SHARDS)], 1000)).first()[0] or []
+    rows = rows.withColumn("_shard", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col("_lead"))) if bounds else F.lit(0))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part", "_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy("_part", "_shard").count().select("_part", "_shard", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part", "_shard").orderBy("_lead", *ties))
+    out = rows.withColumn("_n", place).join(F.broadcast(offsets), ["_part", "_shard"])  # a row for each shard
+    return out.withColumn(name, (F.col("_n") + F.col("_before")).cast("int")).drop("_part", "_shard", "_lead", "_n", "_before")
+
+
 # ---- best rows and groups
 
 
@@ -50,7 +71,8 @@ def merged_groups(pinned: DataFrame, opened: DataFrame, key: str, value: str) ->
     both = pinned.select(F.lower(key).alias("key"), F.lit(True).alias("pinned"), F.lit(0).alias("part"), "pos", F.lit(None).cast(dict(opened.dtypes)[value]).alias("value"))
     both = both.unionByName(opened.select(F.lower(key).alias("key"), F.lit(False).alias("pinned"), F.lit(1).alias("part"), "pos", F.col(value).alias("value")))
     out = both.groupBy("key").agg(F.max("pinned").alias("pinned"), F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("part", "pos", "value")))).alias("_v"), F.min(F.struct("part", "pos")).alias("_at"))
-    return out.select("key", "pinned", F.transform("_v", lambda x: x["value"]).alias("values"), F.row_number().over(Window.orderBy("_at")).alias("place"))
+    out = out.select("key", "pinned", F.transform("_v", lambda x: x["value"]).alias("values"), "_at")
+    return numbered(out, "place", F.col("_at.pos"), F.col("key"), part=F.col("_at.part")).drop("_at")
 
 
 def distinct_first(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -129,17 +151,30 @@ def pinned_split(df: DataFrame, pins: DataFrame, key: str) -> DataFrame:
 
 
 def not_contained(names: DataFrame, listed: DataFrame, name: str, text: str, exact: bool = True) -> DataFrame:
-    """Names that no listed path ends in (exact), or that are no substring of any listed text (as a plain text search has it)."""
+    """Names that no listed path ends in (exact), or that are no substring of any listed text (as a plain text search has it).
+
+    For the latter the texts' substrings of the lengths that names have, which are few, meet the names by equality.
+    """
     if exact:
         return names.join(listed.select(F.regexp_replace(F.element_at(F.split(text, "/"), -1), r"\.git$", "").alias(name)), name, "left_anti")
-    return names.join(listed, listed[text].contains(names[name]), "left_anti")
+    sizes = [r[0] for r in names.select(F.length(name).alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    if not sizes:
+        return names.where(F.lit(False)) if not listed.isEmpty() else names
+
+    def cut(n: int) -> Column:
+        begins = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(begins, lambda i: F.substring(F.col(text), i, F.lit(n))))
+
+    pieces = F.concat(*[cut(n) for n in sizes])
+    left = names.join(listed.select(F.explode(pieces).alias(name)).distinct(), name, "left_anti")
+    return left if listed.isEmpty() else left.where(F.coalesce(F.length(name), F.lit(1)) > 0)
 
 
 def ordered_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Retained items in their old order and case, then new ones in theirs; keys are compared without case. key, place."""
     o, n = old.select(key, "pos", F.lower(key).alias("_k")), new.select(key, "pos", F.lower(key).alias("_k"))
     rows = o.join(n.select("_k"), "_k", "left_semi").withColumn("_s", F.lit(0)).unionByName(n.join(o.select("_k"), "_k", "left_anti").withColumn("_s", F.lit(1)))
-    return rows.select(key, F.row_number().over(Window.orderBy("_s", "pos")).alias("place"))
+    return numbered(rows, "place", F.col("pos"), F.col(key), part=F.col("_s")).select(key, "place")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
@@ -225,5 +260,6 @@ def first_available(candidates: DataFrame, available: DataFrame, key: str) -> Da
 
 def retained(files: DataFrame, now: Column, newest: int = 5, days: int = 30) -> DataFrame:
     """path, deleted: files beyond the newest few that are older than so many days go."""
-    n = F.row_number().over(Window.orderBy(F.desc("modified"), "path"))
-    return files.withColumn("deleted", (n > newest) & (F.col("modified") < now - F.make_dt_interval(F.lit(days))))
+    few = files.orderBy(F.desc("modified"), "path").limit(newest).select("path", F.lit(True).alias("_new"))
+    old = F.col("_new").isNull() & (F.col("modified") < now - F.make_dt_interval(F.lit(days)))
+    return files.join(F.broadcast(few), "path", "left").withColumn("deleted", old).drop("_new")  # `newest` rows

@@ -6,9 +6,9 @@ import pytest
 
 from marlow import plans
 
-PYTHON = {"fuzzy_search", "fuzzy_search_keys", "markdown_blocks", "markdown_joined", "suppressed", "kept_smaller", "player_clusters", "largest_quiet_region", "dominant_colour", "stream_limited", "stream_deltas"}
-# text containment is no equality: the listed plugins are few
-NESTED = {"plugins_to_remove_by_text", "top_k", "limited_text", "overlap_ratio", "offset_ids"}
+PYTHON = {"fuzzy_search", "fuzzy_search_keys", "markdown_blocks", "markdown_joined", "suppressed", "kept_smaller", "player_clusters", "largest_quiet_region", "archived_files", "dominant_colour", "stream_limited", "stream_deltas"}
+# one row each
+NESTED = {"top_k", "limited_text", "overlap_ratio", "offset_ids"}
 HEAVY = {"stream_first_seen", "stream_deltas", "stream_limited", "same_rows", "dominant_colour"}
 
 
