@@ -126,3 +126,26 @@ def greys(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["img", "height", "width", "pixels"]).astype({"height": "Int64", "width": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, "img string, height long, width long, pixels array<int>")
+
+
+def inverted(pixels: DataFrame) -> DataFrame:
+    """pixels with the complement of each channel r, g, b (0 to 255)."""
+    return pixels.withColumns({c: 255 - F.col(c) for c in "rgb"})
+
+
+def scaled(pixels: DataFrame, red: float, green: float, blue: float) -> DataFrame:
+    """pixels with each channel times its factor, within 0 to 255."""
+    return pixels.withColumns({c: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(c) * k)) for c, k in zip("rgb", (red, green, blue))})
+
+
+def palette(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cell, n, r, g, b, score: at most 128 colours of each image, the means of cells of 2 bits of red, 3 of green and 2 of blue.
+
+    score: seven tenths for the share of the pixels, three tenths for how far the mean is from grey.
+    """
+    r, g, b = (F.col(c).cast("int") for c in "rgb")
+    cell = F.shiftright(r, 6) * 32 + F.shiftright(g, 5) * 4 + F.shiftright(b, 6)
+    means = pixels.groupBy(*keys, cell.alias("cell")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))  # at most 128 rows
+    chroma = (F.greatest("r", "g", "b") - F.least("r", "g", "b")) / 255
+    return means.withColumn("score", 0.7 * share + 0.3 * chroma)

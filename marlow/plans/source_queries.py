@@ -349,6 +349,29 @@ def dominant_colour(spark: SparkSession, d: str) -> DataFrame:
     return images.dominant(_colours(spark))
 
 
+@query(f"WITH {_PIX}, c AS ({_RGB}) SELECT img, sum(255 - r)::BIGINT AS r, sum(255 - g)::BIGINT AS g, sum(255 - b)::BIGINT AS b, round(sum(r * 0.7), 6) AS red, round(sum(g * 0.6), 6) AS green, round(sum(b * 0.5), 6) AS blue FROM c GROUP BY img")
+def pixel_effects(spark: SparkSession, d: str) -> DataFrame:
+    c = _colours(spark)
+    inverse = images.inverted(c).groupBy("img").agg(*[F.sum(x).alias(x) for x in "rgb"])
+    return inverse.join(images.scaled(c, 0.7, 0.6, 0.5).groupBy("img").agg(*[F.round(F.sum(x), 6).alias(n) for x, n in zip("rgb", ("red", "green", "blue"))]), "img")
+
+
+@query(f"WITH {_PIX}, c AS ({_RGB}), m AS (SELECT img, (r // 64) * 32 + (g // 32) * 4 + b // 64 AS cell, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM c GROUP BY ALL) SELECT img, cell::INTEGER AS cell, n, round(0.7 * n / sum(n) OVER (PARTITION BY img) + 0.3 * (greatest(r, g, b) - least(r, g, b)) / 255, 6) AS score FROM m")
+def palettes(spark: SparkSession, d: str) -> DataFrame:
+    return images.palette(_colours(spark), ["img"]).select("img", "cell", "n", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_PIX} SELECT img, y, x, val FROM p UNION ALL SELECT NULL, NULL, NULL, NULL")
+def grey_rasters(spark: SparkSession, d: str) -> DataFrame:
+    """The images as binary PGM files, and one that is none, read back."""
+    rows = _pixels(spark).groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "val"))), lambda v: v["val"]).alias("v"))
+    body = F.unhex(F.array_join(F.transform("v", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    pgm = rows.select(F.col("img").cast("string").alias("path"), F.concat(F.encode(F.lit("P5\n20 20\n255\n"), "utf-8"), body).alias("content"))
+    read = images.greys(pgm.unionByName(spark.createDataFrame([(None, b"GIF89a")], "path string, content binary")))
+    at = read.select(F.col("img").cast("long").alias("img"), "width", F.posexplode_outer("pixels").alias("k", "val"))
+    return at.select("img", F.expr("k div width").cast("long").alias("y"), (F.col("k") % F.col("width")).cast("long").alias("x"), F.col("val").cast("long").alias("val"))
+
+
 # ---- streams, run to their end over the events table
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from marlow import plans
 
-PYTHON = {"fuzzy_search", "fuzzy_search_keys", "markdown_blocks", "markdown_joined", "suppressed", "kept_smaller", "player_clusters", "largest_quiet_region", "archived_files", "dominant_colour", "stream_limited", "stream_deltas"}
+PYTHON = {"fuzzy_search", "fuzzy_search_keys", "grey_rasters", "markdown_blocks", "markdown_joined", "suppressed", "kept_smaller", "player_clusters", "largest_quiet_region", "archived_files", "dominant_colour", "stream_limited", "stream_deltas"}
 # one row each
 NESTED = {"top_k", "limited_text", "overlap_ratio", "offset_ids"}
 HEAVY = {"stream_first_seen", "stream_deltas", "stream_limited", "same_rows", "dominant_colour"}
