@@ -286,7 +286,19 @@ def suppressed(spark: SparkSession, d: str) -> DataFrame:
     return geometry.suppress(r, "g", 0.3).select("g", "k")
 
 
-@query()
+# A rectangle that is left removes those behind it that it overlaps and that are no smaller, up to the first smaller one, which removes it.
+_SMALLER = "WITH RECURSIVE " + _RECTS + f""", o AS (SELECT k // 400 AS g, k, x, y, w, h, row_number() OVER (PARTITION BY k // 400 ORDER BY k) AS n FROM r),
+    l AS (SELECT a.g, a.n, list({{'k': b.k, 'less': a.w * a.h > b.w * b.h}} ORDER BY b.k) AS js FROM o a JOIN o b ON a.g = b.g AND b.k > a.k WHERE {_BOTH} > 0 GROUP BY a.g, a.n),
+    s AS (
+        SELECT g, 0::BIGINT AS n, []::BIGINT[] AS gone FROM o GROUP BY g
+        UNION ALL
+        SELECT g, n, CASE WHEN list_contains(gone, k) OR js IS NULL THEN gone WHEN first IS NULL THEN gone || list_transform(js, lambda j: j.k::BIGINT)
+            ELSE gone || list_transform(list_filter(js, lambda j: j.k < first), lambda j: j.k::BIGINT) || [k::BIGINT] END
+        FROM (SELECT *, list_filter(js, lambda j: j.less)[1].k AS first FROM (SELECT s.g, o.n, o.k, s.gone, list_filter(l.js, lambda j: NOT list_contains(s.gone, j.k::BIGINT)) AS js FROM s JOIN o ON o.g = s.g AND o.n = s.n + 1 LEFT JOIN l ON l.g = o.g AND l.n = o.n))
+    ), e AS (SELECT g, gone FROM s QUALIFY n = max(n) OVER (PARTITION BY g)) SELECT o.g, o.k FROM o JOIN e ON e.g = o.g WHERE NOT list_contains(e.gone, o.k::BIGINT)"""
+
+
+@query(_SMALLER)
 def kept_smaller(spark: SparkSession, d: str) -> DataFrame:
     r = _screens(spark, d)
     return geometry.keep_smaller(r, "g").select("g", "k")
