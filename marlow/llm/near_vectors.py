@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from marlow.llm._graph import components, crowded_join, spread_join
 from marlow.llm._io import small_batches, written
-from marlow.llm.ngram_join import _groups, forest
+from marlow.llm._repeats import whole_groups
+from marlow.llm.ngram_join import forest
 
 THRESHOLD, TABLES, PROBES, SEED, BLOCK = 0.9, 12, 3, 0xC05, 1024
 MISS = 1e-4
@@ -151,6 +152,14 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(vectors: pa.ChunkedArray, dims: np.ndarray, kind: type) -> np.ndarray:
+    """Unit vectors from a column of their bytes, shorter ones with zeros behind."""
+    raw = np.concatenate([np.frombuffer(c.buffers()[2], np.uint8)[np.frombuffer(c.buffers()[1], np.int32)[c.offset] : np.frombuffer(c.buffers()[1], np.int32)[c.offset + len(c)]] for c in vectors.chunks if len(c)]).view(kind)
+    out = np.zeros((len(dims), int(dims.max(initial=0))))
+    out[np.arange(out.shape[1]) < dims[:, None]] = raw
+    return _units(out)
+
+
 def _distinct(vectors: DataFrame) -> DataFrame:
     """(vec_id, node, weight, embedding): one row for each different vector that can link."""
     x = F.col("embedding")
@@ -209,31 +218,36 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
     rows = meet.join(signed.select("node", "weight", "dims", "tables", "vector", "own").hint("merge"), "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("key", "i", "j")):
-            take = lambda k: np.concatenate([g.column(k).to_numpy(zero_copy_only=False) for g in group])  # noqa: E731, B023
-            block, node, weight, lives = take("block"), take("node"), take("weight"), take("lives")
-            key, bi, bj, dims, count = (group[0].column(k)[0].as_py() for k in ("key", "i", "j", "dims", "tables"))
-            t, code = key % count, (key // count - dims) // 4099
-            if len(node) < 2:
-                continue
-            x = _units(np.stack([np.frombuffer(u.as_buffer(), kind) for g in group for u in g.column("vector")]))
-            linked = np.triu(x @ x.T >= threshold, 1)
-            linked &= lives[:, None] | lives
-            if bi != bj:
-                linked &= block[:, None] != block
-            i, j = np.nonzero(linked)
-            if not len(i):
-                continue
-            own = np.stack([np.frombuffer(u.as_buffer(), np.int64) for g in group for u in g.column("own")]).reshape(len(node), -1, probes)
-            for lo in range(0, len(i), 1 << 16):
-                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-                linked[p, q] = first_met(own, p, q, t, code)
-            linked |= linked.T
-            links = linked @ weight
-            hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(node[forest(linked)[hit]])], ["node", "links", "peer"])
-
-    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(verify, "node long, links long, peer long")
+        for t in whole_groups(batches, "grp", lambda b: 64 * b.num_rows):
+            grp, key, block, node, weight, lives, dims, count = (t.column(k).to_numpy() for k in ("grp", "key", "block", "node", "weight", "lives", "dims", "tables"))
+            first, second = (t.column(k).to_numpy() for k in "ij")
+            one_block = first == second
+            x = _matrix(t.column("vector"), dims, kind)
+            edge = np.append(np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in (grp, key, first, second)]))), len(grp))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                linked = np.triu(x[lo:hi] @ x[lo:hi].T >= threshold, 1)
+                if not linked.any():
+                    continue
+                linked &= lives[lo:hi, None] | lives[lo:hi]
+                if not one_block[lo]:
+                    linked &= block[lo:hi, None] != block[lo:hi]
+                i, j = np.nonzero(linked)
+                if not len(i):
+                    continue
+                table, code = key[lo] % count[lo], (key[lo] // count[lo] - dims[lo]) // 4099
+                rows_, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                own = np.stack([np.frombuffer(t.column("own")[lo + r].as_buffer(), np.int64) for r in rows_.tolist()]).reshape(len(rows_), -1, probes)
+                for k in range(0, len(i), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    linked[i[part], j[part]] = first_met(own, at[: len(i)][part], at[len(i) :][part], table, code)
+                linked |= linked.T
+                links = linked @ weight[lo:hi]
+                hit = np.flatnonzero(links)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][hit]), pa.array(links[hit]), pa.array(node[lo:hi][forest(linked)[hit]])], ["node", "links", "peer"])
+
+    rows = rows.withColumn("grp", F.xxhash64("key", "i", "j"))
+    found = rows.repartition("grp").sortWithinPartitions("grp", "key", "i", "j", "node").mapInArrow(verify, "node long, links long, peer long")
     found = written(found, "links")
     tied = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     smallest = tied.join(distinct.select("node", "vec_id").hint("merge"), "node").groupBy("component").agg(F.min("vec_id").alias("component_id"))
