@@ -69,12 +69,10 @@ def user_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("latest"), F.bool_or(F.col("value") > 90).alias("some_high"), F.bool_and(F.col("value") >= 0).alias("all_positive"), F.countDistinct("event_type").alias("kinds"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("names"))
 
 
-PACKAGES = Fixture("packages", "manager string, name string, cur string, new string", [("pacman", "zlib", "1", "2"), ("pacman", "acl", "1", "3"), ("flatpak", "org.x", "", "5")])
-
-
-@query()
+@query("WITH p AS (SELECT 'm' || n_regionkey AS m, list({'name': n_name, 'cur': '1', 'new': n_nationkey::VARCHAR} ORDER BY n_name) AS packages FROM nation GROUP BY 1) SELECT to_json({'managers': map(list(m ORDER BY m), list({'name': CASE m WHEN 'm0' THEN 'First' ELSE m END, 'packages': packages} ORDER BY m)), 'total': sum(len(packages))::BIGINT})::VARCHAR AS json FROM p")
 def update_document(spark: SparkSession, d: str) -> DataFrame:
-    return records.document(PACKAGES.df(spark), {"pacman": "Pacman", "flatpak": "Flatpak"})
+    p = table(spark, d, "nation").select(F.concat(F.lit("m"), "n_regionkey").alias("manager"), F.col("n_name").alias("name"), F.lit("1").alias("cur"), F.col("n_nationkey").cast("string").alias("new"))
+    return records.document(p, {"m0": "First"})
 
 
 @query("WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id FROM labels UNION SELECT doc_id + 1000000 FROM labels WHERE toxic = 1) SELECT doc_id, 'missing' AS side FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, 'extra' FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)")
