@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlow.llm import bpe, langid, license_scan, mpeg, near_vectors, ngram_join, packing, pii, substring, suffix
+from marlow.llm import bpe, centroids, langid, license_scan, mpeg, near_vectors, ngram_join, packing, pii, substring, suffix
 from marlow.llm._io import table
 
 
@@ -53,12 +53,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_ALL = (op1_pii, op2_near_vectors, op3_bpe, op4_language, op5_suffix_dedup, op6_ngram_join, op7_license_scan, op8_mpeg, op9_packing, op10_substring_dedup)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+_ALL = (op1_pii, op2_near_vectors, op3_bpe, op4_language, op5_suffix_dedup, op6_ngram_join, op7_license_scan, op8_mpeg, op9_packing, op10_substring_dedup, op11_centroid_clustering)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # Checksums, tokens, trained models, learned bounds and spans of one chosen source are beyond SQL: their
 # queries are compared with brute force in tests/llm.
+def _clusters_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """Every round as tables of its own: distances to all centroids, the nearest, floors of the means."""
+    steps = [
+        f"x AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * {scale}) AS BIGINT)) AS p FROM embeddings"
+        f" WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, p) - 1 AS j, p FROM (SELECT sha256('{seed}:' || vec_id) AS h, p FROM x WHERE vec_id IS NOT NULL ORDER BY h, p LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS (SELECT i, any_value(vec_id) AS vec_id, any_value(p) AS p, arg_min(j, o) AS j, min(o).d AS d FROM (SELECT x.i, x.vec_id, x.p, c.j, {{'d': list_sum(list_transform(list_zip(x.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'j': c.j}} AS o FROM x, c{r} c) GROUP BY i)"
+        )
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT j, list(f ORDER BY e) AS p FROM (SELECT j, e, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS f FROM (SELECT j, unnest(range(1, {dims + 1})) AS e, unnest(p) AS v FROM a{r}) GROUP BY j, e) GROUP BY j)")
+            steps.append(f"c{r + 1} AS (SELECT c.j, coalesce(m.p, c.p) AS p FROM c{r} c LEFT JOIN m{r} m USING (j))")
+    last = f"SELECT vec_id, a.j::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c USING (j)"
+    return "WITH " + ",\n".join(f"{s.split(' AS ', 1)[0]} AS MATERIALIZED {s.split(' AS ', 1)[1]}" for s in steps) + "\n" + last
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroid_clustering": _clusters_sql(centroids.CLUSTERS, centroids.ROUNDS, centroids.DIMS, centroids.SCALE, centroids.SEED),
     "op2_near_vectors": """
         WITH RECURSIVE v AS (
             SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
