@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlow.llm import bpe, centroids, langid, license_scan, mpeg, near_vectors, ngram_join, packing, pii, substring, suffix
+from marlow.llm import bpe, centroids, langid, license_scan, mpeg, near_vectors, neighbours, ngram_join, packing, pii, substring, suffix
 from marlow.llm._io import table
 
 
@@ -57,7 +57,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
-_ALL = (op1_pii, op2_near_vectors, op3_bpe, op4_language, op5_suffix_dedup, op6_ngram_join, op7_license_scan, op8_mpeg, op9_packing, op10_substring_dedup, op11_centroid_clustering)
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_pii, op2_near_vectors, op3_bpe, op4_language, op5_suffix_dedup, op6_ngram_join, op7_license_scan, op8_mpeg, op9_packing, op10_substring_dedup, op11_centroid_clustering, op13_neighbours)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # Checksums, tokens, trained models, learned bounds and spans of one chosen source are beyond SQL: their
@@ -82,6 +86,17 @@ def _clusters_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
 
 ORACLES: dict[str, str] = {
     "op11_centroid_clustering": _clusters_sql(centroids.CLUSTERS, centroids.ROUNDS, centroids.DIMS, centroids.SCALE, centroids.SEED),
+    "op13_neighbours": """
+        WITH v AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            GROUP BY vec_id
+        ), p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 10
+    """,
     "op2_near_vectors": """
         WITH RECURSIVE v AS (
             SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
