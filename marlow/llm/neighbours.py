@@ -36,7 +36,7 @@ from marlow.llm._graph import BROADCAST_ROWS, spread_join
 from marlow.llm._io import drop, small_batches, written
 
 NEAREST, EVERY = 10, 100
-LINES, WINDOW, MISS, GROWTH, SEED = 128, 1.5, 1e-3, 1.3, 0xA11
+LINES, WINDOW, MISS, GROWTH, SEED = 128, 1.5, 1e-3, 1.2, 0xA11
 # Doubles of a block: vectors, their projections and the order of these.
 BLOCK_VALUES = 1 << 22
 AXES, EARLY = 3, 64
@@ -70,16 +70,13 @@ class Block:
         self.ids, self.columns, self.window = ids, np.ascontiguousarray(x.T), window
         self.lines = np.random.default_rng([SEED, x.shape[1]]).normal(size=(x.shape[1], lines))
         at = (x @ self.lines).T
-        self.order = np.argsort(at, 1).astype(np.int32)
+        self.order = np.argsort(at, 1)
         self.sorted = np.take_along_axis(at, self.order, 1)
         self.needed = needed(lines, window, miss)
 
     def distances(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Summed in the order of the components."""
-        out = np.zeros(len(rows))
-        for column, v in zip(self.columns, q):
-            out += (column[rows] - v) ** 2
-        return np.sqrt(out)
+        return np.sqrt(np.add.accumulate((np.take(self.columns, rows, 1) - q[:, None]) ** 2, 0)[-1])
 
     def search(self, own: np.ndarray, q: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(query, vec_id, distance) of up to k nearest of each query but itself within `most`, and how many vectors were verified.
@@ -91,13 +88,15 @@ class Block:
         lo = np.stack([np.searchsorted(s, c[:, i]) for i, s in enumerate(self.sorted)], 1)
         hi = lo.copy()
         count = np.zeros((len(q), n), np.int16)
-        # the first windows hold about k vectors on each side
-        near = np.stack([np.maximum(s[np.minimum(lo[:, i] + k, n - 1)] - c[:, i], c[:, i] - s[np.maximum(lo[:, i] - k, 0)]) for i, s in enumerate(self.sorted)], 1)
+        # the first windows hold about an eighth of the vectors, too few for others than near ones to collide often enough,
+        # or reach as far as an earlier search has left to look
+        side = max(k, n // 16)
+        near = np.stack([np.maximum(s[np.minimum(lo[:, i] + side, n - 1)] - c[:, i], c[:, i] - s[np.maximum(lo[:, i] - side, 0)]) for i, s in enumerate(self.sorted)], 1)
         least = np.ptp(self.sorted, 1).max(initial=0) * 1e-6 + 1e-300
-        radius = np.minimum(np.maximum(np.median(near, 1) / self.window, 0), most)
+        radius = np.where(np.isfinite(most), most, np.maximum(np.median(near, 1) / self.window, 0))
         known = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q]
         seen = self.ids == own[:, None]
-        open_, verified = np.arange(len(q)), 0
+        open_, verified, lines = np.arange(len(q)), 0, list(self.order)
         while len(open_):
             reach = self.window * radius[open_] * SLACK + blur[open_]
             new_lo, new_hi = lo[open_], hi[open_]
@@ -106,7 +105,8 @@ class Block:
                 new_hi[:, i] = np.maximum(new_hi[:, i], np.searchsorted(s, c[open_, i] + reach, "right"))
             left = []
             for j, a in enumerate(open_):
-                more = [self.order[i, s:e] for i in range(len(self.order)) for s, e in ((new_lo[j, i], lo[a, i]), (hi[a, i], new_hi[j, i])) if s < e]
+                on_left, on_right = zip(lines, new_lo[j].tolist(), lo[a].tolist()), zip(lines, hi[a].tolist(), new_hi[j].tolist())
+                more = [line[s:e] for side in (on_left, on_right) for line, s, e in side if s < e]
                 if more:
                     count[a] += np.bincount(np.concatenate(more), minlength=n).astype(np.int16)
                 rows = np.flatnonzero((count[a] >= self.needed) & ~seen[a])
