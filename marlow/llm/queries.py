@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlow.llm import bpe, centroids, langid, license_scan, mpeg, near_vectors, neighbours, ngram_join, packing, pii, substring, suffix
+from marlow.llm import bpe, centroids, langid, license_scan, mpeg, near_vectors, neighbours, ngram_join, packing, pii, substring, suffix, token_alignment
 from marlow.llm._io import table
 
 
@@ -57,11 +57,15 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_pii, op2_near_vectors, op3_bpe, op4_language, op5_suffix_dedup, op6_ngram_join, op7_license_scan, op8_mpeg, op9_packing, op10_substring_dedup, op11_centroid_clustering, op13_neighbours)
+_ALL = (op1_pii, op2_near_vectors, op3_bpe, op4_language, op5_suffix_dedup, op6_ngram_join, op7_license_scan, op8_mpeg, op9_packing, op10_substring_dedup, op11_centroid_clustering, op12_token_alignment, op13_neighbours)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # Checksums, tokens, trained models, learned bounds and spans of one chosen source are beyond SQL: their
