@@ -21,8 +21,11 @@ each of which has a row of its own. No documents give no rows. Other columns are
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +39,10 @@ from marlow.llm._io import drop, small_batches, written
 from marlow.llm._words import pieces
 
 CHUNK_BYTES = 1 << 21
+# Characters beyond Latin letters, of which libraries may know different Unicode versions.
+_BEYOND = re.compile("[^\x00-\u024f]").search
+# How byte-level vocabularies split texts before merging, a fixed value of their format.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -54,10 +61,11 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        alphabet = _byte_alphabet()
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        alphabet = _byte_alphabet()
+        self.latin = _by_rank(path_a, alphabet)
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for piece, i in self.a.get_vocab().items():
             if all(c in alphabet for c in piece):
@@ -70,7 +78,12 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none where either side's bytes aren't those of space+text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        whole = [k for k, t in enumerate(texts) if self.latin is None or _BEYOND(t)]
+        a = [[] for _ in texts]
+        for k, e in zip(whole, self.a.encode_batch_fast([" " + texts[k] for k in whole], add_special_tokens=False)):
+            a[k] = e.ids
+        for k in set(range(len(texts))).difference(whole):
+            a[k] = self.latin.encode_ordinary(" " + texts[k])
         b = self.b.encode(texts, num_threads=1)
         for k, t in enumerate(texts):
             whole = b" " + t.encode()
@@ -79,6 +92,23 @@ class Tokenizers:
         return a, b
 
 
+def _by_rank(path: str, alphabet: dict[str, int]):
+    """The same tokenizer in a library that merges by rank, about three times as fast; None unless the file is plain byte-level BPE whose ids
+    follow its merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model.get("merges", ())]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and not model.get("ignore_merges")
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in special and all(c in alphabet for c in t)}
+    if not plain or any(x >= y for x, y in zip(made, made[1:])) or len(ranks) != len(made) + 256 or min(made, default=0) < max(ranks[bytes([b])] for b in range(256)):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 _made: dict[tuple[str, str], Tokenizers] = {}
 
 
@@ -105,11 +135,18 @@ class Aligned(NamedTuple):
     to_group: np.ndarray
 
 
+def union(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """union1d of two ascending arrays: a stable sort merges them."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
 def aligned(a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> Aligned:
     to_a, to_b = (np.cumsum([len(x) for x in side], dtype=np.int64) for side in (a, b))
-    ids_a, ids_b = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(side), np.int64, int(to[-1]) if len(to) else 0) for side, to in ((a, to_a), (b, to_b)))
     end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
-    ends = np.union1d(end_a, end_b)
+    ends = union(end_a, end_b)
     link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
     shared = (end_a[link_a] == ends) & (end_b[link_b] == ends)
     text_end = np.append(0, end_a)[to_a]

@@ -98,6 +98,14 @@ def test_links_groups_and_products(spark):
         assert list(zip(group.tolist(), left.tolist(), right.tolist())) == wanted and over <= {w[1:] for w in wanted}
 
 
+def test_both_libraries_of_a_agree():
+    t = token_alignment.tokenizers(*PATHS)
+    texts = [x for x in TEXTS if x] + ["".join(map(chr, range(1, 0x250))), "ÀÉî ñandú ß Œuvre ½ ² ª º \xa0\x85 \x1c\x1d x", "'s's 'S'LL '' don''t 've"]
+    assert t.latin is not None
+    for x in texts:
+        assert t.latin.encode_ordinary(" " + x) == t.a.encode(" " + x, add_special_tokens=False).ids, x
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
