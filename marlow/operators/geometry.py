@@ -1,16 +1,10 @@
-"""Rectangles: overlap, containment, joins on them, greedy suppression.
-
-A rectangle is struct(x, y, width, height). Overlap joins meet in the cells of grids, so no pair is
-looked at unless both touch a cell; `grid` should be near the size of a usual rectangle. Each level of
-grids has cells of twice the size; a rectangle has the lowest level whose cells are as large as it is and
-stands in few cells of that and of each coarser level, and a pair meets in the level of the larger one.
-"""
+"""Rectangles: overlap, containment, greedy suppression. A rectangle is struct(x, y, width, height); rectangles.py joins them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,48 +31,6 @@ def moved(r: Column, dx: Column, dy: Column) -> Column:
     return F.struct((r["x"] - dx).alias("x"), (r["y"] - dy).alias("y"), r["width"].alias("width"), r["height"].alias("height"))
 
 
-def _level(r: Column, grid: float) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(r["width"], r["height"]) / grid))).cast("int")
-
-
-def _coarsest(grid: float, *rects: DataFrame) -> int:
-    """The highest level of the rectangles `_r` of tables."""
-    return max(df.agg(F.max(_level(F.col("_r"), grid))).first()[0] or 0 for df in rects)
-
-
-def _cells(r: Column, levels: Column, grid: float) -> Column:
-    """The cells (level, i, j) that a rectangle touches in each level."""
-
-    def along(k: str, size: str, level: Column) -> Column:
-        step = grid * F.pow(F.lit(2.0), level)
-        return F.sequence(F.floor(r[k] / step), F.floor((r[k] + r[size]) / step))
-
-    return F.flatten(F.transform(levels, lambda n: F.flatten(F.transform(along("x", "width", n), lambda i: F.transform(along("y", "height", n), lambda j: F.struct(n.alias("level"), i.alias("i"), j.alias("j")))))))
-
-
-def without_overlap(left: DataFrame, right: DataFrame, key: str, rect: str = "rect", threshold: float = 0.0, grid: float = 256.0) -> DataFrame:
-    """Rows of left that overlap no row of right by more than the threshold (IoU). key identifies left's rows."""
-    r = F.col(rect)
-    top = F.lit(_coarsest(grid, left.select(r.alias("_r")), right.select(r.alias("_r"))))
-    placed = lambda level: F.explode(_cells(r, F.sequence(level, top), grid)).alias("cell")
-    a = left.where(r.isNotNull()).select(F.col(key).alias("_k"), r.alias("_a"), _level(r, grid).alias("_la"), placed(_level(r, grid)))
-    b = right.where(r.isNotNull()).select(r.alias("_b"), _level(r, grid).alias("_lb"), placed(_level(r, grid)))
-    met = a.join(b, "cell").where(F.col("cell.level") == F.greatest("_la", "_lb"))
-    hit = met.where(iou(F.col("_a"), F.col("_b")) > threshold).select(F.col("_k").alias(key)).distinct()
-    return left.join(hit, key, "left_anti")
-
-
-def first_containing(points: DataFrame, rects: DataFrame, key: str, rect: str = "rect", grid: float = 256.0) -> DataFrame:
-    """Each point (key, x, y) with the first rectangle that holds it, by priority, then pos; points outside all have nulls."""
-    r = F.col(rect)
-    top = _coarsest(grid, rects.select(r.alias("_r")))
-    at = points.select(key, "x", "y", F.explode(_cells(F.struct("x", "y", F.lit(0.0).alias("width"), F.lit(0.0).alias("height")), F.sequence(F.lit(0), F.lit(top)), grid)).alias("cell"))
-    cells = rects.where(r.isNotNull()).withColumn("cell", F.explode(_cells(r, F.array(_level(r, grid)), grid)))
-    found = at.join(cells, "cell").where(contains(r, F.col("x"), F.col("y"))).drop("cell", "x", "y")
-    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("priority", "pos"))).where("_n = 1").drop("_n")
-    return points.join(first, key, "left")
-
-
 def _iou_matrix(r: np.ndarray) -> np.ndarray:
     x, y, w, h = r.T
     right, bottom = x + w, y + h

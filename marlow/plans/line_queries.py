@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +9,12 @@ from marlow.functions import rules, text
 from marlow.plans.catalog import query, table
 from marlow.plans.source_queries import drained
 from marlow.sources import files
+from marlow.sources.shared import scratch
 from marlow.streaming import stateful
 
 _C = F.col
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's checkpoint folder, or a local one where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/lines_{uuid.uuid4().hex}"
-
-
 def _lines(df: DataFrame, line: str, *columns: str) -> DataFrame:
     return df.select(*columns, F.expr(line).alias("line"))
 
@@ -106,7 +99,7 @@ def framed_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_FRAMED)
 def stream_framed(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     lines = _framed_events(spark, d)
     lines.write.parquet(path)
     return _unframed(drained(stateful.framed_stream(spark.readStream.schema(lines.schema).parquet(path), "k", "seq", "line")))
@@ -148,7 +141,7 @@ def folded_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type AS name, user_id::VARCHAR AS first, event_id % 7 AS n_args FROM events WHERE event_id % 7 > 0 UNION ALL SELECT event_id, event_type, NULL, 0 FROM events WHERE event_id % 7 = 0")
 def bus_events(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     e = _lines(table(spark, d, "events"), "concat(event_type, '>>', array_join(array_repeat(cast(user_id as string), cast(event_id % 7 as int)), ','))", "event_id")
     e.write.parquet(path)
     bus = stateful.bus(spark.readStream.schema(e.schema).parquet(path), "line")
@@ -160,7 +153,7 @@ def bus_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def json_documents(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     n.agg(F.to_json(F.collect_list(F.struct(*n.columns))).alias("value")).coalesce(1).write.text(path)
     missing = files.json_records(spark, f"{path}/none.json", n.schema)
@@ -169,7 +162,7 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def watched_documents(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     for part in ("n_nationkey < 12", "n_nationkey >= 12"):
         n.where(part).agg(F.to_json(F.collect_list(F.struct(*n.columns))).alias("value")).coalesce(1).write.mode("append").text(path)
@@ -178,7 +171,7 @@ def watched_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def rewritten_document(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     files.write_json(n.where("n_nationkey < 3"), path)
     files.write_json(n, path)
@@ -187,14 +180,14 @@ def rewritten_document(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_name AS value FROM supplier")
 def output_lines(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     table(spark, d, "supplier").select("s_name").write.text(path)
     return files.lines(spark, path)
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
 def marked_records(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     table(spark, d, "supplier").select(F.concat_ws("\n", "s_suppkey", "s_name").alias("value")).write.text(path, lineSep="\n\n")
     part = F.split("value", "\n")
     return files.records_by_marker(spark, path).select(F.get(part, F.lit(0)).cast("long").alias("s_suppkey"), F.get(part, F.lit(1)).alias("s_name"))
@@ -202,7 +195,7 @@ def marked_records(spark: SparkSession, d: str) -> DataFrame:
 
 def _by_nation(spark: SparkSession, d: str) -> str:
     """A folder of text files, one for each nation, a line for each of its suppliers."""
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     table(spark, d, "supplier").select(_C("s_nationkey").alias("n"), "s_name").repartition("n").write.partitionBy("n").text(path)
     return path
 
@@ -225,7 +218,7 @@ def listed_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT r_name AS value FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT s_name FROM supplier")
 def sourced_files(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     for name, col, then in (("region", "r_name", "nation"), ("nation", "n_name", "supplier"), ("supplier", "s_name", "region")):
         lines = table(spark, d, name).select(_C(col).alias("value")).unionByName(spark.createDataFrame([(f"source-file '{then}'",)], "value string"))
         lines.coalesce(1).write.text(f"{path}/{name}")
@@ -283,7 +276,7 @@ def polled_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def refreshed_counts(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark)
+    path = scratch(spark, "lines")
     e = table(spark, d, "events").select("event_id", "event_type")
     e.repartition(3).write.parquet(f"{path}/in")
 

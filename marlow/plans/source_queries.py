@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlow.operators import geometry, images
+from marlow.operators import geometry, images, rectangles
 from marlow.plans.catalog import Fixture, query, table
 from marlow.sources import files
+from marlow.sources.shared import scratch
 from marlow.streaming import stateful
 
 _C = F.col
@@ -239,20 +238,39 @@ def _rects(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RECTS} SELECT a.k FROM r a WHERE a.k % 2 = 0 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.k % 10 = 1 AND {_IOU} > 0)")
 def rect_anti(spark: SparkSession, d: str) -> DataFrame:
     r = _rects(spark, d)
-    return geometry.without_overlap(r.where("k % 2 = 0"), r.where("k % 10 = 1"), "k", grid=64.0).select("k")
+    return rectangles.without_overlap(r.where("k % 2 = 0"), r.where("k % 10 = 1"), "k").select("k")
 
 
 @query(f"WITH {_RECTS} SELECT a.k FROM r a WHERE a.k % 2 = 0 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.k % 10 = 1 AND {_IOU} > 0.1)")
 def rect_anti_threshold(spark: SparkSession, d: str) -> DataFrame:
     r = _rects(spark, d)
-    return geometry.without_overlap(r.where("k % 2 = 0"), r.where("k % 10 = 1"), "k", threshold=0.1, grid=64.0).select("k")
+    return rectangles.without_overlap(r.where("k % 2 = 0"), r.where("k % 10 = 1"), "k", threshold=0.1).select("k")
+
+
+@query(f"WITH {_RECTS} SELECT a.k FROM r a WHERE a.k % 2 = 0 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.k % 2 = 1 AND {_IOU} > 0.25)")
+def rect_anti_halves(spark: SparkSession, d: str) -> DataFrame:
+    r = _rects(spark, d)
+    return rectangles.without_overlap(r.where("k % 2 = 0"), r.where("k % 2 = 1"), "k", threshold=0.25).select("k")
+
+
+@query(f"WITH {_RECTS} SELECT a.k AS left_key, b.k AS right_key, round({_IOU}, 9) AS iou FROM r a JOIN r b ON a.k < b.k AND {_IOU} > 0.4")
+def rect_pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = _rects(spark, d)
+    return rectangles.overlapping(r, r, "k", least=0.4).where("left_key < right_key").withColumn("iou", F.round("iou", 9))
+
+
+@query(f"WITH {_RECTS}, p AS (SELECT c_custkey AS pt, (c_custkey * 29 % 1000)::DOUBLE AS px, (c_custkey * 17 % 800)::DOUBLE AS py FROM customer), f AS (SELECT pt, k, x FROM p JOIN r ON px BETWEEN x AND x + w AND py BETWEEN y AND y + h QUALIFY row_number() OVER (PARTITION BY pt ORDER BY k % 3, k) = 1) SELECT p.pt, f.k, f.x AS left_edge FROM p LEFT JOIN f USING (pt)")
+def customer_in_rect(spark: SparkSession, d: str) -> DataFrame:
+    c, r = _C("c_custkey"), _rects(spark, d).withColumns({"priority": _C("k") % 3, "pos": _C("k")})
+    p = table(spark, d, "customer").select(c.alias("pt"), (c * 29 % 1000).cast("double").alias("x"), (c * 17 % 800).cast("double").alias("y"))
+    return rectangles.first_containing(p, r, "pt").select("pt", "k", _C("rect.x").alias("left_edge"))
 
 
 @query(f"WITH {_RECTS}, p AS (SELECT i AS pt, (i * 29 % 1000)::DOUBLE AS px, (i * 17 % 800)::DOUBLE AS py FROM range(0, 300) t(i)), f AS (SELECT pt, k FROM p JOIN r ON px BETWEEN x AND x + w AND py BETWEEN y AND y + h QUALIFY row_number() OVER (PARTITION BY pt ORDER BY k % 3, k) = 1) SELECT p.pt, f.k FROM p LEFT JOIN f USING (pt)")
 def point_in_rect(spark: SparkSession, d: str) -> DataFrame:
     r = _rects(spark, d).withColumns({"priority": _C("k") % 3, "pos": _C("k")})
     p = spark.range(300).select(_C("id").alias("pt"), (_C("id") * 29 % 1000).cast("double").alias("x"), (_C("id") * 17 % 800).cast("double").alias("y"))
-    return geometry.first_containing(p, r, "pt", grid=64.0).select("pt", "k")
+    return rectangles.first_containing(p, r, "pt").select("pt", "k")
 
 
 @query(f"WITH {_RECTS} SELECT a.k, round({_IOU}, 9) AS iou, a.x - 5 AS x, a.y - 7 AS y FROM r a, r b WHERE b.k = 1")
@@ -390,11 +408,10 @@ def grey_rasters(spark: SparkSession, d: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Rows of a stream over what is there now. The folder of its state is the cluster's checkpoint folder if that is set."""
     spark = stream.sparkSession
-    name = "s_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/{name}/out").option("checkpointLocation", f"{base}/{name}/state").trigger(availableNow=True).start()
+    folder = scratch(spark, "stream")
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/{name}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:

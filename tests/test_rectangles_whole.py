@@ -46,23 +46,6 @@ def test_kept_smaller_over_every_part(spark, sf):
     assert len(got) == len(want) and set(got) == want and max(k for _, k in got) > 400
 
 
-def test_rectangles_of_all_sizes_meet_in_few_cells(spark):
-    rects = [(k, float(k * 37 % 900), float(k * 61 % 700), 4.0 * 1.09**k, 3.0 * 1.08**k) for k in range(110)] + [(200, 5.0, 5.0, 0.0, 0.0), (201, -50.0, -60.0, 20.0, 20.0)]
-    df = spark.createDataFrame(rects, "k int, x double, y double, width double, height double").select("k", F.struct("x", "y", "width", "height").alias("rect"))
-    a, b = df.where("k % 3 > 0"), df.where("k % 3 = 0")
-    left, right = ([r for r in rects if (r[0] % 3 > 0) == side] for side in (True, False))
-    area = lambda r: r[3] * r[4]
-    for least in (0.0, 0.05):
-        want = {r[0] for r in left if not any(area(r) + area(o) > 0 and iou(r, o) > least for o in right)}
-        assert {x.k for x in geometry.without_overlap(a, b, "k", threshold=least, grid=16.0).collect()} == want
-    points = [(i, i * 29.0 % 900, i * 17.0 % 700) for i in range(150)]
-    got = geometry.first_containing(spark.createDataFrame(points, "pt int, x double, y double"), df.withColumns({"priority": F.lit(0), "pos": F.col("k")}), "pt", grid=16.0)
-    assert {x.pt: x.k for x in got.collect()} == {i: min((r[0] for r in rects if r[1] <= x <= r[1] + r[3] and r[2] <= y <= r[2] + r[4]), default=None) for i, x, y in points}
-    level = geometry._level(F.col("rect"), 16.0)
-    cells = df.select(F.size(geometry._cells(F.col("rect"), F.sequence(level, F.lit(12)), 16.0)).alias("n"))
-    assert cells.agg(F.max("n")).first()[0] <= 12 * 9
-
-
 def test_numbers_in_order(spark):
     rows = [(p, (i * 7919) % 1000 / 3, f"t{i}") for i in range(3000) for p in [i % 2]] + [(1, None, "none")]
     df = spark.createDataFrame(rows, "p int, v double, t string")
