@@ -216,8 +216,12 @@ def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
 
 
-def any_hit(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
-    """Which of the rectangles a overlap one of b by more than the threshold, and how many pairs were looked at: STEP more for those still open."""
+def over(iou: np.ndarray, least: float, inclusive: bool) -> np.ndarray:
+    return (iou >= least) & (iou > 0) if inclusive else iou > least
+
+
+def any_hit(a: np.ndarray, b: np.ndarray, threshold: float, inclusive: bool = False) -> tuple[np.ndarray, int]:
+    """Which of the rectangles a overlap one of b by more than the threshold (or by it and more), and how many pairs were looked at: STEP more for those still open."""
     lo, hi = _range(a, b)
     hit, looked = np.zeros(len(a), bool), 0
     open_ = np.flatnonzero(lo < hi)
@@ -227,7 +231,7 @@ def any_hit(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
             at = lo[rows, None] + np.arange(STEP)
             good = at < hi[rows, None]
             looked += int(good.sum())
-            hit[rows] = ((ratio(a[rows, None], b[np.minimum(at, len(b) - 1)]) > threshold) & good).any(1)
+            hit[rows] = (over(ratio(a[rows, None], b[np.minimum(at, len(b) - 1)]), threshold, inclusive) & good).any(1)
         lo[open_] += STEP
         open_ = open_[~hit[open_] & (lo[open_] < hi[open_])]
     return hit, looked
@@ -250,15 +254,15 @@ def _parts(n: np.ndarray) -> np.ndarray:
     return -(-n // PART)
 
 
-def without_overlap(left: DataFrame, right: DataFrame, key: str, rect: str = "rect", threshold: float = 0.0, looked: Accumulator | None = None) -> DataFrame:
-    """Rows of left that overlap no row of right by more than the threshold (IoU). key identifies left's rows. `looked` counts pairs."""
+def without_overlap(left: DataFrame, right: DataFrame, key: str, rect: str = "rect", threshold: float = 0.0, inclusive: bool = False, looked: Accumulator | None = None) -> DataFrame:
+    """Rows of left that overlap no row of right by more than the threshold (IoU), or by it and more. key identifies left's rows. `looked` counts pairs."""
     r, kind = F.col(rect), dict(left.dtypes)[key]
     a, b = _flat(left, r, [F.col(key).alias("_key")]), _flat(right, r, [])
     tree = tree_for(a, b)
     n_a, n_b = _counts(a, tree), _counts(b, tree)
 
     def meet(rows: pa.RecordBatch, others: pa.Table, leaf: int) -> Iterator[pa.RecordBatch]:
-        hit, n = any_hit(_matrix(rows), _matrix(others), threshold)
+        hit, n = any_hit(_matrix(rows), _matrix(others), threshold, inclusive)
         if looked is not None:
             looked.add(n)
         yield pa.RecordBatch.from_arrays([rows.column("_key").filter(pa.array(hit))], ["_key"])
@@ -286,7 +290,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect",
         x, y = _matrix(rows), _matrix(others)
         for i, j in _candidates(x, y):
             iou = ratio(x[i], y[j])
-            at = np.flatnonzero((iou >= least) & (iou > 0) if inclusive else iou > least)
+            at = np.flatnonzero(over(iou, least, inclusive))
             at = at[tree.home(np.maximum(x[i[at], :2], y[j[at], :2])) == leaf]
             yield pa.RecordBatch.from_arrays([rows.column("left_key").take(pa.array(i[at])), others.column("right_key").combine_chunks().take(pa.array(j[at])), pa.array(iou[at])], ["left_key", "right_key", "iou"])
 

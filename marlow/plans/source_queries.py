@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlow.operators import geometry, images, rectangles
+from marlow.operators import geometry, greedy, images, rectangles
 from marlow.plans.catalog import Fixture, query, table
 from marlow.sources import files
 from marlow.sources.shared import scratch
@@ -322,6 +322,17 @@ def kept_smaller(spark: SparkSession, d: str) -> DataFrame:
     return geometry.keep_smaller(r, "g").select("g", "k")
 
 
+# All rectangles on one screen.
+@query(_KEPT.replace("k // 400", "0").replace("SELECT g, unnest", "SELECT unnest"))
+def suppressed_all(spark: SparkSession, d: str) -> DataFrame:
+    return greedy.suppress(_rects(spark, d).withColumn("pos", _C("k")), 0.3).select("k")
+
+
+@query()  # the recursion over all parts takes minutes in SQL; tests/test_greedy.py compares it with a loop
+def kept_smaller_all(spark: SparkSession, d: str) -> DataFrame:
+    return greedy.keep_smaller(_rects(spark, d).withColumn("pos", _C("k"))).select("k")
+
+
 PLAYERS = Fixture("players", "g int, pos int, title string, position double, length double, art string", [(0, 0, "Song", 10.0, 200.0, ""), (0, 1, "Song - Artist", 50.0, 90.0, "art"), (0, 2, "Other", 11.0, 201.0, None), (0, 3, "Third", 99.0, 300.0, None)])
 
 
