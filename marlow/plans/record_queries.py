@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlow.operators import records, series
+from marlow.operators import records, scans, series
 from marlow.plans.catalog import Fixture, query, table
 
 EV = "ORDER BY ts, event_id"
@@ -317,6 +317,32 @@ def progress(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(series.progress(["user_id"], ["ts", "event_id"]), 6).alias("percent"))
 
 
+# ---- the same along the order of the whole table, which is one key
+
+_ALL_ORDER = "ORDER BY ts, event_id"
+
+
+@query(f"SELECT event_id, round((value + coalesce(lag(value, 1) OVER w, {_FIRST}) + coalesce(lag(value, 2) OVER w, {_FIRST}) + coalesce(lead(value, 1) OVER w, {_LAST}) + coalesce(lead(value, 2) OVER w, {_LAST})) / 5, 6) AS smooth FROM events WINDOW w AS ({_ALL_ORDER}), f AS ({_ALL_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def smoothed_all(spark: SparkSession, d: str) -> DataFrame:
+    out = scans.clamped_average(table(spark, d, "events"), F.col("value"), [], ["ts", "event_id"], "smooth")
+    return out.select("event_id", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"SELECT event_id, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM events")
+def purchases_around(spark: SparkSession, d: str) -> DataFrame:
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    ahead = scans.next_known(table(spark, d, "events").select("event_id", "event_type", "ts"), bought, [], ["ts", "event_id"], "next_id")
+    return scans.last_known(ahead, bought, [], ["ts", "event_id"], "heading").select("event_id", "next_id", "heading")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER w AS number, round(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY l_returnflag), 6) AS percent, round(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS shipped FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)")
+def shipped_so_far(spark: SparkSession, d: str) -> DataFrame:
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    rows = scans.running_sum(table(spark, d, "lineitem").select("l_returnflag", *order), F.col("l_quantity"), ["l_returnflag"], order, "shipped")
+    out = scans.numbered(rows, ["l_returnflag"], order, percent="percent")
+    return out.select("l_orderkey", "l_linenumber", "number", F.round("percent", 6).alias("percent"), F.round("shipped", 2).alias("shipped"))
+
+
 @query("SELECT n_nationkey, (n_nationkey // 10)::BIGINT AS bucket, n_nationkey % 10 AS place, (n_nationkey // 10) * 10 + 3 AS same FROM nation")
 def buckets(spark: SparkSession, d: str) -> DataFrame:
     b, p = series.bucket(F.col("n_nationkey") + 1, 10)

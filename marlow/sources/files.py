@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from marlow.operators import scans
+
 # ---- JSON
 
 
@@ -157,10 +159,9 @@ def bindings(df: DataFrame) -> DataFrame:
     `#/# bind` is a binding for display alone; a comment with [hidden] hides the line. df: lineno, line and,
     for several files, file; the lines of one file are one order.
     """
-    order = Window.partitionBy(*[c for c in ("file",) if c in df.columns]).orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
     head = F.regexp_extract("line", r"^(#+)!\s*(.*)$", 1)
     title = F.when(head != "", F.struct(F.length(head).alias("depth"), F.regexp_extract("line", r"^(#+)!\s*(.*)$", 2).alias("name")))
-    rows = df.withColumn("_h", F.last(title, ignorenulls=True).over(order))
+    rows = scans.last_known(df, title, [c for c in ("file",) if c in df.columns], ["lineno"], "_h")
     p = r"^\s*(?:#/#\s*)?bind[a-z]*\s*=\s*([^,#]*),\s*([^,#]*)(?:,\s*([^,#]*))?(?:,\s*([^#]*))?(?:#\s*(.*))?$"
     rows = rows.where(F.col("line").rlike(p) & ~F.col("line").contains("[hidden]"))
     part = lambda i: F.trim(F.regexp_extract("line", p, i))
@@ -193,8 +194,7 @@ def event_data(line: Column) -> Column:
 def framed(df: DataFrame, key: str) -> DataFrame:
     """key, part, json: objects of a streamed JSON array whose brackets and commas stand on lines of their own. df: key, seq, line."""
     cut = F.col("line").isin("[", "]", ",")
-    n = F.sum(cut.cast("int")).over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("part", n).where(~cut).groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
+    rows = scans.running_sum(df, cut.cast("int"), [key], ["seq"], "part").where(~cut).groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
     return rows.select(key, "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("json"))
 
 
