@@ -10,7 +10,7 @@ from marlow.operators import geometry, greedy, images, rectangles
 from marlow.plans.catalog import Fixture, query, table
 from marlow.sources import files
 from marlow.sources.shared import scratch
-from marlow.streaming import stateful
+from marlow.streaming import stateful, timers
 
 _C = F.col
 
@@ -459,6 +459,33 @@ def expiring_records(spark: SparkSession, d: str) -> DataFrame:
     return stateful.expiring(e, "event_id", "ts", "ms")
 
 
+# What is settled by the last watermark, the latest event.
+_BURSTS = "SELECT user_id, ts, value, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)"
+
+
+@query(f"SELECT user_id, max(ts) AS at, arg_max(value, ts) AS value FROM ({_BURSTS}) GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)")
+def stream_debounced(spark: SparkSession, d: str) -> DataFrame:
+    with timers.using(spark):
+        return drained(timers.debounced(_stream(spark, d), "user_id", "ts", "value", 6 * 3_600_000))
+
+
+@query("SELECT user_id, event_id AS id, CASE WHEN n < t THEN 'cancelled' ELSE 'done' END AS state, CASE WHEN n < t THEN n ELSE t END AS at FROM (SELECT user_id, event_id, ts + INTERVAL 1 HOUR * (1 + event_id % 48) AS t, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE least(t, n) <= (SELECT date_trunc('millisecond', max(ts)) FROM events)")
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    e = _stream(spark, d).withColumn("took", (1 + _C("event_id") % 48) * 3_600_000)
+    with timers.using(spark):
+        return drained(timers.answered(e, "user_id", "ts", "event_id", "took"))
+
+
+@query("SELECT event_id, ts AS shown, ts + INTERVAL 1 SECOND * s AS hidden FROM (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 5 ELSE 1 + event_id % 7 END AS s FROM events) WHERE s > 0 AND NOT (event_id % 4 = 1 AND s >= 3) AND ts + INTERVAL 1 SECOND * s <= (SELECT date_trunc('millisecond', max(ts + CASE WHEN event_id % 4 = 1 THEN INTERVAL 3 SECOND ELSE INTERVAL 0 SECOND END)) FROM events)")
+def stream_expiring(spark: SparkSession, d: str) -> DataFrame:
+    k = _C("event_id")
+    ms = F.when(k % 3 == 0, 0).when(k % 3 == 1, -1).otherwise((1 + k % 7) * 1000)
+    rows = F.array(F.struct("ts", ms.alias("ms"), F.lit(False).alias("cancel")), F.when(k % 4 == 1, F.struct((_C("ts") + F.expr("INTERVAL 3 SECONDS")).alias("ts"), F.lit(0).cast("long").alias("ms"), F.lit(True).alias("cancel"))))
+    e = _stream(spark, d).select("event_id", F.explode(F.array_compact(rows)).alias("r")).select("event_id", "r.*")
+    with timers.using(spark):
+        return drained(timers.expiring(e, "event_id", "ts", "ms"))
+
+
 TOKENS = Fixture("tokens", "k int, seq int, reasoning boolean, piece string", [(0, 0, True, "hm"), (0, 1, True, "m"), (0, 2, False, "Hi"), (1, 0, False, "A"), (1, 1, False, None), (2, 0, True, "x")])
 
 
