@@ -168,4 +168,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return _bound(done, lambda x: state(x["at"], F.array_append(acc["out"], F.array_join(x["out"], ""))))
 
     clean = F.aggregate(_blocks(F.col("_pii")), state(F.lit(0), none), add_block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return with_spans(docs, "_pii").withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text"))).select(docs.columns)
+    # other columns go by their places, so that none clashes with the spans
+    placed = [c if c == "text" else f"column{i}" for i, c in enumerate(docs.columns)]
+    out = with_spans(docs.toDF(*placed), "_pii").withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(F.col("text")))
+    return out.select(placed).toDF(*docs.columns)

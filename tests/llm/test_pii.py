@@ -73,6 +73,14 @@ def test_redact(spark):
     assert sorted([tuple(r) for r in out.collect()], key=str) == sorted([(1, "a [EMAIL] b [IP]", "p"), (2, None, None), (3, "clean", "q"), (None, "🙂 [PHONE]!", "r")], key=str)
 
 
+def test_redact_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_pii", "_pii_email", "_spans", "a.b", "column1"]
+    df = spark.createDataFrame([(1, "me@x.org", "keep", "this", "one", "dotted", "placed"), (2, None, None, None, None, None, None)], "doc_id long, text string, c string, d string, e string, f string, g string").toDF(*names)
+    out = pii.redact(df)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == [(1, "[EMAIL]", "keep", "this", "one", "dotted", "placed"), (2, *[None] * 6)]
+
+
 def test_time_grows_with_the_matches(spark):
     took = []
     for n in (5_000, 20_000):
