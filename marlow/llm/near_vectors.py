@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from marlow.llm._graph import components, crowded_join, spread_join
 from marlow.llm._io import small_batches, written
 from marlow.llm._repeats import whole_groups
+from marlow.llm._words import mix
 from marlow.llm.ngram_join import forest
 
 THRESHOLD, TABLES, PROBES, SEED, BLOCK = 0.9, 12, 3, 0xC05, 1024
@@ -116,6 +117,12 @@ def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, width: int
     return out
 
 
+def bucket_keys(c: np.ndarray, dims: int) -> np.ndarray:
+    """64-bit hashes of table, dimensions and code, of codes (rows, tables, probes)."""
+    table = mix(np.arange(c.shape[1], dtype=np.uint64) << np.uint64(32) | np.uint64(dims))
+    return mix(c.view(np.uint64) ^ table[:, None]).view(np.int64)
+
+
 def width_for(rows: int, dims: int) -> int:
     """Vertices in a code: as many as leave ten buckets for each row, two at least."""
     return max(2, int(np.ceil(np.log(10 * max(rows, 1)) / np.log(2 * max(dims, 2)))))
@@ -200,7 +207,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
                 count, width = shape[padded(int(d))]
                 c = codes(_units(raw), count, probes, width)
                 # vectors of other lengths lie in other buckets; the own ones first, then the others without repeats
-                key = (c * 4099 + d) * count + np.arange(count)[:, None]
+                key = bucket_keys(c, int(d))
                 for k, r in enumerate(at):
                     lives = key[k, :, 0]
                     more = np.unique(key[k, :, 1:])
@@ -215,11 +222,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
     met = written(crowded_join(looks, written(buckets, "buckets"), "key", "blocks"), "met")
     meet = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = meet.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "lives")
-    rows = meet.join(signed.select("node", "weight", "dims", "tables", "vector", "own").hint("merge"), "node")
+    rows = meet.join(signed.select("node", "weight", "dims", "vector", "own").hint("merge"), "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "grp", lambda b: 64 * b.num_rows):
-            grp, key, block, node, weight, lives, dims, count = (t.column(k).to_numpy() for k in ("grp", "key", "block", "node", "weight", "lives", "dims", "tables"))
+            grp, key, block, node, weight, lives, dims = (t.column(k).to_numpy() for k in ("grp", "key", "block", "node", "weight", "lives", "dims"))
             first, second = (t.column(k).to_numpy() for k in "ij")
             one_block = first == second
             x = _matrix(t.column("vector"), dims, kind)
@@ -234,7 +241,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
                 i, j = np.nonzero(linked)
                 if not len(i):
                     continue
-                table, code = key[lo] % count[lo], (key[lo] // count[lo] - dims[lo]) // 4099
+                # a vector that lives here tells which table and code the bucket is
+                home = np.frombuffer(t.column("own")[int(lo + np.flatnonzero(lives[lo:hi])[0])].as_buffer(), np.int64).reshape(1, -1, probes)[:, :, :1]
+                table = int(np.flatnonzero(bucket_keys(np.ascontiguousarray(home), int(dims[lo]))[0, :, 0] == key[lo])[0])
+                code = home[0, table, 0]
                 rows_, at = np.unique(np.concatenate([i, j]), return_inverse=True)
                 own = np.stack([np.frombuffer(t.column("own")[lo + r].as_buffer(), np.int64) for r in rows_.tolist()]).reshape(len(rows_), -1, probes)
                 for k in range(0, len(i), 1 << 16):

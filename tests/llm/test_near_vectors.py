@@ -78,6 +78,22 @@ def test_against_brute_force_at_width_four(spark, monkeypatch):
     assert got == brute(rows) and sum(r[1] for r in got) == 400
 
 
+def test_wide_codes_of_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "width_for", lambda rows, dims: 4)
+    rng = np.random.default_rng(6)
+    for dims in (1024, 4100):
+        base = rng.normal(size=(12, dims))
+        rows = [(k, [float(v) for v in base[k % 12] + rng.normal(size=dims) * 0.2]) for k in range(36)]
+        got = sorted(tuple(r) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tables=40).collect())
+        assert got == brute(rows) and sum(r[1] for r in got) == 72
+
+
+def test_bucket_keys_tell_table_dimensions_and_code_apart():
+    c = np.array([[[0, 1, 2**62, 17592186044411]] * 200])
+    keys = np.concatenate([near_vectors.bucket_keys(c, d).ravel() for d in (5, 1024, 4104)])
+    assert len(np.unique(keys)) == 3 * 800
+
+
 def test_query(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in queries.op2_near_vectors(spark, sf).collect()) == brute(rows)
