@@ -5,8 +5,8 @@ paragraphs of the corpus. Scanning is DataFrame functions alone, row by row, wit
 shuffle: each paragraph of each text is cut into words and word pairs, those that the model knows
 (a number that the statements fix) are looked up by their hashes, their weights are summed for each
 family and turned into calibrated probabilities. A paragraph whose likeliest class is unknown is
-rejected. A predicted family is confirmed if one of its statements is covered by the paragraph, else
-the paragraph is reported as unknown with the family it was taken for.
+rejected. A predicted family is confirmed if one of its statements is covered by the paragraph, its words
+and, side by side and in order, its pairs of words, else the paragraph is reported as unknown with the family it was taken for.
 
 A paragraph is a line; a line of 30 to 100 characters that ends within a sentence is joined with the
 one after it, as wrapped notices are. Each input row gives a row for every paragraph that isn't
@@ -45,7 +45,8 @@ UNKNOWN_STATEMENTS = [
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 # A line break inside a sentence, behind a line of wrapped length.
 WRAP = r"\n(?<=(?:\A|\n)[^\n]{30,100}\n)(?<![\s.!?:;]\n)(?=\S)"
-COVERED = 0.75
+# A statement is covered if this share of its words is there and, with SLACK less, of its pairs of neighbours, side by side and in order.
+COVERED, SLACK = 0.75, 0.15
 # The bounds of the training sample from the corpus: paragraphs, characters of each, different words around statements.
 CORPUS_PARAGRAPHS, PARAGRAPH_CHARS, NOISE_WORDS = 300, 2_000, 2_000
 ROUNDS, SEED = 400, 5
@@ -69,10 +70,20 @@ def features_of(text: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
 
 
+def pairs_of(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:]))
+
+
+def cover(text: str, statement: str) -> float:
+    """How far a text covers a statement: the share of its words or, SLACK more, of its pairs of neighbours, whichever is less."""
+    own, w = words_of(text), words_of(statement)
+    pairs = pairs_of(w)
+    return min(len(set(own) & set(w)) / len(set(w)), len(pairs_of(own) & pairs) / len(pairs) + SLACK if pairs else 1.0)
+
+
 def covers(text: str) -> bool:
     """Whether a text covers any statement."""
-    own = set(words_of(text))
-    return any(len(own & w) / len(w) >= COVERED for x in STATEMENTS.values() for w in (set(words_of(s)) for s in x))
+    return any(cover(text, s) >= COVERED for x in STATEMENTS.values() for s in x)
 
 
 def fit(others: list[str]) -> Model:
@@ -173,10 +184,20 @@ def scan(docs: DataFrame, m: Model) -> DataFrame:
     scored = lines.select("doc_id", "paragraph", "text", F.aggregate(hits, bias, add, softmax).alias("class")).where(F.col("class.k") != unknown)
     names = F.array(*[F.lit(f) for f in m.families])
     predicted, own = F.get(names, F.col("class.k")), _tokens(F.col("text"))
+    # the words of the few paragraphs that are left, then their pairs, each computed once
+    scored = scored.withColumn("own", own).withColumn("pairs", F.zip_with(F.slice("own", F.lit(1), F.greatest(F.size("own") - 1, F.lit(0))), F.slice("own", F.lit(2), F.size("own")), lambda a, b: F.concat_ws(" ", a, b)))
+
+    def share(own: str, wanted: set[str]) -> Column:
+        return F.size(F.array_intersect(own, F.array(*[F.lit(w) for w in sorted(wanted)]))) / len(wanted)
+
     best = None
     for k, f in enumerate(m.families[:-1]):
-        parts = [(s, sorted(set(words_of(s)))) for s in STATEMENTS[f]]
-        values = F.array(*[F.struct((F.size(F.array_intersect(own, F.array(*[F.lit(w) for w in ws]))) / len(ws)).alias("covered"), F.lit(s).alias("statement")) for s, ws in parts])
+        values = []
+        for s in STATEMENTS[f]:
+            pairs = {" ".join(p) for p in pairs_of(words_of(s))}
+            words = share("own", set(words_of(s)))
+            values.append(F.struct((F.least(words, share("pairs", pairs) + SLACK) if pairs else words).alias("covered"), F.lit(s).alias("statement")))
+        values = F.array(*values)
         at = F.col("class.k") == k
         best = F.when(at, F.array_max(values)) if best is None else best.when(at, F.array_max(values))
     confirmed = F.coalesce(F.col("best.covered") >= COVERED, F.lit(False))

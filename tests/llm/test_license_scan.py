@@ -1,6 +1,9 @@
 import re
 import time
 
+import numpy as np
+import regex
+
 from marlow.llm import license_scan as ls
 from marlow.llm import queries
 
@@ -32,6 +35,36 @@ def test_every_paragraph_is_scored(spark):
     assert {texts[r.doc_id]: r.family for r in rows if r.family != ls.UNKNOWN} == lines and all(r.family == ls.UNKNOWN or texts[r.doc_id] in lines for r in rows)
 
 
+def test_words_of_a_statement_in_another_order_confirm_nothing(spark):
+    texts = ["The professor at MIT described, in the 1994 lecture on surgery, how the state licensed the hospital", "the CC report says 4.0 percent of apache helicopters are licensed by 2.0 agencies", "MIT licensed", "under MIT it was released"]
+    rows = ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model()).collect()
+    assert {r.doc_id: r.family for r in rows if r.family != ls.UNKNOWN} == {2: "mit"}
+
+
+def plain(docs, m):
+    """The whole query in plain Python: paragraphs, scores, the best statement."""
+    out = []
+    for i, text in docs:
+        for n, p in enumerate(regex.sub(ls.WRAP.replace(r"\A", "^"), " ", text).split("\n") if text is not None else []):
+            z = m.bias + sum((m.weights[m.features.index(f)] for f in ls.features_of(p) if f in m.features), np.zeros(len(m.bias)))
+            prob = ls._softmax((z / m.temperature)[None])[0]
+            k = int(z.argmax())
+            if m.families[k] != ls.UNKNOWN:
+                covered, statement = max((ls.cover(p, s), s) for s in ls.STATEMENTS[m.families[k]])
+                out.append((i, n, m.families[k] if covered >= ls.COVERED else ls.UNKNOWN, round(float(prob.max()), 4), m.families[k], statement, round(covered, 4)))
+    return sorted(out)
+
+
+def test_query_against_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = plain([(r.doc_id, r.text) for r in docs.collect()], ls.fit(ls.sample(docs)))
+    got = sorted((r.doc_id, r.paragraph, r.family, round(r.probability, 4), r.predicted, r.statement, round(r.covered, 4)) for r in queries.op7_license_scan(spark, sf).collect())
+    assert want and len(got) == len(want)
+    for a, b in zip(got, want):
+        assert (*a[:3], *a[4:6]) == (*b[:3], *b[4:6]) and abs(a[3] - b[3]) < 2e-4 and abs(a[6] - b[6]) < 2e-4
+
+
 def test_wrapped_notices_are_one_paragraph(spark):
     isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
     text = "A title\n\n" + isc + "\nThe next sentence is a paragraph of its own, as the line before it ends one."
