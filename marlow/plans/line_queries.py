@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlow.functions import rules, text
 from marlow.plans.catalog import query, table
 from marlow.plans.source_queries import drained
-from marlow.sources import files
+from marlow.sources import files, versioned
 from marlow.sources.shared import scratch
 from marlow.streaming import stateful
 
@@ -314,3 +314,43 @@ def message_ids(spark: SparkSession, d: str) -> DataFrame:
 def artwork_pages(spark: SparkSession, d: str) -> DataFrame:
     url = F.expr("concat(if(p_partkey % 3 = 0, 'https://i.pximg.net/img/', 'https://h/'), p_partkey, '_p1.png')")
     return table(spark, d, "part").select("p_partkey", rules.artwork_page(url).alias("page"))
+
+
+# ---- writes that commit, documents rewritten in place
+
+
+@query("SELECT 1 AS version, p_partkey FROM part WHERE p_size < 10 UNION ALL SELECT 2, p_partkey FROM part")
+def committed_parts(spark: SparkSession, d: str) -> DataFrame:
+    path, p = scratch(spark, "versions"), table(spark, d, "part")
+    versioned.write_version(p.where("p_size < 10"), path)
+    versioned.write_version(p, path)
+    versioned.write_version(p, path)  # the same rows, so no third version
+    out = [versioned.read_version(spark, path, v).select(F.lit(v).alias("version"), "p_partkey") for v in versioned.Table(path).versions()]
+    for o in out[1:]:
+        out[0] = out[0].unionByName(o)
+    return out[0]
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def committed_events(spark: SparkSession, d: str) -> DataFrame:
+    path, state = scratch(spark, "versions"), scratch(spark, "stream")
+    spark.dataSource.register(versioned.Versioned)
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
+    # the second run has a checkpoint of its own, so its batch comes again and is not written again
+    for k in range(2):
+        q = events.writeStream.format("versioned").option("path", path).option("checkpointLocation", f"{state}/{k}").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return versioned.read_version(spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT 3 AS rows, n_nationkey FROM nation WHERE n_nationkey < 3 UNION ALL SELECT count(*) OVER ()::INTEGER, n_nationkey FROM nation")
+def rewritten_in_place(spark: SparkSession, d: str) -> DataFrame:
+    n, path, folder = table(spark, d, "nation").select("n_nationkey"), scratch(spark, "document"), scratch(spark, "stream")
+    disk, at = versioned._open(path)
+    for rows in (n.where("n_nationkey < 3"), n):
+        with disk.open_output_stream(at) as f:  # one small document, as its program would write it
+            f.write(("[" + ",".join(rows.toJSON().collect()) + "]").encode())
+        q = versioned.watched(spark, path).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    items = F.from_json("content", "array<struct<n_nationkey: int>>")
+    return spark.read.schema("path string, digest string, content string").parquet(f"{folder}/out").select(F.size(items).alias("rows"), F.explode(items).alias("i")).select("rows", "i.n_nationkey")

@@ -134,18 +134,14 @@ def packages(df: DataFrame, manager: str, line: str, arrow: bool = True) -> Data
     return rows.select(F.lit(manager).alias("manager"), at(0).alias("name"), F.lit("").alias("cur"), at(1).alias("new"))
 
 
-MOST_LEVELS = 16
-
-
 def with_sourced(spark: SparkSession, path: str, base: str) -> DataFrame:
     """Lines of a configuration file and of the files its source lines name, and theirs, each file once. Such files are few, so their names are gathered."""
     seen, new = [], [path]
-    for _ in range(MOST_LEVELS):
+    while new:
         seen += new
         named = spark.read.text(new).select(F.regexp_extract("value", r"^\s*source(?:-file)?\s+(?:-q\s+)?['\"]?([^'\"\s]+)", 1).alias("p")).where("p <> ''").distinct().collect()
+        # a file that was seen ends a circle
         new = sorted({r.p if r.p.startswith("/") else f"{base}/{r.p}" for r in named} - set(seen))
-        if not new:
-            break
     return spark.read.text(seen)
 
 

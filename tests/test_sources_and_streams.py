@@ -33,6 +33,13 @@ def test_text_sources(spark, tmp_path):
     assert sorted(r.value for r in files.with_sourced(spark, str(tmp_path / "main.conf"), str(tmp_path)).collect()) == ["set a", "set b", "source-file sub/more.conf"]
 
 
+def test_sourced_files_at_any_depth(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"{k}.conf").write_text(f"set {k}\nsource-file {(k + 1) % 20}.conf\n")
+    got = [r.value for r in files.with_sourced(spark, str(tmp_path / "0.conf"), str(tmp_path)).collect()]
+    assert sorted(v for v in got if v.startswith("set")) == sorted(f"set {k}" for k in range(20))
+
+
 def test_images_from_files(spark, tmp_path):
     (tmp_path / "a.pgm").write_bytes(b"P5 3 2 255\n" + bytes([1, 2, 3, 4, 5, 6]))
     (tmp_path / "b.pgm").write_bytes(b"junk")
