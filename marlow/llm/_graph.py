@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlow.llm._io import drop, written
@@ -11,7 +11,7 @@ SALTS = 64
 BROADCAST_ROWS = 200_000
 
 
-def spread_join(rows: DataFrame, known: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, known: DataFrame, key: str, spread: str | Column, how: str = "inner") -> DataFrame:
     """rows joined with `known`, which has one row a key: the rows of a key, however many, are dealt to SALTS tasks by `spread`.
 
     The pairs of key and salt that occur, at most SALTS of a key, fetch what is known first.
@@ -21,15 +21,17 @@ def spread_join(rows: DataFrame, known: DataFrame, key: str, spread: str, how: s
     return rows.join(needed.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
-def crowded_join(rows: DataFrame, known: DataFrame, key: str, parts: str) -> DataFrame:
-    """rows joined with the written table `known`, one row a key; keys whose `parts` are over 1 have many rows and are few.
+def crowded_join(rows: DataFrame, known: DataFrame, key: str, parts: str, spread: Column) -> DataFrame:
+    """rows joined with the written table `known`, one row a key; keys whose `parts` are over 1 have many rows, which don't meet in one task.
 
-    Where their counted number allows, these are broadcast, so that their rows don't meet in one task.
+    Up to BROADCAST_ROWS such keys are broadcast; if more are counted, rows are dealt by key and a salt of `spread`.
     """
     crowded = known.where(F.col(parts) > 1)
     few = crowded.count()
-    if not few or few > BROADCAST_ROWS:
+    if not few:
         return rows.join(known.hint("merge"), key)
+    if few > BROADCAST_ROWS:
+        return spread_join(rows, known, key, spread)
     split = rows.join(F.broadcast(crowded), key, "left")
     plain = split.where(F.col(parts).isNull()).drop(parts).join(known.where(F.col(parts) == 1).hint("merge"), key)
     return split.where(F.col(parts).isNotNull()).unionByName(plain)

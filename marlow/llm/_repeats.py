@@ -89,7 +89,7 @@ def shared(level: DataFrame) -> DataFrame:
 
 def marked(level: DataFrame, runs: DataFrame) -> DataFrame:
     """(doc_id, digest, pos, at, salts): the rows of anchors() whose gram is in shared(), which is a written table."""
-    found = crowded_join(level.select("h", "doc_id", "digest", "pos"), runs, "h", "salts")
+    found = crowded_join(level.select("h", "doc_id", "digest", "pos"), runs, "h", "salts", F.struct("doc_id", "pos"))
     return found.select("doc_id", "digest", "pos", F.col("pos").alias("at"), "salts")
 
 

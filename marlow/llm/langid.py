@@ -26,8 +26,8 @@ COLUMNS = 2048
 UNDETERMINED = "und"
 # The bounds of the training sample: so many labels, texts of each, chosen by a hash of doc_id, and characters of each text.
 MOST_LABELS, TEXTS_PER_LABEL, TEXT_CHARS = 256, 150, 20_000
-# keep_identified() rejects a text whose best label has a smaller pooled probability.
-LEAST = 0.3
+# keep_identified() rejects a text whose best label has a smaller pooled probability, or with many labels one under OVER_CHANCE times an even share.
+LEAST, OVER_CHANCE = 0.3, 2.0
 STEPS, BATCH, TRAIN_SPAN, SEED = 260, 96, 64, 11
 
 
@@ -224,20 +224,26 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, m).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def least_of(labels: int, least: float = LEAST) -> float:
+    """The pooled probability that the best of so many labels needs."""
+    return min(least, OVER_CHANCE / max(labels, 1))
+
+
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs without those that have no language: null or without a letter, or the best label's pooled probability is under `least`.
 
+    Probabilities are shared out among all labels, so from seven labels on the bound falls to twice an even share.
     Where nothing could be learned, as no row has a label, only those without a letter go.
     """
     small_batches(docs.sparkSession)
     m = fit(sample(docs.where(~held_out())))
-    at = docs.columns.index("text")
+    at, bound = docs.columns.index("text"), least_of(len(m.labels), least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at)
             p = pooled(m, *utf8(texts)).max(1) if m.labels else np.ones(b.num_rows)
-            keep = [bool(s >= least) and any(map(str.isalpha, t.as_py() or "")) for s, t in zip(p, texts)]
+            keep = [bool(s >= bound) and any(map(str.isalpha, t.as_py() or "")) for s, t in zip(p, texts)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

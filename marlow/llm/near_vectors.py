@@ -219,7 +219,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int |
     signed = written(distinct.select("node", "weight", "embedding").mapInArrow(hashed, "node long, weight long, dims int, tables int, vector binary, own binary, keys array<long>"), "hashed")
     looks = signed.select("node", "tables", F.posexplode("keys").alias("at", "key")).select("node", "key", (F.col("at") < F.col("tables")).alias("lives"))
     buckets = looks.groupBy("key").agg(F.count("*").alias("n"), F.max("lives").alias("lived")).where("n > 1 and lived").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = written(crowded_join(looks, written(buckets, "buckets"), "key", "blocks"), "met")
+    met = written(crowded_join(looks, written(buckets, "buckets"), "key", "blocks", F.col("node")), "met")
     meet = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = meet.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "lives")
     rows = meet.join(signed.select("node", "weight", "dims", "vector", "own").hint("merge"), "node")

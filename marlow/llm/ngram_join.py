@@ -2,11 +2,12 @@
 
 Texts of one word sequence are one class and are represented once. Bands and rows follow from the
 target recall at the threshold. Classes that share a band hash become star edges to the smallest of
-their bucket, never all pairs. The components of those edges are verified on full n-gram sets, each
-set copied once where the component is small; one over BLOCK classes is verified by its buckets instead
-where these are smaller (a chain of texts that resemble their neighbours alone), a pair in the first
-band it shares. Groups over BLOCK are dealt out as pairs of blocks of bounded size, which return link
-counts and a spanning forest instead of pairs.
+their bucket, never all pairs. Full n-gram sets verify every pair that shares a band, and no other,
+whatever is around it. Only where the sets meet follows from sizes: in their component, each set
+copied once where that is small; one over BLOCK classes is verified by its buckets instead where these
+are smaller (a chain of texts that resemble their neighbours alone), a pair in the first band it
+shares. Groups over BLOCK are dealt out as pairs of blocks of bounded size, which return link counts
+and a spanning forest instead of pairs.
 
 Defined cases: a null text or one without words has no n-grams and links with nothing; a text of
 fewer words than n has one n-gram, all its words; rows with a null doc_id link with nothing; rows
@@ -28,7 +29,7 @@ from marlow.llm._graph import components, spread_join
 from marlow.llm._io import small_batches, written
 from marlow.llm._words import gram_hashes, mix, pieces, text_digests, utf8, word_hashes, words
 
-N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
+N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 BLOCK = 128
 _rng = np.random.default_rng(0xBA9D)
 _SEED, _ODD = _rng.integers(0, 2**64, 4096, dtype=np.uint64), _rng.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -137,17 +138,18 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def first_shared(keys: np.ndarray, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
-    """Whether the first band that each pair of rows shares is the one with this key."""
+def met(keys: np.ndarray, i: np.ndarray, j: np.ndarray, key: int | None) -> np.ndarray:
+    """Whether each pair of rows shares a band; where a key is given, whether the first band shared is the one with this key."""
     same = keys[i] == keys[j]
     at = same.argmax(1)
-    return same[np.arange(len(i)), at] & (keys[i, at] == key)
+    shared = same[np.arange(len(i)), at]
+    return shared if key is None else shared & (keys[i, at] == key)
 
 
 def verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, peer): of rows grp, i, j, block, node, weight, keys, grams, the summed weights of linked nodes and a forest.
+    """(node, links, peer): of rows grp, i, j, block, node, weight, keys, banded, grams, the summed weights of linked nodes and a forest.
 
-    keys: the bands of a class, where the group is a bucket, else null.
+    keys: the bands of a class; banded: the group is the bucket of one band, else a component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +162,9 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
             both = _overlaps(sets)
             linked = both >= threshold * (size[:, None] + size - both) - 1e-9
             linked &= (block[:, None] != block) if i != j else ~np.eye(len(sets), dtype=bool)
-            if group[0].column("keys")[0].as_py() is not None:
-                keys = np.concatenate([g.column("keys").flatten().to_numpy() for g in group]).reshape(len(sets), -1)
-                p, q = np.nonzero(linked)
-                linked[p, q] = first_shared(keys, p, q, grp)
+            keys = np.concatenate([g.column("keys").flatten().to_numpy() for g in group]).reshape(len(sets), -1)
+            p, q = np.nonzero(linked)
+            linked[p, q] = met(keys, p, q, grp if group[0].column("banded")[0].as_py() else None)
             peer = node[forest(linked)]
             links = linked @ weight
             hit = np.flatnonzero(links)
@@ -178,18 +179,18 @@ def _cost(n: F.Column) -> F.Column:
 
 
 def groups_of(near: DataFrame, in_band: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, node, weight, grps array<struct<grp, blocks>>, keys): the groups in which each class is verified: its component, or its buckets."""
+    """(doc_id, node, weight, grps array<struct<grp, blocks>>, keys, banded): the groups in which each class is verified: its component, or its buckets."""
     size = near.groupBy("component").agg(F.count("*").alias("n"))
     big = spread_join(near, size.where(F.col("n") > BLOCK), "component", "node")
     bucket = in_band.join(big.select("node", "component").hint("merge"), "node").groupBy("key", "component").agg(F.count("*").alias("k")).where("k > 1")
     split = bucket.groupBy("component").agg(F.sum(_cost(F.col("k"))).alias("cost")).join(size.hint("merge"), "component").where(F.col("cost") < _cost(F.col("n"))).select("component", F.lit(True).alias("split"))
     decided = spread_join(near, size.join(split.hint("merge"), "component", "left"), "component", "node").join(classes.select("node", "doc_id", "weight", "keys").hint("merge"), "node")
     one = F.array(F.struct(F.col("component").alias("grp"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    whole = decided.where("split is null").select("doc_id", "node", "weight", one.alias("grps"), F.lit(None).cast("array<bigint>").alias("keys"))
+    whole = decided.where("split is null").select("doc_id", "node", "weight", one.alias("grps"), "keys", F.lit(False).alias("banded"))
     own = decided.where("split").select("doc_id", "node", "weight", "keys", F.explode("keys").alias("key"))
     blocks = bucket.select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     by_band = spread_join(own, blocks, "key", "node").groupBy("doc_id", "node", "weight", "keys").agg(F.collect_list(F.struct(F.col("key").alias("grp"), "blocks")).alias("grps"))
-    return whole.unionByName(by_band.select("doc_id", "node", "weight", "grps", "keys"))
+    return whole.unionByName(by_band.select("doc_id", "node", "weight", "grps", "keys", F.lit(True).alias("banded")))
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -211,7 +212,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     near = written(groups_of(components(stars), in_band, classes), "near")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "weight", "grps", "keys", "grams"]
+        names = ["node", "weight", "grps", "keys", "banded", "grams"]
         for b in batches:
             data, offsets = utf8(b.column("text"))
             want = b.column("node").to_numpy()
@@ -219,13 +220,13 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
                 grams, first, digests = gram_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
                 own = np.flatnonzero(digests.view(np.int64) == want[lo:hi])  # rows that share a doc_id have other texts
                 blobs = [np.unique(grams[first[k] : first[k + 1]]).tobytes() for k in own]
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(lo + own)) for c in names[:4]], pa.array(blobs, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(lo + own)) for c in names[:-1]], pa.array(blobs, pa.binary())], names)
 
     picked = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(near.hint("merge"), "doc_id")
-    full = picked.select("node", "weight", "grps", "keys", "text").mapInArrow(sets, "node long, weight long, grps array<struct<grp:bigint,blocks:int>>, keys array<long>, grams binary")
-    full = full.withColumn("g", F.explode("grps")).select("g.*", "node", "weight", "keys", "grams")
+    full = picked.select("node", "weight", "grps", "keys", "banded", "text").mapInArrow(sets, "node long, weight long, grps array<struct<grp:bigint,blocks:int>>, keys array<long>, banded boolean, grams binary")
+    full = full.withColumn("g", F.explode("grps")).select("g.*", "node", "weight", "keys", "banded", "grams")
     full = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = full.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "keys", "grams")
+    dealt = full.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "keys", "banded", "grams")
     links = written(verified(dealt, threshold), "links")
     tied = components(links.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     smallest = tied.join(classes.select("node", "doc_id").hint("merge"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))

@@ -78,3 +78,7 @@ def test_held_out_accuracy(spark, sf):
     rows = queries.op4_language(spark, sf).join(docs, "doc_id").where("held_out and lang is not null").collect()
     assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_the_bound_falls_with_many_labels():
+    assert langid.least_of(0) == langid.least_of(5) == langid.LEAST and langid.least_of(100) == 0.02

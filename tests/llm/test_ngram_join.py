@@ -80,12 +80,23 @@ def test_chains_are_verified_by_buckets(spark, monkeypatch):
     low = in_band.groupBy("key").agg(F.min("node").alias("b"))
     near = components(in_band.join(low, "key").selectExpr("node as a", "b"))
     got = ngram_join.groups_of(near, in_band, classes).collect()
-    split = {r.doc_id for r in got if r["keys"]}
+    split = {r.doc_id for r in got if r.banded}
     assert split >= set(range(400)) and not split & set(range(500, 530))
     copies = sum(g.blocks for r in got if r.doc_id < 400 for g in r.grps)
     assert copies < 400 * 50 / 2
 
 
+def test_links_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
+    """At a recall where pairs are missed, the same pairs are missed in whole components and in buckets."""
+    words = ["w%d" % i for i in range(1400)]
+    df = spark.createDataFrame([(k, " ".join(words[8 * k : 8 * k + 90])) for k in range(120)], "doc_id long, text string")
+    seen = []
+    for block in (128, 8):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        seen.append(sorted((x.doc_id, x.class_id, x.n_links) for x in ngram_join.ngram_join(df, recall=0.9).collect()))
+    assert seen[0] == seen[1] and 0 < sum(n for _, _, n in seen[0]) < 2 * sum(n for _, _, n in brute([(k, " ".join(words[8 * k : 8 * k + 90])) for k in range(120)]))
+
+
 def test_regular_texts_are_two_classes(spark):
     rows = list(enumerate(swapped()))
     got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
