@@ -38,8 +38,11 @@ def crowded_join(rows: DataFrame, known: DataFrame, key: str, parts: str, spread
 
 
 def _with_lowest(edges: DataFrame) -> DataFrame:
-    """edges(u, v) with m, the smallest v of their u; the edges of a hub are folded and dealt by salts."""
-    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    """The different edges(u, v) with m, the smallest v of their u; the edges of a hub are folded and dealt by salts.
+
+    Dealt once by u and salt: repeats go, minima are folded and fetched back within that partitioning.
+    """
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).repartition("u", "_salt").distinct()
     folded = salted.groupBy("u", "_salt").agg(F.min("v").alias("m"))
     low = folded.select("u", "_salt", F.min("m").over(Window.partitionBy("u")).alias("m"))
     return salted.join(low.hint("merge"), ["u", "_salt"]).select("u", "v", "m")
@@ -54,10 +57,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_lowest(both).select("v", F.least("u", "m").alias("m"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))).select("col.*")
+        large = _with_lowest(both).select("v", F.least("u", "m").alias("m"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_lowest(large)
-        new = written(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        new = written(small.select(ends).select("col.*").where("u <> v").distinct(), "edges")
         now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop(e)
         e = new
