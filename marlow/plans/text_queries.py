@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlow.functions import color, documents, fuzzy, rules, similarity, text, timefmt
+from marlow.operators import fuzzy_join as joins
 from marlow.plans.catalog import Fixture, query, table
 from marlow.sources import files
 
@@ -375,3 +376,13 @@ def binding_cells(spark: SparkSession, d: str) -> DataFrame:
 def breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", F.split(F.regexp_replace("url", "^https?://", ""), "/").alias("x"))
     return p.select("page_id", "x", F.posexplode("x").alias("depth", "part")).select("page_id", F.col("depth").cast("long").alias("depth"), F.array_join(F.slice("x", F.lit(1), _S("depth") + 1), "/").alias("prefix"))
+
+
+@query()
+def fuzzy_join(spark: SparkSession, d: str) -> DataFrame:
+    """The three customers whose names are nearest to `cus` and a supplier's number, for every supplier."""
+    asked = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("cus "), _S("s_suppkey").cast("string")).alias("text"))
+    names = table(spark, d, "customer").select("c_custkey", "c_name")
+    found = joins.fuzzy_join(asked, names, "text", "c_name", 3)
+    out = found.join(asked, found["query"] == asked["text"]).join(names, found["target"] == names["c_name"])
+    return out.select("s_suppkey", "c_custkey", "rank", F.round("raw", 6).alias("raw"))

@@ -6,7 +6,7 @@ import pytest
 
 from marlow import plans
 
-PYTHON = {"fuzzy_search", "fuzzy_search_keys", "grey_rasters", "markdown_blocks", "markdown_joined", "suppressed", "kept_smaller", "player_clusters", "largest_quiet_region", "archived_files", "dominant_colour", "stream_limited", "stream_deltas"}
+PYTHON = {"fuzzy_join", "fuzzy_search", "fuzzy_search_keys", "grey_rasters", "markdown_blocks", "markdown_joined", "suppressed", "kept_smaller", "player_clusters", "largest_quiet_region", "archived_files", "dominant_colour", "stream_limited", "stream_deltas"}
 # plane sweeps in the leaves of a k-d tree, and tables read by a Python data source
 PYTHON |= {"rect_anti", "rect_anti_threshold", "rect_anti_halves", "rect_pairs", "point_in_rect", "customer_in_rect", "suppressed_all", "kept_smaller_all", "committed_parts", "committed_events"}
 # one row each
