@@ -81,7 +81,9 @@ def with_lightness(a: Column, light: float) -> Column:
 
 def is_dark(rgb: Column) -> Column:
     """Perceived brightness under the half: weights 299, 587, 114 of 1000 on values 0 to 255."""
-    return (299 * rgb["r"] + 587 * rgb["g"] + 114 * rgb["b"]) * 255 / 1000 < 128
+    # each channel is scaled before it is weighed: k / 255 * 255 is k again, so that whole values are compared exactly
+    r, g, b = (rgb[k] * 255 for k in "rgb")
+    return 299 * r + 587 * g + 114 * b < 128_000
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
