@@ -123,7 +123,8 @@ def same_area(width: Column, height: Column, side: int) -> Column:
 
 
 def gigabytes(kb: Column) -> Column:
-    return F.concat(F.format_string("%.1f", kb / (1024 * 1024)), F.lit(" GB"))
+    """With one decimal; halves go to the even one, as C's printf has them, where Java's goes up."""
+    return F.concat(F.format_string("%.1f", F.bround(kb / (1024 * 1024), 1)), F.lit(" GB"))
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -24,3 +24,10 @@ def test_colour_at_half_brightness(spark, tmp_path):
     # 62594 * 7919 is #8B815E: 299 * 139 + 587 * 129 + 114 * 94 is 128000, no less
     got, want = compared(spark, tmp_path, "customer_colours", "customer", pa.table({"c_custkey": pa.array([1, 62593, 62594, 62595], pa.int64())}))
     assert got == want and not dict((r[0], r[3]) for r in got)[62594]
+
+
+def test_half_of_a_decimal_goes_to_the_even_one(spark, tmp_path):
+    # 262144 * 12345 / 2 ** 20 is 3086.25, 786432 the same with 9258.75
+    keys = [1, 262143, 262144, 262145, 786432]
+    got, want = compared(spark, tmp_path, "scales", "customer", pa.table({"c_custkey": pa.array(keys, pa.int64()), "c_acctbal": [-1.0, 0.5, 595.75, 5000.0, 7000.0], "c_nationkey": pa.array([0, 1, 5, 8, 16], pa.int32())}))
+    assert got == want and {r[4] for r in got} >= {"3086.2 GB", "9258.8 GB"}
