@@ -116,3 +116,54 @@ def test_no_rows(spark, feed):
     with timers.using(spark):
         s = spark.readStream.schema(f.schema).parquet(str(f.folder / "in")).withColumn("x", F.lit(1))
         assert drained(timers.debounced(s, "k", "t", "v", 1000)).count() == 0
+
+
+class Handle:
+    """What a processor asks of Spark, held in lists."""
+
+    def __init__(self):
+        self.timers, self.list = [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def exists(self):
+        return bool(self.list)
+
+    def get(self):
+        return iter(self.list)
+
+    def put(self, items):
+        self.list = list(items)
+
+    def clear(self):
+        self.list = []
+
+
+def test_one_timer_stands_for_all_moments_of_a_bucket():
+    import pandas as pd
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+    n, second = 500, 1_000_000
+    p, handle = timers._Records(), Handle()
+    p.names, p.inputs = ["key_row", "shown_micros", "hidden_micros"], ["key_row", "at_row", "ms_row", "stop_row"]
+    p.init(handle)
+    rows = pd.DataFrame({"key_row": [str(k % 100) for k in range(n)], "at_row": [k * second for k in range(n)], "ms_row": [1000] * n, "stop_row": [False] * n})
+    list(p.handleInputRows((0,), iter([rows]), Now(0)))
+    assert handle.timers == [1000] and len(handle.list) == n
+    # one call settles everything up to the watermark, and the next timer is that of the first record left
+    out = pd.concat(p.handleExpiredTimer((0,), Now(300_000), Now(1000)))
+    assert len(out) == 300 and handle.timers == [1000, 301_000] and len(handle.list) == n - 300
+    out = pd.concat(p.handleExpiredTimer((0,), Now(10_000_000), Now(301_000)))
+    assert len(out) == n - 300 and handle.timers == [1000, 301_000] and not handle.list
