@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from marlow.sources.shared import written
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
+# A shard's rows, about: tables that grow get more shards, so that none is more for a task.
+SHARD_ROWS = 500_000
 
 
 def _local() -> WindowSpec:
@@ -28,13 +30,18 @@ def _shards(lo: int, hi: int) -> WindowSpec:
     return Window.partitionBy("_key").orderBy("_shard").rowsBetween(lo, hi)
 
 
+def shards_of(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SHARD_ROWS))
+
+
 def sharded(df: DataFrame, keys: list[str], order: list[str | Column], **values: Column) -> DataFrame:
-    """df with values as columns, _key, _at (its place in key and order) and _shard, as a table in the shared folder."""
+    """df with values as columns, _key, _at (its place in key and order) and _shard, as a table in the shared folder, read back with whole shards of a key in a task."""
     rows = df.withColumns(values | {"_key": F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))})
     by = ["_key", *order, F.xxhash64(*df.columns)]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards_of(df)
     placed = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    return written(placed, "shards").withColumn("_shard", F.shiftright("_at", 33))
+    # as many partitions as shards
+    return written(placed, "shards").withColumn("_shard", F.shiftright("_at", 33)).repartition(n, "_shard", "_key")
 
 
 def _carried(rows: DataFrame, summary: list[Column], carry: dict[str, Column]) -> DataFrame:
@@ -47,12 +54,16 @@ def _plain(df: DataFrame, out: DataFrame, **results: Column) -> DataFrame:
     return out.select(*df.columns, *[c.alias(n) for n, c in results.items()])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "number", percent: str | None = None) -> DataFrame:
-    """df with each row's number from 1 in its key and, if asked for, the percent of the key's rows done with it."""
+def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "number", percent: str | None = None, **sums: Column) -> DataFrame:
+    """df with each row's number from 1 in its key and, if asked for, the percent of the key's rows done with it and running sums by name, nulls adding nothing."""
     every = Window.partitionBy("_key")
-    out = _carried(sharded(df, keys, order), [F.count("*").alias("_n")], {"_before": F.coalesce(F.sum("_n").over(_shards(FIRST, -1)), F.lit(0)), "_total": F.sum("_n").over(every)})
+    rows = sharded(df, keys, order, **{f"_v{k}": F.coalesce(v, F.lit(0)) for k, v in enumerate(sums.values())})
+    ahead = lambda c: F.coalesce(F.sum(c).over(_shards(FIRST, -1)), F.lit(0))
+    summary = [F.count("*").alias("_n"), *[F.sum(f"_v{k}").alias(f"_s{k}") for k in range(len(sums))]]
+    out = _carried(rows, summary, {"_before": ahead("_n"), "_total": F.sum("_n").over(every)} | {f"_b{k}": ahead(f"_s{k}") for k in range(len(sums))})
     n = F.row_number().over(_local()) + F.col("_before")
-    return _plain(df, out, **{name: n} | ({percent: 100 * n / F.col("_total")} if percent else {}))
+    totals = {s: F.sum(f"_v{k}").over(_local().rowsBetween(FIRST, 0)) + F.col(f"_b{k}") for k, s in enumerate(sums)}
+    return _plain(df, out, **{name: n} | ({percent: 100 * n / F.col("_total")} if percent else {}) | totals)
 
 
 def running_sum(df: DataFrame, value: Column, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
@@ -62,18 +73,26 @@ def running_sum(df: DataFrame, value: Column, keys: list[str], order: list[str |
     return _plain(df, out, **{name: F.sum("_v").over(_local().rowsBetween(FIRST, 0)) + F.col("_before")})
 
 
+def around(df: DataFrame, value: Column, keys: list[str], order: list[str | Column], last: str | None = None, following: str | None = None) -> DataFrame:
+    """df with the nearest value that is not null at or before this row, the nearest one behind it, or both."""
+    rows = sharded(df, keys, order, _v=value)
+    known = F.when(F.col("_v").isNotNull(), F.col("_at"))
+    summary = [F.max_by("_v", known).alias("_l"), F.min_by("_v", known).alias("_f")]
+    out = _carried(rows, summary, {"_before": F.last("_l", ignorenulls=True).over(_shards(FIRST, -1)), "_behind": F.last("_f", ignorenulls=True).over(Window.partitionBy("_key").orderBy(F.desc("_shard")).rowsBetween(FIRST, -1))})
+    # a frame that ends with the key is folded anew for each row, so the rows behind are read as those before in the other direction
+    back = Window.partitionBy("_shard", "_key").orderBy(F.desc("_at")).rowsBetween(FIRST, -1)
+    told = {last: F.coalesce(F.last("_v", ignorenulls=True).over(_local().rowsBetween(FIRST, 0)), F.col("_before"))} if last else {}
+    return _plain(df, out, **told | ({following: F.coalesce(F.last("_v", ignorenulls=True).over(back), F.col("_behind"))} if following else {}))
+
+
 def last_known(df: DataFrame, value: Column, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
     """df with the nearest value that is not null at or before this row."""
-    rows = sharded(df, keys, order, _v=value)
-    out = _carried(rows, [F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_at"))).alias("_l")], {"_before": F.last("_l", ignorenulls=True).over(_shards(FIRST, -1))})
-    return _plain(df, out, **{name: F.coalesce(F.last("_v", ignorenulls=True).over(_local().rowsBetween(FIRST, 0)), F.col("_before"))})
+    return around(df, value, keys, order, last=name)
 
 
 def next_known(df: DataFrame, value: Column, keys: list[str], order: list[str | Column], name: str) -> DataFrame:
     """df with the nearest value that is not null behind this row."""
-    rows = sharded(df, keys, order, _v=value)
-    out = _carried(rows, [F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_at"))).alias("_f")], {"_behind": F.first("_f", ignorenulls=True).over(_shards(1, LAST))})
-    return _plain(df, out, **{name: F.coalesce(F.first("_v", ignorenulls=True).over(_local().rowsBetween(1, LAST)), F.col("_behind"))})
+    return around(df, value, keys, order, following=name)
 
 
 def clamped_average(df: DataFrame, value: Column, keys: list[str], order: list[str | Column], name: str, radius: int = 2) -> DataFrame:

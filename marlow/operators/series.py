@@ -40,8 +40,9 @@ def changed(value: Column, keys: list[str], order: list[str]) -> Column:
 
 def next_marked(position: Column, mark: Column, keys: list[str], order: list[str]) -> Column:
     """The next position behind this row that is marked."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(mark, position), ignorenulls=True).over(w)
+    # a frame that ends with the key is folded anew for each row; in the other direction it begins with the key
+    w = Window.partitionBy(*keys).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(mark, position), ignorenulls=True).over(w)
 
 
 def last_heading(heading: Column, keys: list[str], order: list[str]) -> Column:

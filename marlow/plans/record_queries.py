@@ -331,15 +331,14 @@ def smoothed_all(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT event_id, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM events")
 def purchases_around(spark: SparkSession, d: str) -> DataFrame:
     bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    ahead = scans.next_known(table(spark, d, "events").select("event_id", "event_type", "ts"), bought, [], ["ts", "event_id"], "next_id")
-    return scans.last_known(ahead, bought, [], ["ts", "event_id"], "heading").select("event_id", "next_id", "heading")
+    out = scans.around(table(spark, d, "events").select("event_id", "event_type", "ts"), bought, [], ["ts", "event_id"], last="heading", following="next_id")
+    return out.select("event_id", "next_id", "heading")
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER w AS number, round(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY l_returnflag), 6) AS percent, round(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS shipped FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)")
 def shipped_so_far(spark: SparkSession, d: str) -> DataFrame:
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    rows = scans.running_sum(table(spark, d, "lineitem").select("l_returnflag", *order), F.col("l_quantity"), ["l_returnflag"], order, "shipped")
-    out = scans.numbered(rows, ["l_returnflag"], order, percent="percent")
+    out = scans.numbered(table(spark, d, "lineitem").select("l_returnflag", *order), ["l_returnflag"], order, percent="percent", shipped=F.col("l_quantity"))
     return out.select("l_orderkey", "l_linenumber", "number", F.round("percent", 6).alias("percent"), F.round("shipped", 2).alias("shipped"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marlow.operators import scans
+from marlow.operators import scans, series
 
 
 def table(spark, n, keys, seed=1):
@@ -68,3 +68,23 @@ def test_no_rows_and_descending(spark):
     assert scans.clamped_average(df.limit(0), F.col("v"), ["k"], ["t"], "s").count() == 0
     got = [r.id for r in scans.numbered(df, [], [F.desc("id")]).orderBy("number").collect()]
     assert got == list(range(49, -1, -1))
+
+
+def test_shards_grow_in_number_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SHARD_ROWS", 100)
+    df = spark.range(2000).select("id", (F.col("id") % 7).alias("v"))
+    sizes = [r["count"] for r in scans.sharded(df, [], ["id"]).groupBy("_shard").count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 15 and max(sizes) <= 400
+    out = scans.numbered(df, [], ["id"], percent="p", total=F.col("v")).collect()
+    assert sorted((r.id, r.number, r.p, r.total) for r in out) == [(i, i + 1, 100 * (i + 1) / 2000, sum(j % 7 for j in range(i + 1))) for i in range(2000)]
+
+
+def test_no_frame_is_folded_anew_for_each_row(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 9 == 4, F.col("id")).alias("v"), (F.col("id") % 3).alias("k"))
+    both = scans.around(df, F.col("v"), ["k"], ["id"], last="a", following="b")
+    marked = df.select("id", series.next_marked(F.col("id"), F.col("v").isNotNull(), ["k"], ["id"]).alias("b"))
+    for out in (both, marked):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    v = lambda k, js: next((j for j in js if j % 3 == k and j % 9 == 4), None)
+    assert sorted((r.id, r.a, r.b) for r in both.collect()) == [(i, v(i % 3, range(i, -1, -1)), v(i % 3, range(i + 1, 100))) for i in range(100)]
+    assert sorted((r.id, r.b) for r in marked.collect()) == [(i, v(i % 3, range(i + 1, 100))) for i in range(100)]
