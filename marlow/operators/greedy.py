@@ -15,6 +15,8 @@ from marlow.sources.shared import drop, written
 
 # Rows that are settled at first, and how many times more in each next batch.
 FIRST_BATCH, GROWTH = 2000, 4
+# How often rows that certainly fall are looked for behind a batch.
+TURNS = 4
 
 
 def _without(pairs: DataFrame, gone: DataFrame, *ends: str) -> DataFrame:
@@ -84,15 +86,14 @@ def suppress(df: DataFrame, threshold: float = 0.7, first: int = FIRST_BATCH) ->
     return out.select(df.columns)
 
 
-def keep_smaller(df: DataFrame) -> DataFrame:
-    """Rows of pos (unique), rect that stay: of overlapping pairs the larger goes, pairs in order of both pos; of equal ones the later. One that is gone removes no other.
+def _smaller_left(df: DataFrame) -> DataFrame:
+    """Rows (pos, rect, _area) that stay, by the rounds of all their pairs.
 
     In a round the rows that no earlier one can still remove (heads) remove the later ones that are no smaller, up to the
     first smaller one, if no earlier head waits for these; a head whose next one is smaller goes itself.
     """
-    r = df.select("pos", "rect", (F.col("rect.width") * F.col("rect.height")).alias("_area"))
-    area = r.select(F.col("pos").alias("k"), "_area")
-    met = rectangles.overlapping(r, r, "pos").where("left_key < right_key").select(F.col("left_key").alias("i"), F.col("right_key").alias("j"))
+    area = df.select(F.col("pos").alias("k"), "_area")
+    met = rectangles.overlapping(df, df, "pos").where("left_key < right_key").select(F.col("left_key").alias("i"), F.col("right_key").alias("j"))
     met = met.join(area.select(F.col("k").alias("i"), F.col("_area").alias("_i")), "i").join(area.select(F.col("k").alias("j"), F.col("_area").alias("_j")), "j")
     open_, gone = written(met.select("i", "j", (F.col("_i") > F.col("_j")).alias("less")), "pairs"), []
     while open_.count():
@@ -109,4 +110,64 @@ def keep_smaller(df: DataFrame) -> DataFrame:
     out = df
     for g in gone:
         out = out.join(g.withColumnRenamed("k", "pos"), "pos", "left_anti")
-    return out.select(df.columns)
+    return out
+
+
+def _certain(rest: DataFrame, standing: DataFrame) -> DataFrame:
+    """k: rows of rest, all behind the standing ones, that fall whatever else happens and remove none before.
+
+    A standing row that no smaller one of the rest overlaps stands for good. What overlaps it falls by it, or by one
+    before it, and removes none if none of those before it is larger. Rows known to fall so make others stand for good, so this is repeated.
+    """
+    met = rectangles.overlapping(rest, standing, "pos").select(F.col("left_key").alias("j"), F.col("right_key").alias("i"))
+    area = lambda df, k, a: df.select(F.col("pos").alias(k), F.col("_area").alias(a))
+    met = met.join(area(rest, "j", "_j"), "j").join(area(standing, "i", "_i"), "i")
+    open_, out = written(met.select("j", "i", (F.col("_i") > F.col("_j")).alias("larger")), "met"), []
+    while True:
+        # those that a smaller row, not known to fall, overlaps
+        unsure = open_.where("larger").select("i").distinct()
+        safe = open_.join(unsure.withColumn("_u", F.lit(True)), "i", "left")
+        first = safe.groupBy("j").agg(F.min(F.when(F.col("_u").isNull(), F.col("i"))).alias("_safe"), F.min(F.when(F.col("larger"), F.col("i"))).alias("_larger"))
+        fall = written(first.where("_safe is not null and (_larger is null or _safe < _larger)").select(F.col("j").alias("k")), "certain")
+        n = fall.count()
+        if n:
+            out.append(fall)
+            left = written(_without(open_, fall, "j"), "met")
+            drop(open_)
+            open_ = left
+        # what is left can wait for the next batch if few rows are found
+        if not n or len(out) == TURNS:
+            break
+    drop(open_)
+    certain = rest.select(F.col("pos").alias("k")).limit(0)
+    for f in out:
+        certain = certain.unionByName(f)
+    return certain
+
+
+def keep_smaller(df: DataFrame, first: int = FIRST_BATCH) -> DataFrame:
+    """Rows of pos (unique), rect that stay: of overlapping pairs the larger goes, pairs in order of both pos; of equal ones the later. One that is gone removes no other.
+
+    A row's fate depends only on rows before it until a smaller one behind comes, so the table is settled in batches in
+    the order of pos: those that stand, no two of which overlap, and the next batch give those that stand then. After each
+    batch the rows behind it that certainly fall and remove nothing are taken out, so that a crowded place has few pairs left.
+    """
+    area = F.col("rect.width") * F.col("rect.height")
+    rows = written(df.select("pos", "rect", area.cast("double").alias("_area")), "rects")
+    # a null rectangle overlaps nothing
+    alone, rest = rows.where("_area is null or isnan(_area)"), rows.where("_area is not null and not isnan(_area)")
+    standing, n_batch = rows.limit(0), first
+    while n := rest.count():
+        if n_batch >= n:
+            batch = rest
+        else:
+            # any value of this quantile parts the rows by their order
+            to = rest.agg(F.percentile_approx("pos", n_batch / n, 10_000)).first()[0]
+            batch = rest.where(F.col("pos") <= to)
+        standing = written(_smaller_left(standing.unionByName(batch)), "standing")
+        if n_batch >= n:
+            break
+        behind = rest.where(F.col("pos") > to)
+        rest = written(_without(behind, _certain(behind, standing), "pos"), "rest")
+        n_batch *= GROWTH
+    return df.join(standing.unionByName(alone).select("pos"), "pos", "left_semi").select(df.columns)
