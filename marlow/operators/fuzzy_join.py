@@ -1,21 +1,19 @@
 """Fuzzy search of many queries in many targets: the k best targets of each query, exactly, without scoring all of them.
 
-Different targets are packed into blocks of similar length and beginning. A block is known by its shortest
-text, its pairs of neighbouring characters, the characters that begin a word, and the first and last
-place of each character; from these follows whether a query can match in it at all and the best score
-that it can reach:
-
-- a target n characters longer than a word scores at most -n / 2 for it, less the later its first character comes;
-- if the word doesn't stand in it as a whole, some character is read behind a gap, which costs 15 and another n / 2;
-- if its first character begins no word there, what is lost to places and gaps counts a thousandfold.
-
-An inverted index proposes blocks in two turns. The first finds, for each query, the blocks that have its
-rarest pair of neighbours, scores the one with the best bound, then those whose bound reaches the k-th score
-found. The second is only for queries that a block without that pair could still serve; it goes by the rarest
-character. Scores are those of `marlow.functions.fuzzy`.
-
-Null and blank queries and null and empty targets give no rows; equal queries and equal targets are
-searched once, whatever number of rows has them, so results are joined back by text. Ties go to the smaller text.
+Every word of a query must be found in a target, so a query goes by one of its words, its driver: the one that
+stands as a whole in the fewest targets. Targets are met in two turns:
+
+- The pieces of targets that begin as a word does are joined with the words. Targets that hold the same driver
+  are packed into blocks, and a query is scored in the blocks of its driver alone.
+- Any other target reads the driver with a gap, which costs 15 and another n / 2 for n characters more than the driver
+  has, and a thousand times 15 if neither the driver nor the whole query can begin at a beginning of a word there. Queries
+  for which the k-th score found doesn't exceed the former walk a trie of their drivers along the targets, from
+  beginnings only if it exceeds the latter. The walk ends where a target lacks the next character, so it goes
+  through matches and no other pairs; those whose lengths alone put them below the k-th score are not scored.
+
+Scores are those of `marlow.functions.fuzzy`. Null and blank queries and null and empty targets give no rows; equal
+queries and equal targets are searched once, whatever number of rows has them, so results are joined back by text.
+Ties go to the smaller text.
 """
 
 from __future__ import annotations
@@ -30,126 +28,91 @@ from pyspark.sql import functions as F
 from marlow.functions import fuzzy
 from marlow.sources.shared import written
 
-BLOCK_ROWS, BLOCK_CHARS = 16, 1 << 16
-# Queries and blocks of one feature meet in SALTS x SALTS tasks.
-SALTS = 8
-# The least that a reading with a gap costs: 12, the gap, and the place behind it, which is 2 or more.
-GAP = 15.0
+# Texts and characters of a block, about; queries that share one; characters of a word that the join goes by.
+BLOCK_ROWS, BLOCK_CHARS, SHARERS, KEY = 512, 1 << 18, 1000, 8
+# Pairs of a query and a block that a task scores, about.
+TASK_PAIRS = 250
+# The least that a reading with a gap costs: 12, the gap, and the place behind it, which is 2 or more; and the factor for one that begins at no beginning.
+GAP, LOOSE = 15.0, 1000.0
+# A walk takes so many queries, and targets of about so many characters, in LEAST_SLICES slices or more.
+WALK_QUERIES, SLICE_CHARS, LEAST_SLICES = 50_000, 1 << 21, 8
+# Entries of a batch's table of next places; steps that are taken at once.
+CELLS, STEPS = 1 << 24, 1 << 19
+EPS = 1e-9
 
 
-def _pairs(text: str) -> set[int]:
-    return {ord(a) << 21 | ord(b) for a, b in zip(text, text[1:])}
+def _plain(text: str) -> str:
+    return fuzzy.without_accents(text).lower()
 
 
-def blocks_of(targets: DataFrame, column: str) -> DataFrame:
-    """(block, texts, least, near, begins, chars, lo, hi): different texts in blocks; lo and hi are the first and last places of chars in any of them."""
+def targets_of(targets: DataFrame, column: str) -> DataFrame:
+    """(target): the different texts."""
+    return targets.select(F.col(column).alias("target")).where("target <> ''").distinct()
 
-    def summary(texts: list[str], plain: list[str]) -> dict:
-        lo: dict[int, int] = {}
-        hi: dict[int, int] = {}
-        for t in plain:
-            for c in set(t):
-                lo[ord(c)] = min(lo.get(ord(c), len(t)), t.index(c))
-                hi[ord(c)] = max(hi.get(ord(c), 0), t.rindex(c))
-        chars, begins = sorted(lo), set()
-        for _, (some,) in fuzzy._pieces(pd.Series(texts)):
-            t = fuzzy.Targets(some)
-            begins |= set(t.code[t.begins].tolist())
-        return {"texts": texts, "least": min(map(len, plain)), "near": sorted(set().union(*map(_pairs, plain))), "begins": sorted(begins), "chars": chars, "lo": [lo[c] for c in chars], "hi": [hi[c] for c in chars]}
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts: list[str] = []
-        plain: list[str] = []
+def queries_of(queries: DataFrame, column: str) -> DataFrame:
+    """(q, phrase, words): the different queries, as they are read."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            rows = []
+            for q in b["q"]:
+                phrase = _plain(q.strip())
+                words = fuzzy.words_of(q) if " " in phrase else [phrase]
+                if phrase and words:
+                    rows.append((q, phrase, words))
+            if rows:
+                yield pd.DataFrame(rows, columns=["q", "phrase", "words"])
+
+    some = queries.select(F.col(column).alias("q")).where(F.length(F.trim("q")) > 0).distinct()
+    return some.mapInPandas(ask, "q string, phrase string, words array<string>")
+
+
+def pieces_of(targets: DataFrame, lengths: list[int]) -> DataFrame:
+    """(target, piece): the different pieces of these lengths of each target."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            some, pieces = [], []
             for t in b["target"]:
-                if len(texts) == BLOCK_ROWS or sum(map(len, plain)) > BLOCK_CHARS:
-                    out.append(summary(texts, plain))
-                    texts, plain = [], []
-                texts.append(t)
-                plain.append(fuzzy.without_accents(t).lower())
-            if out:
-                yield pd.DataFrame(out)
-        if texts:
-            yield pd.DataFrame([summary(texts, plain)])
+                p = _plain(t)
+                found = {p[i : i + n] for n in lengths for i in range(len(p) - n + 1)}
+                some += [t] * len(found)
+                pieces += found
+                if len(some) > STEPS:
+                    yield pd.DataFrame({"target": some, "piece": pieces})
+                    some, pieces = [], []
+            if some:
+                yield pd.DataFrame({"target": some, "piece": pieces})
 
-    some = targets.select(F.col(column).alias("target")).where("target <> ''").distinct()
-    dealt = some.withColumn("n", F.length("target")).repartitionByRange("n", "target").sortWithinPartitions("n", "target")
-    packed = dealt.select("target").mapInPandas(pack, "texts array<string>, least int, near array<long>, begins array<int>, chars array<int>, lo array<int>, hi array<int>")
-    # texts are different, so the first of a block names it
-    return packed.select(F.get("texts", F.lit(0)).alias("block"), "*")
+    return targets.mapInPandas(cut, "target string, piece string")
 
 
-def queries_of(queries: DataFrame, column: str, least: int) -> DataFrame:
-    """(q, words array<struct<m, near, head, after>>, whole, grams, chars, order array<struct<a, b>>, without): what a query asks of a block.
+def driven(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(q, phrase, words, driver, n): each query's word whose beginning the fewest targets hold, the longest of such, and how many they are.
 
-    head: the first character of a word; after: pairs of the last one of a word before it with this one, since
-    a word may also begin behind what was read for an earlier one. without: the best score in a block without some pair of the query, where no target is shorter than `least`.
+    held: (target, piece) of the beginnings of words.
     """
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    words = asked.select("q", F.explode("words").alias("w")).withColumn("piece", F.substring("w", 1, KEY)).join(counts, "piece", "left")
+    rarest = words.groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("w")).alias("m"), F.col("w").alias("driver"))).alias("r"))
+    return asked.join(rarest.select("q", "r.driver", "r.n"), "q")
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for q in b["q"]:
-                words, phrase = fuzzy.words_of(q), fuzzy.without_accents(q.strip()).lower()
-                if " " not in phrase:
-                    words = [phrase]
-                if not words:
-                    continue
-                behind = lambda w: max(least - len(w), 0) / 2
-                long = [w for w in words if len(w) > 1]
-                # the word that lacks a pair is read with a gap, the others may stand as a whole
-                lost = max((sum(-behind(v) for v in words) - GAP - behind(w)) / len(words) for w in long) if long else 0.0
-                rows.append(
-                    {
-                        "q": q,
-                        "words": [{"m": len(w), "near": sorted(_pairs(w)), "head": ord(w[0]), "after": sorted({ord(v[-1]) << 21 | ord(w[0]) for v in words[:n]})} for n, w in enumerate(words)],
-                        "whole": {"m": len(phrase), "near": sorted(_pairs(phrase)), "head": ord(phrase[0]), "after": []},
-                        "grams": sorted(set().union(*map(_pairs, words))),
-                        "chars": sorted({ord(c) for w in words for c in w}),
-                        "order": [{"a": x >> 21, "b": x & ((1 << 21) - 1)} for x in sorted(set().union(*map(_pairs, words)))],
-                        "without": max(lost, -GAP - 2 * behind(phrase)),
-                    }
-                )
-            if rows:
-                yield pd.DataFrame(rows)
 
-    some = queries.select(F.col(column).alias("q")).where(F.length(F.trim("q")) > 0).distinct()
-    word = "struct<m:int,near:array<bigint>,head:int,after:array<bigint>>"
-    return some.mapInPandas(ask, f"q string, words array<{word}>, whole {word}, grams array<long>, chars array<int>, order array<struct<a:int,b:int>>, without double")
-
-
-def _bound(word: Column) -> Column:
-    """The best score of a word or phrase in a block."""
-    behind, good = F.greatest(F.col("least") - word["m"], F.lit(0)) / 2, 1 + word["m"] * word["m"]
-    late = 0.2 * F.pow(F.get(F.col("lo"), F.array_position("at", word["head"]).cast("int") - 1).cast("double"), F.lit(2.0))
-    inside = F.forall(word["near"], lambda x: F.array_contains("near", x))
-    begins = F.array_contains("begins", word["head"]) | F.exists(word["after"], lambda x: F.array_contains("near", x))
-    whole = F.when(begins, -late / (good * good)).otherwise(-1000 * late / good) - behind
-    return F.when(inside, whole).otherwise(-(GAP + late) * F.when(begins, 1.0).otherwise(1000.0) - 2 * behind)
-
-
-def _possible() -> Column:
-    """Whether a block has every character of a query, and each before the next one somewhere."""
-    place = lambda side, c: F.get(F.col(side), F.array_position("at", c).cast("int") - 1)
-    return F.forall("asked", lambda c: F.array_contains("at", c)) & F.forall("order", lambda p: place("lo", p["a"]) < place("hi", p["b"]))
-
-
-def proposed(asked: DataFrame, blocks: DataFrame, theirs: str, ours: str) -> DataFrame:
-    """(q, block, bound): the blocks that have the rarest feature of a query, where it can match, with its best score there."""
-    index = blocks.select("block", F.explode(theirs).alias("f"))
-    counts = index.groupBy("f").agg(F.count("*").alias("n"))
-    rare = asked.select("q", F.explode(ours).alias("f")).join(counts, "f", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "f")).alias("r")).where("r.n > 0").select("q", "r.f")
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    left = rare.select("q", "f", of("q").alias("s"), F.explode(every).alias("t"))
-    right = index.select("block", "f", F.explode(every).alias("s"), of("block").alias("t"))
-    met = left.join(right, ["f", "s", "t"]).select("q", "block")
-    about = met.join(blocks.select("block", "least", "near", "begins", F.col("chars").alias("at"), "lo", "hi"), "block")
-    about = about.join(asked.select("q", "words", "whole", F.col("chars").alias("asked"), "order"), "q").where(_possible())
-    mean = F.aggregate(F.transform("words", _bound), F.lit(0.0), lambda a, x: a + x) / F.size("words")
-    # rounding of a mean must not hide a score that equals it
-    return about.select("q", "block", (F.when(F.size("words") > 1, F.greatest(mean, _bound(F.col("whole")))).otherwise(mean) + 1e-9).alias("bound"))
+def blocks_of(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(block, piece, turn, turns, texts): the targets that hold the beginning of some driver, in blocks; those with many queries once for each turn of these."""
+    sharers = asked.where("n > 0").groupBy(F.substring("driver", 1, KEY).alias("piece")).agg(F.ceil(F.count("*") / SHARERS).alias("turns"))
+    sizes = held.groupBy("piece").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("target")) / BLOCK_CHARS)).alias("parts")).join(sharers, "piece")
+    parts = held.join(sizes, "piece").withColumn("part", F.pmod(F.xxhash64("target"), "parts"))
+    packed = parts.groupBy("piece", "turns", "part").agg(F.collect_list("target").alias("texts")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    return packed.select(F.concat_ws(" ", "piece", "part", "turn").alias("block"), "piece", "turn", "turns", "texts")
+
+
+def pairs_of(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(q, block): the queries with the blocks of their drivers."""
+    turns = blocks.select("piece", "turns").distinct()
+    some = asked.where("n > 0").select("q", F.substring("driver", 1, KEY).alias("piece")).join(turns, "piece")
+    return some.withColumn("turn", F.pmod(F.xxhash64("q"), "turns")).join(blocks.select("piece", "turn", "block"), ["piece", "turn"]).select("q", "block")
 
 
 def scored(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -168,9 +131,13 @@ def scored(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                     score = fuzzy.search(q, targets)[0]
                     found += [(-score[r], some[r]) for r in np.flatnonzero(score > fuzzy.NEVER)]
                 out += [(q, t, -s) for s, t in sorted(found)[:k]]
-            yield pd.DataFrame(out, columns=["q", "target", "raw"])
+            if out:
+                yield pd.DataFrame(out, columns=["q", "target", "raw"])
 
-    return pairs.join(blocks.select("block", "texts"), "block").select("q", "block", "texts").mapInPandas(run, "q string, target string, raw double")
+    # a number of tasks by the work, which is not seen from the size of the rows
+    n = max(1, -(-pairs.count() // TASK_PAIRS))
+    met = pairs.repartition(n, "block").join(blocks.select("block", "texts").repartition(n, "block"), "block")
+    return met.select("q", "block", "texts").sortWithinPartitions("block").mapInPandas(run, "q string, target string, raw double")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -183,17 +150,171 @@ def _floor(found: DataFrame, k: int) -> DataFrame:
     return best(found, k).where(F.col("rank") == k).select("q", F.col("raw").alias("floor"))
 
 
+def _bound(cost: float, least: int) -> Column:
+    """The best score in a target that doesn't hold the driver, of `least` characters or more, if a reading with a gap costs so much."""
+    behind = lambda w: F.greatest(F.lit(least) - F.length(w), F.lit(0)) / 2
+    rest = F.aggregate("words", F.lit(0.0), lambda a, w: a - behind(w))
+    return F.greatest((rest - cost - behind("driver")) / F.size("words"), -cost - 2 * behind("phrase")) + EPS
+
+
+class Trie:
+    """Different words. Node 0 is the root; node n has the children child[first[n]:first[n + 1]], reached by the characters there; ends[n] is the word that ends at n, or -1."""
+
+    def __init__(self, words: list[str]):
+        below: list[dict[str, int]] = [{}]
+        ends = [-1]
+        for n, w in enumerate(words):
+            at = 0
+            for c in w:
+                to = below[at].get(c)
+                if to is None:
+                    to = below[at][c] = len(below)
+                    below.append({})
+                    ends.append(-1)
+                at = to
+            ends[at] = n
+        self.chars = sorted({c for node in below for c in node})
+        number = {c: n for n, c in enumerate(self.chars)}
+        self.first = np.cumsum([0] + [len(node) for node in below])
+        self.child = np.array([to for node in below for to in node.values()], np.int64)
+        self.char = np.array([number[c] for node in below for c in node], np.int64)
+        self.ends = np.array(ends)
+
+    def walk(self, targets: fuzzy.Targets, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, row) of the words whose characters stand in a target in order, the first one at a place of `starts`."""
+        there = set(np.unique(targets.code).tolist())
+        some = [n for n, c in enumerate(self.chars) if ord(c) in there]
+        width = targets.code.shape[1]
+        # where each character stands next, by character, row and place; the last table is of those that stand nowhere
+        after = np.full((len(some) + 1, *targets.code.shape), width, np.int32)
+        begin = after.copy()
+        which = np.full(len(self.chars), len(some))
+        for n, c in enumerate(some):
+            hit = targets.code == ord(self.chars[c])
+            after[n], begin[n] = fuzzy._first(hit), fuzzy._first(hit & starts)
+            which[c] = n
+        rows = np.arange(len(targets.size))
+        todo = [(np.zeros(len(rows), np.int64), rows, np.zeros(len(rows), np.int64))]
+        while todo:
+            node, row, at = todo.pop()
+            n = self.first[node + 1] - self.first[node]
+            total = np.cumsum(n)
+            if len(node) > 1 and total[-1] > STEPS:
+                half = max(1, min(len(node) - 1, int(np.searchsorted(total, STEPS))))
+                todo += [(node[half:], row[half:], at[half:]), (node[:half], row[:half], at[:half])]
+                continue
+            each = np.repeat(np.arange(len(node)), n)
+            edge = np.arange(len(each)) - (total - n)[each] + self.first[node][each]
+            to, row, at = self.child[edge], row[each], at[each]
+            table = np.where(node[each] == 0, begin[which[self.char[edge]], row, at], after[which[self.char[edge]], row, at])
+            ok = table < width
+            to, row, at = to[ok], row[ok], table[ok].astype(np.int64) + 1
+            end = self.ends[to]
+            if (end >= 0).any():
+                yield end[end >= 0], row[end >= 0]
+            if len(to):
+                todo.append((to, row, at))
+
+
+def _starts(targets: fuzzy.Targets, before: list[int]) -> np.ndarray:
+    """Where words may begin if what was read of others may end with the characters `before`."""
+    out = targets.begins.copy()
+    out[:, 1:] |= np.isin(targets.code[:, :-1], before)
+    return out
+
+
+def walked(asked: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(q, target, raw): the k best of each slice of the targets that can reach the floors and don't hold the driver's beginning.
+
+    asked: (q, phrase, words, driver, loose, floor); loose: whether readings that begin at no beginning can reach the floor.
+    """
+
+    def run(asked: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[tuple[float, str]]] = {}
+        if not len(asked) or not len(texts):
+            return pd.DataFrame({"q": np.array([], object), "target": np.array([], object), "raw": np.array([], float)})
+        asked = asked.sort_values("q", ignore_index=True)
+        before = sorted({ord(w[-1]) for words in asked["words"] for w in words[:-1]})
+        tries = []
+        for loose in (False, True):
+            of: dict[str, list[int]] = {}
+            for n in np.flatnonzero(asked["loose"].to_numpy(bool) == loose):
+                # the whole query may begin at a beginning where its driver doesn't
+                for w in {asked["driver"][n]} if loose else {asked["driver"][n], asked["phrase"][n]}:
+                    of.setdefault(w, []).append(int(n))
+            if of:
+                n_of = np.array([len(x) for x in of.values()])
+                tries.append((loose, Trie(list(of)), np.cumsum(n_of) - n_of, n_of, np.concatenate([np.array(x) for x in of.values()])))
+        n_words = asked["words"].map(len).to_numpy()
+        n_all = asked["words"].map(lambda words: sum(map(len, words))).to_numpy()
+        n_driver, n_phrase = asked["driver"].str.len().to_numpy(), asked["phrase"].str.len().to_numpy()
+        floor = asked["floor"].fillna(fuzzy.NEVER).to_numpy(float)
+        chars = max(len(t.chars) for _, t, *_ in tries)
+        for some in _batches(texts["target"], chars + 1):
+            ready, plain = fuzzy.Targets(some), [_plain(t) for t in some]
+            pairs = []
+            for loose, trie, first, n_of, queries in tries:
+                starts = np.ones(ready.code.shape, bool) if loose else _starts(ready, before)
+                for word, row in trie.walk(ready, starts):
+                    n = n_of[word]
+                    each = np.repeat(np.arange(len(word)), n)
+                    q = queries[np.arange(len(each)) - (np.cumsum(n) - n)[each] + first[word[each]]]
+                    row = row[each]
+                    size = ready.size[row]
+                    # a word isn't longer than a target that it matches; the sum bounds that of the positive differences from below
+                    reach = np.maximum((-GAP - np.maximum(size * n_words[q] - n_all[q], 0) / 2 - (size - n_driver[q]) / 2) / n_words[q], -GAP - np.maximum(size - n_phrase[q], 0)) + EPS
+                    ok = reach >= floor[q]
+                    pairs.append(np.unique(np.stack([q[ok], row[ok]], 1), axis=0))
+            if not pairs:
+                continue
+            both = np.unique(np.concatenate(pairs), axis=0)
+            edge = np.append(np.flatnonzero(np.diff(both[:, 0], prepend=-1)), len(both))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                n = both[lo, 0]
+                q, key = asked["q"][n], asked["driver"][n][:KEY]
+                left = [some[r] for r in both[lo:hi, 1] if key not in plain[r]]
+                if left:
+                    score = fuzzy.search(q, fuzzy.Targets(left))[0]
+                    found = [(-score[r], left[r]) for r in np.flatnonzero(score > fuzzy.NEVER)]
+                    out[q] = sorted(out.get(q, []) + found)[:k]
+        return pd.DataFrame([(q, t, -s) for q, found in out.items() for s, t in found], columns=["q", "target", "raw"]).astype({"q": object, "target": object, "raw": float})
+
+    n, chars = asked.count(), targets.agg(F.sum(F.length("target"))).first()[0]
+    parts, slices = -(-n // WALK_QUERIES), max(LEAST_SLICES, -(-(chars or 0) // SLICE_CHARS))
+    of = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(max(m, 1) - 1)))
+    tasks = max(parts, 1) * slices
+    left = asked.withColumn("part", of("q", max(parts, 1))).withColumn("slice", each(slices)).repartition(tasks, "part", "slice")
+    right = targets.withColumn("slice", of("target", slices)).withColumn("part", each(parts)).repartition(tasks, "part", "slice")
+    return left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(run, "q string, target string, raw double")
+
+
+def _batches(texts: pd.Series, chars: int) -> Iterator[list[str]]:
+    """Texts of similar lengths, as many as a table of this number of characters takes."""
+    order = texts.iloc[np.argsort(texts.str.len().to_numpy(), kind="stable")].tolist()
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * (len(order[to]) + 2) * chars <= CELLS:
+            to += 1
+        yield order[at:to]
+        at = to
+
+
 def fuzzy_join(queries: DataFrame, targets: DataFrame, query: str, target: str, k: int = 10) -> DataFrame:
     """(query, target, raw, rank): of each different query the k best different targets, fewer if fewer match."""
-    blocks = written(blocks_of(targets, target), "blocks")
-    least = blocks.agg(F.min("least")).first()[0] or 0
-    asked = written(queries_of(queries, query, least), "asked")
-    first = written(proposed(asked, blocks, "near", "grams"), "proposed")
-    top = first.groupBy("q").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
-    one = written(scored(top, blocks, k), "found")
-    rest = first.join(top, ["q", "block"], "left_anti").join(_floor(one, k), "q", "left").where("floor is null or bound >= floor").select("q", "block")
-    two = written(one.unionByName(scored(rest, blocks, k)), "found")
-    open_ = asked.join(_floor(two, k), "q", "left").where("floor is null or without + 1e-9 >= floor or size(grams) = 0").drop("floor")
-    more = proposed(open_, blocks, "chars", "chars").join(first.select("q", "block"), ["q", "block"], "left_anti").join(_floor(two, k), "q", "left").where("floor is null or bound >= floor").select("q", "block")
-    out = best(two.unionByName(scored(more, blocks, k)), k)
+    texts, asked = written(targets_of(targets, target), "targets"), written(queries_of(queries, query), "asked")
+    words = asked.select(F.explode("words").alias("w")).select(F.substring("w", 1, KEY).alias("piece")).distinct()
+    lengths = sorted(r.n for r in words.select(F.length("piece").alias("n")).distinct().collect())  # KEY at most
+    held = written(pieces_of(texts, lengths).join(words, "piece"), "held")
+    asked = written(driven(asked, held), "asked")
+    blocks = written(blocks_of(held, asked), "blocks")
+    pairs = written(pairs_of(asked, blocks), "pairs")
+    one = written(scored(pairs, blocks, k), "found")
+    least = texts.agg(F.min(F.length("target"))).first()[0] or 0
+    # without accents a text may be shorter, by marks that stand alone
+    least = 0 if texts.where("target rlike '[^\\\\x00-\\\\x7F]'").limit(1).count() else least
+    open_ = asked.where(F.length("driver") > 1).join(_floor(one, k), "q", "left").withColumn("loose", F.expr("floor is null") | (_bound(GAP * LOOSE, least) >= F.col("floor")))
+    open_ = written(open_.where(F.col("loose") | (_bound(GAP, least) >= F.col("floor"))), "open")
+    out = best(one.unionByName(walked(open_, texts, k)), k)
     return out.select(F.col("q").alias("query"), "target", "raw", "rank")
