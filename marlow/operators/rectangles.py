@@ -5,7 +5,8 @@ is cut near a median as long as that parts its rectangles, so leaves are small w
 the extent of the plane. Every rectangle stands in the leaves it touches, every point in one. Leaves are counted;
 those with more than PART rows of a side are dealt by hash into parts, and a task sees one part of either side at a
 time: it holds the right one, and the left one streams past. Within parts a plane sweep along x finds what can
-meet. A pair that meets in several leaves is told in the one that holds the lower corner of its overlap.
+meet. A pair that meets in several leaves is told in the one that holds the lower corner of its overlap. Pairs are looked for among
+different rectangles; those with equal ones are told by joining keys, MEMBERS at a time.
 
 The anti-join stops at a row's first hit. Crowded leaves are first compared part by part, which decides nearly all
 rows of a place where everything overlaps; only rows still open meet the other parts, so what is looked at grows
@@ -32,6 +33,8 @@ SAMPLE, LEAF, MOST_LEAVES, PART = 200_000, 2048, 1 << 16, 8192
 # A cut must leave at most this share of a leaf's rectangles on either side; it is tried at and beside these quantiles, and rectangles it would put on both sides count thrice.
 PARTS_WELL, CUTS = 0.75, (0.35, 0.5, 0.65)
 AT_ONCE, STEP = 1 << 20, 32
+# Rows of both sides in a task of a sweep, keys of equal rectangles in a row, pairs of rectangles in a task that tells their keys, about.
+TASK_ROWS, MEMBERS, TASK_PAIRS = 4096, 1024, 2000
 SIDES = ("_x", "_y", "_w", "_h")
 
 
@@ -174,8 +177,8 @@ def _dealt(df: DataFrame, tree: Tree, own: np.ndarray, other: np.ndarray | None,
 Meet = Callable[[pa.RecordBatch, pa.Table, int], Iterator[pa.RecordBatch]]
 
 
-def _swept(left: DataFrame, right: DataFrame, meet: Meet, schema: str) -> DataFrame:
-    """What `meet` makes of batches of left rows with all right rows of the same leaf and parts, these sorted by x."""
+def _swept(left: DataFrame, right: DataFrame, meet: Meet, schema: str, tasks: int | None = None) -> DataFrame:
+    """What `meet` makes of batches of left rows with all right rows of the same leaf and parts, these sorted by x. `tasks`: how many, where the work is not seen from the size of the rows."""
     names = right.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,8 @@ def _swept(left: DataFrame, right: DataFrame, meet: Meet, schema: str) -> DataFr
 
     both = left.withColumn("_left", F.lit(1)).unionByName(right.withColumn("_left", F.lit(0)), allowMissingColumns=True)
     by = ["_leaf", "_i", "_j", "_left", "_x"]
-    return both.repartition("_leaf", "_i", "_j").sortWithinPartitions(*by).mapInArrow(run, schema)
+    place = ("_leaf", "_i", "_j")
+    return (both.repartition(tasks, *place) if tasks else both.repartition(*place)).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def _range(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,12 +283,39 @@ def without_overlap(left: DataFrame, right: DataFrame, key: str, rect: str = "re
     return left.join(hits.withColumnRenamed("_key", key).distinct(), key, "left_anti")
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect", least: float = 0.0, inclusive: bool = False) -> DataFrame:
-    """(left_key, right_key, iou) of every pair that overlaps by more than `least` (or by `least` and more), once."""
-    r = F.col(rect)
-    a, b = _flat(left, r, [F.col(key).alias("left_key")]), _flat(right, r, [F.col(key).alias("right_key")])
+def _members(df: DataFrame, rect: Column, key: str) -> DataFrame:
+    """(place, keys): the sides of each different rectangle with the keys that have it, in rows of about MEMBERS."""
+    place = F.struct(*[rect[n].cast("double").alias(s) for n, s in zip(("x", "y", "width", "height"), SIDES)])
+    flat = df.where(rect.isNotNull()).select(place.alias("place"), F.col(key).alias("k"))
+    crowded = flat.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS)
+    # at most one in MEMBERS rows has such a place
+    parts = flat.join(F.broadcast(crowded), "place", "left").withColumn("part", F.pmod(F.xxhash64("k"), F.coalesce(F.ceil(F.col("n") / MEMBERS), F.lit(1))))
+    return written(parts.groupBy("place", "part").agg(F.collect_list("k").alias("keys")).select("place", "keys"), "members")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect", least: float = 0.0, inclusive: bool = False, told: Callable[[Column], Column] = lambda iou: iou) -> DataFrame:
+    """(left_key, right_key, iou) of every pair that overlaps by more than `least` (or by `least` and more), once. `told`: what is made of the iou."""
+    ours = _members(left, F.col(rect), key)
+    theirs = ours if left is right else _members(right, F.col(rect), key)
+    places = lambda m, name: _flat(m.select("place").distinct().select("place", _sides(F.col("place")).alias("r")), F.col("r"), [F.col("place").alias(name)])
+    a, b = places(ours, "left_key"), places(theirs, "right_key")
+    met = written(_places_overlapping(a, b, least, inclusive), "met")
+    n = -(-met.count() // TASK_PAIRS)
+    met = met.select("left_key", "right_key", told(F.col("iou")).alias("iou"))
+    met = met.join(ours.select(F.col("place").alias("left_key"), F.col("keys").alias("i")), "left_key").join(theirs.select(F.col("place").alias("right_key"), F.col("keys").alias("j")), "right_key")
+    both = met.select("i", "j", "iou").repartition(max(n, 1)).select(F.explode("i").alias("left_key"), "j", "iou")
+    return both.select("left_key", F.explode("j").alias("right_key"), "iou")
+
+
+def _sides(place: Column) -> Column:
+    return F.struct(*[place[s].alias(n) for n, s in zip(("x", "y", "width", "height"), SIDES)])
+
+
+def _places_overlapping(a: DataFrame, b: DataFrame, least: float, inclusive: bool) -> DataFrame:
+    """overlapping() of flat tables with left_key and right_key."""
     tree = tree_for(a, b)
-    parts_a, parts_b = _parts(_counts(a, tree)), _parts(_counts(b, tree))
+    n_a, n_b = _counts(a, tree), _counts(b, tree)
+    parts_a, parts_b = _parts(n_a), _parts(n_b)
 
     def meet(rows: pa.RecordBatch, others: pa.Table, leaf: int) -> Iterator[pa.RecordBatch]:
         x, y = _matrix(rows), _matrix(others)
@@ -294,8 +325,9 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, rect: str = "rect",
             at = at[tree.home(np.maximum(x[i[at], :2], y[j[at], :2])) == leaf]
             yield pa.RecordBatch.from_arrays([rows.column("left_key").take(pa.array(i[at])), others.column("right_key").combine_chunks().take(pa.array(j[at])), pa.array(iou[at])], ["left_key", "right_key", "iou"])
 
-    kinds = f"left_key {dict(left.dtypes)[key]}, right_key {dict(right.dtypes)[key]}, iou double"
-    return _swept(_dealt(a, tree, parts_a, parts_b, True), _dealt(b, tree, parts_b, parts_a, False), meet, kinds)
+    kinds = f"left_key {dict(a.dtypes)['left_key']}, right_key {dict(b.dtypes)['right_key']}, iou double"
+    tasks = -(-int((n_a * parts_b + n_b * parts_a).sum()) // TASK_ROWS)
+    return _swept(_dealt(a, tree, parts_a, parts_b, True), _dealt(b, tree, parts_b, parts_a, False), meet, kinds, max(tasks, 1))
 
 
 def first_containing(points: DataFrame, rects: DataFrame, key: str, rect: str = "rect") -> DataFrame:

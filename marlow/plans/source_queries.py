@@ -256,7 +256,7 @@ def rect_anti_halves(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RECTS} SELECT a.k AS left_key, b.k AS right_key, round({_IOU}, 9) AS iou FROM r a JOIN r b ON a.k < b.k AND {_IOU} > 0.4")
 def rect_pairs(spark: SparkSession, d: str) -> DataFrame:
     r = _rects(spark, d)
-    return rectangles.overlapping(r, r, "k", least=0.4).where("left_key < right_key").withColumn("iou", F.round("iou", 9))
+    return rectangles.overlapping(r, r, "k", least=0.4, told=lambda iou: F.round(iou, 9)).where("left_key < right_key")
 
 
 @query(f"WITH {_RECTS}, p AS (SELECT c_custkey AS pt, (c_custkey * 29 % 1000)::DOUBLE AS px, (c_custkey * 17 % 800)::DOUBLE AS py FROM customer), f AS (SELECT pt, k, x FROM p JOIN r ON px BETWEEN x AND x + w AND py BETWEEN y AND y + h QUALIFY row_number() OVER (PARTITION BY pt ORDER BY k % 3, k) = 1) SELECT p.pt, f.k, f.x AS left_edge FROM p LEFT JOIN f USING (pt)")

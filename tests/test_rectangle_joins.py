@@ -90,3 +90,17 @@ def test_tree_follows_the_rectangles():
     assert (n > 0).all() and np.sort(n)[-2] <= 50 and len(row) < 1.2 * len(r)
     assert set(zip(range(len(r)), tree.home(r[:, :2]).tolist())) <= set(zip(row.tolist(), leaf.tolist()))
     assert rectangles.grown(r[:0], 50).leaves == 1
+
+
+def test_copies_are_paired_by_their_keys(spark, monkeypatch):
+    """Equal rectangles are compared once; the pairs told are all of them, whatever number of rows keys are dealt to."""
+    monkeypatch.setattr(rectangles, "MEMBERS", 3)
+    some = [(0.0, 0.0, 10.0, 10.0), (1.0, 1.0, 10.0, 10.0), (5.0, 5.0, 9.0, 9.0), (50.0, 0.0, 3.0, 3.0), (0.0, 0.0, 0.0, 4.0)]
+    rows = [(100 * c + n, *r) for c in range(11) for n, r in enumerate(some)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, width double, height double").select("k", F.struct("x", "y", "width", "height").alias("rect"))
+    seen, plain = [], rectangles._places_overlapping
+    monkeypatch.setattr(rectangles, "_places_overlapping", lambda a, b, *more: seen.append((a.count(), b.count())) or plain(a, b, *more))
+    got = sorted((r.left_key, r.right_key, r.iou) for r in rectangles.overlapping(df, df, "k", least=0.05, told=lambda iou: F.round(iou, 6)).collect())
+    ratio = lambda a, b: float(rectangles.ratio(np.array(a), np.array(b)))
+    assert got == sorted((i, j, round(ratio(a, b), 6)) for i, *a in rows for j, *b in rows if ratio(a, b) > 0.05)
+    assert seen == [(5, 5)]
