@@ -57,17 +57,30 @@ def _batch(rows: DataFrame, size: int, n: int) -> DataFrame:
     return rows.where((F.col("_area") > t) | ((F.col("_area") == t) & (F.col("pos") <= p)))
 
 
+def _first_of_equal(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of pos, rect without those whose rectangle one with a smaller pos has, if such two overlap by the threshold."""
+    r = {n: F.col("rect")[n].cast("double") for n in ("x", "y", "width", "height")}
+    both = F.greatest(r["x"] + r["width"] - r["x"], F.lit(0.0)) * F.greatest(r["y"] + r["height"] - r["y"], F.lit(0.0))
+    union = r["width"] * r["height"] + r["width"] * r["height"] - both
+    # as rectangles.ratio() has it of two equal ones; 1 but for rounding
+    own = F.when((union > 0) & ~F.isnan(union), both / union).otherwise(0.0)
+    meets = (own >= threshold) & (own > 0) & ~F.isnan(own)
+    first = rows.where(meets).groupBy(*[c.alias(n) for n, c in r.items()]).agg(F.min("pos").alias("pos")).select("pos")
+    return rows.where(~meets).unionByName(rows.where(meets).join(first, "pos", "left_semi"))
+
+
 def suppress(df: DataFrame, threshold: float = 0.7, first: int = FIRST_BATCH) -> DataFrame:
     """Rows of pos (unique), rect that stay: largest first, a rectangle stays if it overlaps no kept one by the threshold or more.
 
-    A batch of the largest is settled by its pairs; then all others that overlap one it keeps are taken out at once, so
+    Of equal rectangles only the first can stay: what it is, or what makes it fall, makes the others fall. Of the
+    rest, a batch of the largest is settled by its pairs; then all others that overlap one it keeps are taken out at once, so
     that a crowded place has few pairs left in the next, larger batch.
     """
     size = F.col("rect.width") * F.col("rect.height")
     rows, kept, n_batch = written(df.withColumn("_area", size.cast("double")), "rects"), [], first
     # a null rectangle overlaps nothing
     kept.append(rows.where("_area is null or isnan(_area)"))
-    rest = rows.where("_area is not null and not isnan(_area)")
+    rest = written(_first_of_equal(rows.where("_area is not null and not isnan(_area)"), threshold), "rest")
     while n := rest.count():
         batch = written(_batch(rest, n_batch, n), "batch")
         met = rectangles.overlapping(batch, batch, "pos", least=threshold, inclusive=True).where("left_key <> right_key")

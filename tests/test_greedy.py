@@ -95,3 +95,18 @@ def test_copies_fall_without_pairs(spark, monkeypatch):
     assert sorted(r.pos for r in got) == [k for k, _ in standing] and got[0].__fields__ == ["pos", "rect", "_area_of"]
     # the rows that are compared in pairs are few, whatever number of copies there is
     assert sum(seen) < len(rects) / 2
+
+
+def test_only_the_first_of_equal_rectangles_is_settled(spark, monkeypatch):
+    some = scene(40, 9, 120) + [(90, (3, 3, 0, 5))]
+    rects = [(1000 * c + k, r) for c in range(9) for k, r in some]
+    kept = []
+    for k, r in sorted(rects, key=lambda x: (-x[1][2] * x[1][3], x[0])):
+        if all(iou(r, o) < 0.3 for _, o in kept):
+            kept.append((k, r))
+    seen, batch = [], greedy._batch
+    monkeypatch.setattr(greedy, "_batch", lambda rows, size, n: seen.append(n) or batch(rows, size, n))
+    got = greedy.suppress(frame(spark, rects), 0.3).collect()
+    assert sorted(r.pos for r in got) == sorted(k for k, _ in kept)
+    # what has no area overlaps nothing, so all its copies stay
+    assert seen[0] == 40 + 9
